@@ -142,13 +142,13 @@ def title_allow_block(df: DataFrame, allow=None, block=None) -> DataFrame:
     return df.where(ok & ~_blocked(block, C("category"), title))
 
 
-def board_relevant(df: DataFrame, *cols: str) -> DataFrame:
-    return df.where(F.lower(F.concat_ws(" ", *cols)).rlike(text.any_word(vocab.BOARD_WORDS)))
+def board_relevant(df: DataFrame, *cols: str, words=None) -> DataFrame:
+    return df.where(F.lower(F.concat_ws(" ", *cols)).rlike(text.any_word(words or vocab.BOARD_WORDS)))
 
 
-def pin_nonclothing(df: DataFrame, *cols: str) -> DataFrame:
+def pin_nonclothing(df: DataFrame, *cols: str, words=None) -> DataFrame:
     """Drop pins about something else; empty text passes."""
-    return df.where(~F.lower(F.concat_ws(" ", *cols)).rlike(text.any_word(vocab.NON_CLOTHING_WORDS)))
+    return df.where(~F.lower(F.concat_ws(" ", *cols)).rlike(text.any_word(words or vocab.NON_CLOTHING_WORDS)))
 
 
 def edit_condition(categories: Sequence[str], tests) -> Column:

@@ -21,7 +21,7 @@ SPREAD_BYTES = 512 << 20
 def leaf_bytes(df: DataFrame) -> int:
     """Bytes read by the leaves of the optimised plan (no job is run)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def as_columns(cols: Sequence[str | Column]) -> list[Column]:

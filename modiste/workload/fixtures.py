@@ -62,6 +62,7 @@ TWIN = {
     "products": PRODUCTS.format(part="part"),
     "query_log": QUERY_LOG.format(products="products"),
     "vectors": "SELECT concat('p-', CAST(vec_id AS VARCHAR)) AS object_id, vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings",
+    "units": "SELECT object_id, vec_id, label, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM vectors",
     "vibes": "SELECT object_id, list_reverse(vec) AS vec FROM vectors WHERE label < 5",
     "axes": "SELECT object_id, " + ", ".join(
         f"least(1.0, greatest(0.0, 0.5 + 2 * vec[{i}])) AS {a}" for i, a in enumerate(vocab.AXES, 1)) + " FROM vectors",
