@@ -17,6 +17,11 @@ def lit_array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body) -> Column:
+    """Bind `value` to a lambda variable: it is evaluated once per row however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(col: Column) -> Column:
     """Trimmed lower-case text, '' for null."""
     return F.trim(F.lower(F.coalesce(col, F.lit(""))))
@@ -204,10 +209,9 @@ def looks_english(title: Column, description: Column, head: int | None = 400, mi
     """ASCII share and lexicon hits; a short text passes on two tokens of which half are in the lexicon."""
     t, d = F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))
     text = F.concat(t, F.lit(" "), d if head is None else F.substring(d, 1, head))
-    hits = english_hits(text)
     tokens = F.size(F.filter(F.split(t, r"\s+"), lambda x: x != ""))
-    short = (F.length(d) < 30) & (tokens >= 2) & (hits >= 0.5 * tokens)
-    return F.when(F.trim(text) == "", True).when(ascii_ratio(text) < min_ascii, False).otherwise((hits >= min_hits) | short)
+    known = let(english_hits(text), lambda hits: (hits >= min_hits) | ((F.length(d) < 30) & (tokens >= 2) & (hits >= 0.5 * tokens)))
+    return F.when(F.trim(text) == "", True).when(ascii_ratio(text) < min_ascii, False).otherwise(known)
 
 
 # ── query building ────────────────────────────────────────────────────────────

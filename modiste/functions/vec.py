@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from modiste.functions.text import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,8 +23,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 when either norm is 0."""
-    n = norm(a) * norm(b)
-    return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
+    return let(norm(a) * norm(b), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n))
 
 
 def scale(a: Column, f: Column) -> Column:
@@ -28,8 +32,7 @@ def scale(a: Column, f: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit vector; a zero vector is returned as is."""
-    n = norm(a)
-    return F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n))
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
 def combine(a: Column, wa: float | Column, b: Column, wb: float | Column) -> Column:
@@ -59,22 +62,17 @@ def mean_by(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None
 
 def project(vec: Column, rows: list[list[float]]):
     """unit(W·x) for a bounded W held by the driver, as an Arrow UDF; a vector of another size passes through."""
-    import numpy as np
-    import pandas as pd
-
     w = np.asarray(rows, dtype=np.float64)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def apply(s: pd.Series) -> pd.Series:
-        def unit(x):
-            n = np.linalg.norm(x)
-            return x if n == 0 else x / n
-
-        out = s.copy()
-        fits = s.map(lambda x: x is not None and len(x) == w.shape[1])
-        if fits.any():
-            m = np.vstack([np.asarray(x, dtype=np.float64) for x in s[fits]]) @ w.T
-            out[fits] = [unit(r) for r in m]
-        return out
+        fits = [x is not None and len(x) == w.shape[1] for x in s]
+        out = s.tolist()
+        if any(fits):
+            m = np.vstack([np.asarray(x, dtype=np.float64) for x, ok in zip(s, fits) if ok]) @ w.T
+            n = np.linalg.norm(m, axis=1, keepdims=True)
+            rows = iter(m / np.where(n == 0, 1.0, n))
+            out = [next(rows) if ok else x for x, ok in zip(out, fits)]
+        return pd.Series(out)
 
     return apply(vec)

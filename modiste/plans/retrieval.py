@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from modiste import vocab
 from modiste.functions import steer
 from modiste.operators import ranking, sets, topk
-from modiste.operators.filters import allowed_bands
+from modiste.operators.filters import allowed_bands, avoid_keywords
 from modiste.operators.joins import hydrate_inner, token_theta
 from modiste.scale import first_k, numbered, with_group_stats
 
@@ -153,3 +153,11 @@ def ranking_fraction(keyword: DataFrame) -> DataFrame:
     n = with_group_stats(keyword.select(*keys, "object_id", "rank"), keys, __n=F.count(F.lit(1)))
     value = F.when(C("__n") == 1, F.lit(1.0)).otherwise(1 - (C("rank") - 1) / (C("__n") - 1))
     return n.select(*keys, "object_id", value.alias("kw_fraction"))
+
+
+def optional_search(queries: DataFrame, products: DataFrame, k: int, fields: Sequence[str] = ("title", "category", "color")) -> DataFrame:
+    """Any word matches, more matches rank higher; rows hit by one of the query's avoid terms are removed before the cut."""
+    hits = keyword_search(queries.select("query_id", "text"), products, None, optional=True)
+    j = hits.join(products.select("object_id", *fields), "object_id").join(queries.select("query_id", "avoids"), "query_id")
+    kept = avoid_keywords(j, C("avoids"), fields, split=False)
+    return first_k(kept.drop(*fields, "avoids").withColumnRenamed("rank", "__r"), ["query_id"], ["__r"], k, "rank").drop("__r")

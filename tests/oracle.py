@@ -85,7 +85,7 @@ def main():
         try:
             ok, msg = compare(spark, con, folder, key, fn, sqls.get(key))
         except Exception as ex:  # report and go on to the next key
-            ok, msg = False, f"{type(ex).__name__}: {str(ex)[:700]}"
+            ok, msg = False, f"{type(ex).__name__}: {str(ex).strip()[-500:]}"
         if not ok:
             bad.append(key)
         if not ok or not ({"-q"} & set(prefixes)):
