@@ -60,19 +60,34 @@ def mean_by(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None
     return agg.withColumn(out, normalize(F.col(out))) if unit else agg
 
 
+def _project_list(items: list, w: np.ndarray, unit: bool = True) -> list:
+    fits = [x is not None and len(x) == w.shape[1] for x in items]
+    out = list(items)
+    if any(fits):
+        m = np.vstack([np.asarray(x, dtype=np.float64) for x, ok in zip(items, fits) if ok]) @ w.T
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        rows = iter(m / np.where(n == 0, 1.0, n) if unit else m)
+        out = [next(rows) if ok else x for x, ok in zip(out, fits)]
+    return out
+
+
 def project(vec: Column, rows: list[list[float]]):
     """unit(W·x) for a bounded W held by the driver, as an Arrow UDF; a vector of another size passes through."""
     w = np.asarray(rows, dtype=np.float64)
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def apply(s: pd.Series) -> pd.Series:
-        fits = [x is not None and len(x) == w.shape[1] for x in s]
-        out = s.tolist()
-        if any(fits):
-            m = np.vstack([np.asarray(x, dtype=np.float64) for x, ok in zip(s, fits) if ok]) @ w.T
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            rows = iter(m / np.where(n == 0, 1.0, n))
-            out = [next(rows) if ok else x for x, ok in zip(out, fits)]
-        return pd.Series(out)
+        return pd.Series(_project_list(s.tolist(), w))
 
     return apply(vec)
+
+
+def project_rows(df: DataFrame, rows: list[list[float]], vec: str = "vec", unit: bool = True) -> DataFrame:
+    """W·x (unit length or raw) over a whole table in Arrow batches."""
+    w = np.asarray(rows, dtype=np.float64)
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(**{vec: _project_list(b[vec].tolist(), w, unit)})
+
+    return df.mapInPandas(run, df.schema)

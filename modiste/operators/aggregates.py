@@ -181,7 +181,8 @@ def label_progress(labelled: DataFrame, minimum: int = 20, target: int = 40, key
 
 def triplet_accuracy(triplets: DataFrame, vectors: DataFrame, weights: list[list[float]] | None = None) -> DataFrame:
     """Share of triplets with a·p > a·n after projection. The vectors are projected once, then joined three times."""
-    v = vectors.select("object_id", (vec.project(C("vec"), weights) if weights else C("vec")).alias("vec"))
+    v = vectors.select("object_id", "vec")
+    v = vec.project_rows(v, weights, unit=False) if weights else v
     rows = triplets
     for side in ("anchor", "positive", "negative"):
         rows = rows.join(v.select(C("object_id").alias(side), C("vec").alias(f"__{side}")), side)

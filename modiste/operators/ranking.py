@@ -10,15 +10,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modiste import vocab
 from modiste.functions import scores, vec
 from modiste.functions.text import clean
 from modiste.operators import topk
-from modiste.operators.aggregates import unpivot
-from modiste.operators.windows import adaptive_norm, brand_key, round_robin
+from modiste.operators.windows import adaptive_norm_column, brand_key
 from modiste.scale import first_k, numbered, with_group_stats
 
 C = F.col
@@ -92,10 +91,11 @@ def rerank(pool: DataFrame, queries: DataFrame, products: DataFrame, visual: Dat
     df = df.withColumn("vis", vec.cosine(C("__q"), C("__v"))).withColumn("vib", vec.cosine(C("__q"), C("__b"))).withColumn("cent", vec.cosine(C("__c"), C("__v")))
     df = df.where(C("vis").isNull() | (C("vis") >= floor)).drop("__q", "__c", "__v", "__b")
     # ranking ties are decided on rounded scores so that every engine orders them alike
-    for c in ("vis", "vib", "cent"):
-        df = df.withColumn(c, F.round(c, 9))
-        df = adaptive_norm(df, keys, c, f"n_{c}", ["object_id"])
-    df = with_group_stats(df, keys, __share=F.avg(C("vib").isNotNull().cast("double")))
+    # a pool is what the gate lets through (≤ 700 rows), so plain windows are safe and all of them share one shuffle
+    names = ("vis", "vib", "cent")
+    df = df.withColumns({c: F.round(c, 9) for c in names})
+    df = df.withColumns({**{f"n_{c}": adaptive_norm_column(C(c), keys, ["object_id"]) for c in names},
+                         "__share": F.avg(C("vib").isNotNull().cast("double")).over(Window.partitionBy(*keys))})
     w_vis, w_vib, w_cent = weight_policy(C("__align"), C("__share"), align)
     df = click_affinity(df, features) if features is not None else df.withColumn("click_affinity", F.lit(0.0))
     df = phrase_bonus(df, phrases, visual, phrase_threshold) if phrases is not None else df.withColumn("phrase_bonus", F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modiste import vocab
@@ -23,22 +23,32 @@ def znorm(df: DataFrame, keys: Sequence[str], score: str, out: str) -> DataFrame
     return s.withColumn(out, value).drop("__mean", "__std")
 
 
+def _rank_value(score: str, rk: Column, n: Column) -> Column:
+    return F.when(C(score).isNull(), F.lit(0.0)).when(n == 1, F.lit(1.0)).otherwise((rk - 1) / (n - 1))
+
+
 def ranknorm(df: DataFrame, keys: Sequence[str], score: str, out: str, order: Sequence[str | Column]) -> DataFrame:
     """Ascending position/(n-1) among non-null scores; a lone score gives 1, a missing one 0. `order` breaks ties."""
-    has = C(score).isNotNull()
-    present = numbered(df.where(has), keys, [C(score).asc(), *order], "__rk")
-    n = with_group_stats(present, keys, __n=F.count(F.lit(1)))
-    value = F.when(C("__n") == 1, F.lit(1.0)).otherwise((C("__rk") - 1) / (C("__n") - 1))
-    return n.withColumn(out, value).select(*df.columns, out).unionByName(df.where(~has).withColumn(out, F.lit(0.0)))
+    ranked = numbered(df, keys, [C(score).asc_nulls_last(), *order], "__rk")
+    n = with_group_stats(ranked, keys, __n=F.count(score))
+    return n.withColumn(out, _rank_value(score, C("__rk"), C("__n"))).drop("__rk", "__n")
 
 
 def adaptive_norm(df: DataFrame, keys: Sequence[str], score: str, out: str, order: Sequence[str | Column], min_pool: int = 30) -> DataFrame:
-    """z-norm for pools with at least `min_pool` scores, else rank-norm; small pools only are numbered."""
+    """z-norm for pools with at least `min_pool` scores, else rank-norm."""
     s = with_group_stats(df, keys, __n=F.count(score), __mean=F.avg(score), __std=F.stddev_pop(score))
-    big = s.where(C("__n") >= min_pool)
+    s = numbered(s, keys, [C(score).asc_nulls_last(), *order], "__rk")
     z = F.when(C(score).isNull() | (C("__std") < 1e-9), F.lit(0.0)).otherwise((C(score) - C("__mean")) / C("__std"))
-    small = s.where(C("__n") < min_pool).select(*df.columns)
-    return big.withColumn(out, z).select(*df.columns, out).unionByName(ranknorm(small, keys, score, out, order))
+    return s.withColumn(out, F.when(C("__n") >= min_pool, z).otherwise(_rank_value(score, C("__rk"), C("__n")))).drop("__n", "__mean", "__std", "__rk")
+
+
+def adaptive_norm_column(score: Column, keys: Sequence[str], order: Sequence[str | Column], min_pool: int = 30) -> Column:
+    """The same as one window expression, for pools of bounded size (all norms of a pool then share one shuffle)."""
+    w = Window.partitionBy(*keys)
+    n, mean, std = F.count(score).over(w), F.avg(score).over(w), F.stddev_pop(score).over(w)
+    rk = F.row_number().over(w.orderBy(score.asc_nulls_last(), *order))
+    z = F.when(std < 1e-9, F.lit(0.0)).otherwise((score - mean) / std)
+    return F.when(score.isNull(), F.lit(0.0)).when(n >= min_pool, z).when(n == 1, F.lit(1.0)).otherwise((rk - 1) / (n - 1))
 
 
 def cap_per_group(df: DataFrame, caps: Sequence[tuple[Sequence[str], int]], order: Sequence[str | Column]) -> DataFrame:

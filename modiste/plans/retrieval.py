@@ -13,6 +13,7 @@ from modiste.functions import steer
 from modiste.operators import ranking, sets, topk
 from modiste.operators.filters import allowed_bands, avoid_keywords
 from modiste.operators.joins import hydrate_inner, token_theta
+from modiste.session import cut
 from modiste.scale import first_k, numbered, with_group_stats
 
 C = F.col
@@ -35,10 +36,14 @@ def product_terms(products: DataFrame, attributes: Sequence[str] = ATTRIBUTES) -
     for i, a in enumerate(x for x in attributes if x in products.columns):
         raw = F.array_join(a, " ") if products.schema[a].dataType.typeName() == "array" else C(a)
         words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(raw, F.lit(""))), SPLIT), lambda w: w != ""))
-        parts.append(F.transform(words, lambda w, i=i: F.struct(w.alias("t"), F.lit(i).alias("a"))))
+        parts.append(_marked(words, i))
     return F.flatten(F.array(*parts))
 
 
+def _marked(words: Column, number: int) -> Column:
+    return F.transform(words, lambda w: F.struct(w.alias("t"), F.lit(number).alias("a")))
+
+
 def query_words(text: Column) -> tuple[Column, Column]:
     """(wanted words, negated words) of a query text."""
     raw = F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")
@@ -65,7 +70,7 @@ def keyword_search(queries: DataFrame, products: DataFrame, k: int | None, keys:
     carried = [c for c in ("price_range", "category") if c in queries.columns]
     q = q.select(*keys, "__want", "__avoid", "__boosts", *[C(c).alias(f"__q_{c}") for c in carried])
     tags = C("aesthetic_tags") if "aesthetic_tags" in products.columns else F.array().cast("array<string>")
-    p = products.select("object_id", "price", "price_range", *dict.fromkeys(["category", *order_group]), tags.alias("__tags"), product_terms(products, attributes).alias("__terms"))
+    p = products.select("object_id", "price", "price_range", C("category").alias("__category"), *order_group, tags.alias("__tags"), product_terms(products, attributes).alias("__terms"))
     p = p.withColumn("__have", F.array_distinct(F.transform("__terms", lambda e: e["t"])))
     if optional:
         q = q.withColumn("__word", F.explode("__want"))
@@ -82,7 +87,7 @@ def keyword_search(queries: DataFrame, products: DataFrame, k: int | None, keys:
     if "price_range" in carried:
         keep = keep & (C("__q_price_range").isNull() | F.array_contains(allowed_bands(C("__q_price_range")), C("price_range")))
     if "category" in carried:
-        keep = keep & (C("__q_category").isNull() | (C("__q_category") == C("category")))
+        keep = keep & (C("__q_category").isNull() | (C("__q_category") == C("__category")))
     best = F.array_min(F.transform(F.filter("__terms", lambda e: F.array_contains("__want", e["t"])), lambda e: e["a"]))
     found = hits.where(keep).select(*keys, *order_group, "object_id", F.size(matched).cast("long").alias("matched"), best.cast("long").alias("best_attribute"),
                                     F.size(F.array_intersect("__boosts", "__tags")).cast("long").alias("boosted"), "price")
@@ -134,7 +139,8 @@ def two_stage(queries: DataFrame, phrases: DataFrame, products: DataFrame, visua
     keyword = keyword_search(queries.select("query_id", "text", "price_range"), products, per_category * 4, order_group=["category"])
     semantic_for = phrases.join(kinds.where("type <> 'literal'").select("query_id"), "query_id", "left_semi")
     semantic = topk.per_phrase_union(semantic_for, with_categories(visual, products), floor=gate_floor)
-    pool = sets.pool_merge(keyword, semantic, ["query_id", "category"])
+    keyword = cut(keyword)
+    pool = cut(sets.pool_merge(keyword, semantic, ["query_id", "category"]))  # narrow id rows, used several times below
     sizes = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("__pool"))
     big, small = sizes.where(C("__pool") >= min_pool), sizes.where(C("__pool") < min_pool)
     fractions = ranking_fraction(keyword)

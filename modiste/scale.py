@@ -2,7 +2,7 @@
 
 * a group may hold a third of all rows, so a full numbering of a group never relies on one task holding it;
 * "first k per group" goes through `row_number() <= k`, which Spark turns into a per-task group limit before the shuffle;
-* group statistics are `groupBy` aggregates (map-side combine) joined back, not whole-partition windows.
+* group statistics of large inputs are `groupBy` aggregates (map-side combine) joined back, not whole-partition windows.
 """
 
 from __future__ import annotations
@@ -69,10 +69,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return first_k(df, keys, order, 1, "__first").drop("__first")
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Attach per-group aggregates: a partial `groupBy` joined back, so a hot group is never sorted into one task."""
-    named = [c.alias(n) for n, c in aggs.items()]
-    stats = df.groupBy(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]).agg(*named)
+def with_group_stats(df: DataFrame, keys: Sequence[str], spread: bool | None = None, **aggs: Column) -> DataFrame:
+    """Attach per-group aggregates. Small inputs use windows (one shuffle). Large inputs are materialised once, aggregated with
+    map-side combine and joined back, so a hot group is never brought into one task."""
+    if spread is None:
+        spread = leaf_bytes(df) > SPREAD_BYTES
+    if not spread:
+        w = Window.partitionBy(*keys)
+        return df.select("*", *[c.over(w).alias(n) for n, c in aggs.items()])
+    df = cut(df)
+    stats = df.groupBy(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]).agg(*[c.alias(n) for n, c in aggs.items()])
     cond = None
     for i, k in enumerate(keys):
         eq = F.col(k).eqNullSafe(F.col(f"__g{i}"))

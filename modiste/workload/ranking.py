@@ -122,7 +122,7 @@ def _(e):
     return ranking.phrase_bonus(near_pool(e), e.phrases, e.vectors, 0.15).select("query_id", "object_id", F.round("phrase_bonus", 6).alias("phrase_bonus"))
 
 
-POLICY = "CASE WHEN al IS NULL THEN 0.0 WHEN al < 0.0 THEN 0.05 WHEN al < 0.1 THEN 0.15 ELSE 0.25 END"
+POLICY = "CAST(CASE WHEN al IS NULL THEN 0.0 WHEN al < 0.0 THEN 0.05 WHEN al < 0.1 THEN 0.15 ELSE 0.25 END AS DOUBLE)"
 
 
 @query("rank_weight_policy", f"""WITH {NEARPOOL}, {CENTER}, s AS (SELECT query_id, category, avg(CASE WHEN b.object_id IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM npool LEFT JOIN vibes b USING (object_id) GROUP BY 1, 2),
@@ -145,8 +145,8 @@ RERANK = f"""{NEARPOOL}, {CENTER}, {FEATURES}, {BONUS},
       round(list_cosine_similarity(c.vec, v.vec), 9) AS cent FROM npool n JOIN queries q USING (query_id) JOIN products p USING (object_id) LEFT JOIN center c USING (user_token) LEFT JOIN vectors v USING (object_id) LEFT JOIN vibes b USING (object_id)),
     r1 AS (SELECT *, avg(CASE WHEN vib IS NULL THEN 0.0 ELSE 1.0 END) OVER g AS share, {norm_sql('vis')}, {norm_sql('vib')}, {norm_sql('cent')} FROM r0 WHERE vis IS NULL OR vis >= 0.0 WINDOW g AS (PARTITION BY query_id, category)),
     r2 AS (SELECT *, {POLICY} AS wc FROM r1), {AFF.format(src='r2')},
-    scored AS (SELECT query_id, category, object_id, round((CASE WHEN share >= 0.5 THEN (1 - wc) * 0.8 ELSE 1 - wc END) * n_vis + (CASE WHEN share >= 0.5 THEN (1 - wc) * 0.2 ELSE 0.0 END) * n_vib + wc * n_cent + 0.10 * click_affinity + 0.05 * kw_fraction
-      + coalesce(0.18 * h / n, 0.0), 6) AS score FROM aff LEFT JOIN pb USING (query_id, object_id) LEFT JOIN pa USING (query_id))"""
+    scored AS (SELECT query_id, category, object_id, round(round((CASE WHEN share >= 0.5 THEN (1 - wc) * 0.8 ELSE 1 - wc END) * n_vis + (CASE WHEN share >= 0.5 THEN (1 - wc) * 0.2 ELSE 0.0 END) * n_vib + wc * n_cent + 0.10 * click_affinity + 0.05 * kw_fraction
+      + coalesce(0.18 * h / n, 0.0), 9), 6) AS score FROM aff LEFT JOIN pb USING (query_id, object_id) LEFT JOIN pa USING (query_id))"""
 
 
 def reranked(e):
@@ -204,10 +204,10 @@ def ax(a: str) -> str:
 @query("rank_session_centroid", f"""WITH {SESSION}, {AXP}, ap2 AS (SELECT user_token, {", ".join(f"{ax(a)} AS q_{a}" for a in vocab.AXES)} FROM ap),
     f AS (SELECT s.user_token, s.object_id, round(0.7 * score + 0.3 * CASE WHEN q_edge IS NULL THEN 0.5 ELSE ({" + ".join(f"1 - abs(q_{a} - {a})" for a in vocab.AXES)}) / 5 END, 9) AS fused FROM sn0 s JOIN axes USING (object_id) LEFT JOIN ap2 USING (user_token)
       WHERE NOT EXISTS (SELECT 1 FROM s20 x WHERE x.kind <> 'dislike' AND x.user_token = s.user_token AND x.object_id = s.object_id))
-    SELECT user_token, object_id, round(fused, 6) AS fused, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_token ORDER BY fused DESC, object_id) AS rank FROM f) WHERE rank <= 40""")
+    SELECT user_token, object_id, fused, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_token ORDER BY fused DESC, object_id) AS rank FROM f) WHERE rank <= 40""")
 def _(e):
     t, p = user_vectors(e)
-    return profiles.rank_session(e.signals, e.vectors, e.axes, t, p, total_k=40, deltas=SHIFT).withColumn("fused", F.round("fused", 6))
+    return profiles.rank_session(e.signals, e.vectors, e.axes, t, p, total_k=40, deltas=SHIFT)
 
 
 @query("rank_axis_match", f"""WITH {SIG20}, {AXP} SELECT s.event_id, round(CASE WHEN p_edge IS NULL OR x.edge IS NULL THEN 0.5 ELSE ({" + ".join(f"1 - abs(p_{a} - x.{a})" for a in vocab.AXES)}) / 5 END, 6) AS match,
@@ -257,7 +257,7 @@ CARDS = f"""{HITS}, dk AS (SELECT s.user_token, lower(brand) AS brand, lower(col
       least(0.95, greatest(0.02, cat * 0.35 + br * 0.35 + pr * 0.20 + 0.10 - pb * 0.55 - pc * 0.35)) AS pk FROM g)"""
 
 
-@query("rank_card_score", f"WITH {CARDS.replace('hk AS (SELECT s.user_token', 'hk AS (SELECT s.user_token')} SELECT user_token, card_id, round(pl * 0.55 + pm * 0.15 + pk * 0.30 + CASE WHEN fresh THEN 0.06 ELSE 0 END, 6) AS score, round(pl, 6) AS p_like, round(pm, 6) AS p_comment, round(pk, 6) AS p_click FROM cs")
+@query("rank_card_score", f"WITH {CARDS.replace('hk AS (SELECT s.user_token', 'hk AS (SELECT s.user_token')} SELECT user_token, card_id, round(round(pl * 0.55 + pm * 0.15 + pk * 0.30 + CASE WHEN fresh THEN 0.06 ELSE 0 END, 9), 6) AS score, round(pl, 6) AS p_like, round(pm, 6) AS p_comment, round(pk, 6) AS p_click FROM cs")
 def _(e):
     return card_scores(e).select("user_token", "card_id", *[F.round(c, 6).alias(c) for c in ("score", "p_like", "p_comment", "p_click")])
 
@@ -294,12 +294,12 @@ def _(e):
 
 @query("rank_brands_by_taste", """WITH bc AS (SELECT brand AS object_id, list(m ORDER BY i) AS vec FROM (SELECT brand, i, avg(x) AS m FROM (SELECT brand, unnest(vec) AS x, unnest(range(64)) AS i FROM units JOIN products USING (object_id)) GROUP BY 1, 2) GROUP BY 1),
     s AS (SELECT q.user_token, b.object_id AS brand, round((round(list_cosine_similarity(q.vec, b.vec), 6) + 0.0) * CASE WHEN b.object_id IN ('Brand#1', 'Brand#2', 'Brand#3') AND q.price_range = 'budget' THEN 0.5 ELSE 1.0 END, 9) AS score FROM queries q, bc b)
-    SELECT user_token, brand, round(score, 6) + 0.0 AS score, row_number() OVER (PARTITION BY user_token ORDER BY score DESC, brand) AS rank FROM s""")
+    SELECT user_token, brand, score + 0.0 AS score, row_number() OVER (PARTITION BY user_token ORDER BY score DESC, brand) AS rank FROM s""")
 def _(e):
     cent = vec.mean_by(e.vectors.withColumn("vec", vec.normalize(C("vec"))).join(e.products.select("object_id", "brand"), "object_id"), ["brand"])
     ages = e.products.where(C("brand").isin("Brand#1", "Brand#2", "Brand#3")).select("brand").distinct().withColumn("preferred_ages", lit_array(["mid", "luxury"]))
     users = e.queries.select("user_token", C("price_range").alias("age_key"), "vec")
-    return ranking.brands_by_taste(users, cent, ages).withColumn("score", r6c(C("score")))
+    return ranking.brands_by_taste(users, cent, ages).withColumn("score", C("score") + 0.0)
 
 
 @query("rank_similar_items", f"""WITH {CLUSTERED.replace('phrase / 10.0', 'CAST(phrase AS DOUBLE) / 10')}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_id) AS rank FROM f) WHERE rank <= 40),

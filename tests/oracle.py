@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import signal
 import sys
 import time
 from collections import Counter
@@ -15,6 +17,16 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+LIMIT = int(os.environ.get("ORACLE_LIMIT", "90"))
+
+
+def _late(*_):
+    raise TimeoutError(f"over {LIMIT} s")
+
+
+signal.signal(signal.SIGALRM, _late)
+
+
 def connect(folder):
     con = duckdb.connect()
     for t in TABLES:
@@ -82,10 +94,14 @@ def main():
     for key, fn in qs.items():
         if prefixes and not any(key == p or (p.endswith("*") and key.startswith(p[:-1])) for p in prefixes):
             continue
+        signal.alarm(LIMIT)
         try:
             ok, msg = compare(spark, con, folder, key, fn, sqls.get(key))
         except Exception as ex:  # report and go on to the next key
             ok, msg = False, f"{type(ex).__name__}: {str(ex).strip()[-500:]}"
+            spark.sparkContext.cancelAllJobs()
+        finally:
+            signal.alarm(0)
         if not ok:
             bad.append(key)
         if not ok or not ({"-q"} & set(prefixes)):
