@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,12 +50,14 @@ def word_starts(words) -> str:
 # ── categories and tags ───────────────────────────────────────────────────────
 def category_from_title(title: Column, words=None, other: str | None = "other") -> Column:
     """First category, in order, having a keyword inside the title."""
-    text = F.lower(F.coalesce(title, F.lit("")))
-    out = None
-    for category, kws in (words or vocab.FEED_CATEGORY_WORDS).items():
-        hit = text.rlike(any_word(kws))
-        out = F.when(hit, category) if out is None else out.when(hit, category)
-    return out.otherwise(F.lit(other)) if other is not None else out
+    def first(text):
+        out = None
+        for category, kws in (words or vocab.FEED_CATEGORY_WORDS).items():
+            hit = text.rlike(any_word(kws))
+            out = F.when(hit, category) if out is None else out.when(hit, category)
+        return out.otherwise(F.lit(other)) if other is not None else out
+
+    return let(F.lower(F.coalesce(title, F.lit(""))), first)
 
 
 def category_fallback(title: Column, description: Column, vendor_category: Column, words=None) -> Column:
@@ -76,11 +79,13 @@ def category_from_breadcrumb(crumbs: Column, title: Column, steps=None, words=No
 
 def aesthetic_tags(text: Column, aesthetics=None, colors=None, lengths=None) -> Column:
     """Aesthetic groups, then colours, then length words found in the text; distinct, in that order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    parts = [F.when(low.rlike(any_word(kws)), tag) for tag, kws in (aesthetics or vocab.FEED_AESTHETICS).items()]
-    for word in [*(vocab.TAG_COLORS if colors is None else colors), *(vocab.LENGTH_WORDS if lengths is None else lengths)]:
-        parts.append(F.when(low.contains(word), word))
-    return F.array_distinct(F.array_compact(F.array(*parts)))
+    def found(low):
+        parts = [F.when(reduce(lambda a, b: a | b, [low.contains(k) for k in kws]), tag) for tag, kws in (aesthetics or vocab.FEED_AESTHETICS).items()]
+        for word in [*(vocab.TAG_COLORS if colors is None else colors), *(vocab.LENGTH_WORDS if lengths is None else lengths)]:
+            parts.append(F.when(low.contains(word), word))
+        return F.array(*parts)
+
+    return F.array_distinct(F.array_compact(let(F.lower(F.coalesce(text, F.lit(""))), found)))
 
 
 def is_mens(title: Column, description: Column | None = None, gender: Column | None = None, tags: Column | None = None,

@@ -18,7 +18,7 @@ from modiste.functions import scores, vec
 from modiste.functions.text import clean
 from modiste.operators import topk
 from modiste.operators.windows import adaptive_norm_column, brand_key
-from modiste.scale import first_k, numbered, with_group_stats
+from modiste.scale import broadcast_if_small, first_k, numbered, with_group_stats
 
 C = F.col
 RRF_K = 60
@@ -86,8 +86,9 @@ def rerank(pool: DataFrame, queries: DataFrame, products: DataFrame, visual: Dat
         q = q.withColumn("__c", F.lit(None).cast("array<double>"))
     q = q.withColumn("__align", vec.cosine(C("__c"), C("__q")))
     attrs = products.select("object_id", "brand", "color", "retailer")
-    df = (pool.join(attrs, "object_id").join(q, "query_id").join(visual.select("object_id", C("vec").alias("__v")), "object_id", "left")
-          .join(vibe.select("object_id", C("vec").alias("__b")), "object_id", "left"))
+    # the three catalogue joins share one key, so the pool is shuffled once for them; the query side follows, broadcast while small
+    df = (pool.join(attrs, "object_id").join(visual.select("object_id", C("vec").alias("__v")), "object_id", "left")
+          .join(vibe.select("object_id", C("vec").alias("__b")), "object_id", "left").join(broadcast_if_small(q, queries), "query_id"))
     df = df.withColumn("vis", vec.cosine(C("__q"), C("__v"))).withColumn("vib", vec.cosine(C("__q"), C("__b"))).withColumn("cent", vec.cosine(C("__c"), C("__v")))
     df = df.where(C("vis").isNull() | (C("vis") >= floor)).drop("__q", "__c", "__v", "__b")
     # ranking ties are decided on rounded scores so that every engine orders them alike

@@ -14,7 +14,7 @@ from modiste.operators import ranking, sets, topk
 from modiste.operators.filters import allowed_bands, avoid_keywords
 from modiste.operators.joins import hydrate_inner, token_theta
 from modiste.session import cut
-from modiste.scale import first_k, numbered, with_group_stats
+from modiste.scale import broadcast_if_small, first_k, numbered, with_group_stats
 
 C = F.col
 ATTRIBUTES = ["title", "brand", "description", "color", "material", "aesthetic_tags", "retailer", "category"]
@@ -80,16 +80,23 @@ def keyword_search(queries: DataFrame, products: DataFrame, k: int | None, keys:
         rare = (q.select(*keys, F.explode("__want").alias("__word")).join(freq, "__word", "left")
                 .groupBy(*keys).agg(F.min_by("__word", F.struct(F.coalesce("__df", F.lit(0)), C("__word"))).alias("__word")))
         q = q.join(rare, list(keys))
-    hits = p.withColumn("__word", F.explode("__have")).join(q, "__word")
-    matched = F.array_intersect("__want", "__have")
-    keep = ~F.arrays_overlap("__avoid", "__have")
-    keep = keep & (F.get(matched, F.lit(0)) == C("__word") if optional else F.size(matched) == F.size("__want"))
+    # the query side has a row per query (per word when optional); while the query log is small it is broadcast and the exploded
+    # catalogue is never shuffled
+    hits = p.withColumn("__word", F.explode("__have")).join(broadcast_if_small(q, queries), "__word")
+
+    def has(w):
+        return F.array_contains("__have", w)
+
+    # plain look-ups in a short word list: cheaper per candidate than building sets
+    keep = ~F.exists("__avoid", has)
+    keep = keep & (F.get(F.filter("__want", has), F.lit(0)) == C("__word") if optional else F.forall("__want", has))
+    n_matched = F.size(F.filter("__want", has)) if optional else F.size("__want")
     if "price_range" in carried:
         keep = keep & (C("__q_price_range").isNull() | F.array_contains(allowed_bands(C("__q_price_range")), C("price_range")))
     if "category" in carried:
         keep = keep & (C("__q_category").isNull() | (C("__q_category") == C("__category")))
     best = F.array_min(F.transform(F.filter("__terms", lambda e: F.array_contains("__want", e["t"])), lambda e: e["a"]))
-    found = hits.where(keep).select(*keys, *order_group, "object_id", F.size(matched).cast("long").alias("matched"), best.cast("long").alias("best_attribute"),
+    found = hits.where(keep).select(*keys, *order_group, "object_id", n_matched.cast("long").alias("matched"), best.cast("long").alias("best_attribute"),
                                     F.size(F.array_intersect("__boosts", "__tags")).cast("long").alias("boosted"), "price")
     order = [C("matched").desc(), C("best_attribute").asc(), C("boosted").desc(), C("price").desc_nulls_last(), C("object_id").asc()]
     groups = [*keys, *order_group]

@@ -24,6 +24,21 @@ def leaf_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def spread_small(df: DataFrame, at_least: int = 100 << 10, at_most: int = 1 << 30) -> DataFrame:
+    """Use all cores on a small table that sits in fewer files than there are cores. Tables of many files, and tables too
+    small or too large for it to pay, are left alone."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if at_least <= leaf_bytes(df) <= at_most and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
+def broadcast_if_small(df: DataFrame, source: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """Broadcast `df` when the table it has one row per row of, `source`, reads at most `limit` bytes; else leave the choice to Spark."""
+    return F.broadcast(df) if leaf_bytes(source) <= limit else df
+
+
 def as_columns(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modiste import vocab
+from modiste.scale import spread_small
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -104,7 +105,7 @@ class Env:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_small(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     @cached_property
     def products(self) -> DataFrame:
