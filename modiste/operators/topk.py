@@ -83,7 +83,7 @@ def scored(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float |
     else:
         n_v, n_q = -(-v.count() // VECTOR_BLOCK), -(-q.count() // QUERY_BLOCK)
         left = q.withColumn("__qb", F.pmod(F.xxhash64("__q"), F.lit(n_q))).withColumn("__vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-        right = v.withColumn("__vb", F.pmod(F.xxhash64("object_id"), F.lit(n_v)).cast("int")).withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
+        right = v.withColumn("__vb", F.pmod(F.xxhash64("object_id"), F.lit(n_v)).cast("int")).withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")))
 
         def score_blocks(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
