@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from modiste.llm import bpe
+from modiste.llm import bpe, lines, sharding
 from modiste.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,5 +20,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards near equal in bytes."""
+    return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in at least ten documents are dropped everywhere."""
+    out = lines.dropped_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(F.col("__lines.text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(ls, 1) AS nr, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), keyed AS (
+  SELECT doc_id, nr, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), common AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
+"""
+
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op6_sharding": op6_sharding, "op8_lines": op8_lines}
+ORACLES: dict[str, str] = {"op8_lines": OP8_SQL}
