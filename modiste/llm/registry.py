@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modiste.llm import bpe, lines, sharding
+from modiste.llm import bpe, lines, sharding, topk
 from modiste.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,12 +25,29 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth one."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in at least ten documents are dropped everywhere."""
     out = lines.dropped_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(F.col("__lines.text").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS nr, unnest(ls) AS line
@@ -45,5 +62,5 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op6_sharding": op6_sharding, "op8_lines": op8_lines}
-ORACLES: dict[str, str] = {"op8_lines": OP8_SQL}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines}
+ORACLES: dict[str, str] = {"op7_topk": OP7_SQL, "op8_lines": OP8_SQL}
