@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modiste.llm import bpe, lines, sharding, topk
+from modiste.llm import bpe, lines, sharding, simhash, topk
 from modiste.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and the groups of documents linked by them."""
+    out = simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards near equal in bytes."""
     return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -62,5 +68,5 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines}
 ORACLES: dict[str, str] = {"op7_topk": OP7_SQL, "op8_lines": OP8_SQL}
