@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modiste.llm import bpe, lines, sharding, simhash, topk
+from modiste.llm import bpe, decontaminate, lines, sharding, simhash, topk
 from modiste.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("h")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards near equal in bytes."""
     return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -42,6 +48,29 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(F.col("__lines.text").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)
+), runs AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), met AS (
+  SELECT r.doc_id, r.i, r.n, win.item_id FROM runs r JOIN win ON r.n = win.n AND r.phrase = win.phrase
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM met) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -68,5 +97,5 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines}
-ORACLES: dict[str, str] = {"op7_topk": OP7_SQL, "op8_lines": OP8_SQL}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines}
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op7_topk": OP7_SQL, "op8_lines": OP8_SQL}
