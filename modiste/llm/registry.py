@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modiste.llm import bpe, decontaminate, lines, sharding, simhash, topk
+from modiste.llm import bpe, decontaminate, lines, lm, sharding, simhash, topk
 from modiste.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.scored(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and the groups of documents linked by them."""
     out = simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -97,5 +103,5 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines}
 ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op7_topk": OP7_SQL, "op8_lines": OP8_SQL}
