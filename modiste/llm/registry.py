@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modiste.llm import bpe, decontaminate, lines, lm, sharding, simhash, topk
+from modiste.llm import bpe, decontaminate, html, langid, lines, lm, sharding, simhash, topk
 from modiste.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,17 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(F.col("__lines.text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of four fifths of them."""
+    return langid.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -103,5 +114,5 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines, "op9_langid": op9_langid, "op10_html": op10_html}
 ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op7_topk": OP7_SQL, "op8_lines": OP8_SQL}
