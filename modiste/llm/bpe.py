@@ -74,7 +74,7 @@ class Bpe:
         self.words = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}  # ids of a word, packed
         self.sound = np.zeros(top, np.int8)  # 1: the merges give the token back, -1: they don't
-        self.good, self.bad = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.judged, self.verdict = np.empty(0, np.int64), np.empty(0, bool)  # pairs, sorted, and whether they stay apart
 
     def exact(self, word: bytes) -> list[int]:
         """The merges in the order of their rank, leftmost first."""
@@ -133,14 +133,17 @@ class Bpe:
     def pairs_good(self, keys: np.ndarray) -> np.ndarray:
         """Verdicts on pairs of tokens (a << 32 | b), each distinct pair judged once."""
         distinct, back = np.unique(keys, return_inverse=True)
-        good, bad = np.isin(distinct, self.good, assume_unique=True), np.isin(distinct, self.bad, assume_unique=True)
-        new = distinct[~good & ~bad]
+        at = np.minimum(np.searchsorted(self.judged, distinct), max(len(self.judged) - 1, 0))
+        seen = self.judged[at] == distinct if len(self.judged) else np.zeros(len(distinct), bool)
+        good = self.verdict[at] & seen if len(self.judged) else seen.copy()
+        new = distinct[~seen]
         if len(new):
-            ok = self.compatible(new >> 32, new & 0xFFFFFFFF)
-            if len(self.good) + len(self.bad) > 4 * REMEMBERED:
-                self.good, self.bad = self.good[:0], self.bad[:0]
-            self.good, self.bad = np.concatenate([self.good, new[ok]]), np.concatenate([self.bad, new[~ok]])
-            good[~good & ~bad] = ok
+            good[~seen] = ok = self.compatible(new >> 32, new & 0xFFFFFFFF)
+            if len(self.judged) > 2 * REMEMBERED:
+                self.judged, self.verdict = new, ok
+            else:
+                into = np.searchsorted(self.judged, new)
+                self.judged, self.verdict = np.insert(self.judged, into, new), np.insert(self.verdict, into, ok)
         return good[back]
 
     def learn(self, words: list[str]) -> None:

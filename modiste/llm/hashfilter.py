@@ -25,18 +25,26 @@ def positions(hashes: np.ndarray, bits: int, k: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(k)]
 
 
-def packed(flags: np.ndarray) -> bytes:
-    """A segment as its set bits, two bytes each, or as a bit map where that is shorter."""
-    at = np.flatnonzero(flags)
-    return at.astype("<u2").tobytes() if 2 * len(at) < SEGMENT // 8 else np.packbits(flags, bitorder="little").tobytes()
+def packed(part: np.ndarray) -> bytes:
+    """A segment (a bit map) as its set bits, two bytes each, or as it is where that is shorter."""
+    at = np.flatnonzero(np.unpackbits(part, bitorder="little"))
+    return at.astype("<u2").tobytes() if 2 * len(at) < SEGMENT // 8 else part.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
     if len(data) == SEGMENT // 8:
-        return np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").view(bool)
-    out = np.zeros(SEGMENT, bool)
-    out[np.frombuffer(data, "<u2")] = True
-    return out
+        return np.frombuffer(data, np.uint8)
+    flags = np.zeros(SEGMENT, bool)
+    flags[np.frombuffer(data, "<u2")] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def put(bits: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
 
 
 class Twice:
@@ -48,7 +56,7 @@ class Twice:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
         for p in positions(hashes, self.bits, self.k):
-            out &= (self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            out &= held(self.data, p)
         return out
 
 
@@ -56,31 +64,33 @@ def seen_twice(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bi
     """The filter of what `hashes` yields at least twice over all batches of `df`."""
 
     def fill(batches):
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             distinct, n = np.unique(hashes(batch), return_counts=True)
             at = positions(distinct, bits, k)
-            again = np.logical_and.reduce([once[p] for p in at]) | (n > 1)
+            again = np.logical_and.reduce([held(once, p) for p in at]) | (n > 1)
             for p in at:
-                twice[p[again]] = True
-                once[p] = True
-        rows = [(s, packed(once[a : a + SEGMENT]), packed(twice[a : a + SEGMENT])) for s, a in enumerate(range(0, bits, SEGMENT)) if once[a : a + SEGMENT].any()]
-        for a in range(0, len(rows), 256):
-            s, o, t = zip(*rows[a : a + 256])
+                put(twice, p[again])
+                put(once, p)
+        size = SEGMENT // 8
+        used = [a for a in range(0, bits // 8, size) if once[a : a + size].any()]
+        for i in range(0, len(used), 64):
+            rows = [(a // size, packed(once[a : a + size]), packed(twice[a : a + size])) for a in used[i : i + 64]]
+            s, o, t = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(o, pa.binary()), pa.array(t, pa.binary())], ["segment", "once", "twice"])
 
     def merge(batches):
-        held: dict[int, list[np.ndarray]] = {}
+        merged: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for s, o, t in zip(*(c.to_pylist() for c in batch.columns)):
                 o, t = unpacked(o), unpacked(t)
-                if s in held:
-                    a, b = held[s]
+                if s in merged:
+                    a, b = merged[s]
                     b |= t | (a & o)
                     a |= o
                 else:
-                    held[s] = [o.copy(), t.copy()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(t, bitorder="little").tobytes() for _, t in held.values()], pa.binary())], ["segment", "twice"])
+                    merged[s] = [o.copy(), t.copy()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(merged), pa.int32()), pa.array([t.tobytes() for _, t in merged.values()], pa.binary())], ["segment", "twice"])
 
     parts = df.mapInArrow(fill, "segment int, once binary, twice binary").repartition("segment").mapInArrow(merge, "segment int, twice binary")
     data = bytearray(bits // 8)

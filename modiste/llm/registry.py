@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modiste.llm import bpe, decontaminate, html, langid, lines, lm, sharding, simhash, topk
+from modiste.llm import bpe, decontaminate, html, langid, lines, lm, sharding, simhash, suffix, topk
 from modiste.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that an earlier document has are cut out."""
+    out = suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "__cut.n_removed", "__cut.n_spans", F.sha2("__cut.kept", 256).alias("kept_sha256"))
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by a model of six sevenths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -114,5 +120,5 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines, "op9_langid": op9_langid, "op10_html": op10_html}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_suffix": op2_suffix, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines, "op9_langid": op9_langid, "op10_html": op10_html}
 ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op7_topk": OP7_SQL, "op8_lines": OP8_SQL}
