@@ -134,7 +134,8 @@ def _decode(s: pd.Series) -> pd.Series:
 
 def decode_entities(col: Column) -> Column:
     """Hex, decimal and named entities plus \\uXXXX escapes. Rows without '&' or a backslash never reach Python's decoder."""
-    return _decode(col)
+    marked = col.rlike(r"[&\\\\]")
+    return F.when(marked, _decode(F.when(marked, col))).otherwise(col)
 
 
 # ── URLs and ids ──────────────────────────────────────────────────────────────

@@ -19,7 +19,7 @@ def unpivot(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str =
     return df.unpivot(list(keys), list(cols), name, value)
 
 
-def facet_counts(df: DataFrame, cols: Sequence[str], max_values: int = 1000) -> DataFrame:
+def facet_counts(df: DataFrame, cols: Sequence[str], max_values: int) -> DataFrame:
     """(facet, value, n) for several facets in one pass; the largest `max_values` per facet."""
     long = df.select(*[C(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "facet", "value")
     counts = long.where("value IS NOT NULL AND value <> ''").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -56,14 +56,21 @@ def click_affinity(candidates: DataFrame, features: DataFrame, user: str = "user
     return df.withColumn(out, F.least(F.lit(1.0), total)).drop(*[f"__{n}" for n in AFFINITY_WEIGHTS])
 
 
+def phrase_vectors(phrases: DataFrame) -> DataFrame:
+    """(query_id, __phrases): the vectors of a query's phrases, those without one left out. A query has a handful of phrases."""
+    return phrases.where(C("vec").isNotNull()).groupBy("query_id").agg(F.collect_list("vec").alias("__phrases"))
+
+
+def phrase_share(item: Column, phrases: Column, threshold: float, full: float) -> Column:
+    """`full` × share of the phrase vectors that the item vector is close to; 0 without either."""
+    near = F.filter(phrases, lambda p: F.round(vec.cosine(item, p), 6) >= threshold)
+    return F.coalesce(F.when(item.isNotNull(), full * F.size(near) / F.size(phrases)), F.lit(0.0))
+
+
 def phrase_bonus(candidates: DataFrame, phrases: DataFrame, visual: DataFrame, threshold: float = 0.28, full: float = 0.18, out: str = "phrase_bonus") -> DataFrame:
-    """`full` × share of the query's phrases the item is close to. Only pairs above the threshold leave the scan."""
-    p = phrases.withColumn("__pid", F.concat_ws("|", C("query_id").cast("string"), C("phrase").cast("string")))
-    near = topk.scored(p, visual, None, threshold, "__pid").join(p.select("__pid", "query_id"), "__pid")
-    n_hit = near.groupBy("query_id", "object_id").agg(F.count(F.lit(1)).alias("__hit"))
-    n_all = phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("__all"))
-    joined = candidates.join(n_hit, ["query_id", "object_id"], "left").join(n_all, "query_id", "left")
-    return joined.withColumn(out, F.coalesce(full * C("__hit") / C("__all"), F.lit(0.0))).drop("__hit", "__all")
+    """`full` × share of the query's phrases the item is close to, for the candidates only."""
+    joined = candidates.join(visual.select("object_id", C("vec").alias("__v")), "object_id", "left").join(phrase_vectors(phrases), "query_id", "left")
+    return joined.withColumn(out, phrase_share(C("__v"), C("__phrases"), threshold, full)).drop("__v", "__phrases")
 
 
 def weight_policy(alignment: Column, vibe_share: Column, align: tuple[float, float] = (0.15, 0.30), dropout: float = 0.5) -> tuple[Column, Column, Column]:
@@ -76,8 +83,8 @@ def weight_policy(alignment: Column, vibe_share: Column, align: tuple[float, flo
 
 def rerank(pool: DataFrame, queries: DataFrame, products: DataFrame, visual: DataFrame, vibe: DataFrame, centroids: DataFrame | None, features: DataFrame | None,
            phrases: DataFrame | None, floor: float = 0.30, phrase_threshold: float = 0.28, align: tuple[float, float] = (0.15, 0.30)) -> DataFrame:
-    """Score a gated pool (query_id, category, object_id, kw_fraction). Vectors are read once per candidate and dropped before
-    the normalising shuffles; they are joined back by `mmr` only for the best rows."""
+    """Score a gated pool (query_id, category, object_id, kw_fraction). Vectors are joined once per candidate; all similarities and the phrase
+    bonus are taken there, and the item's own vector goes on as `vec`."""
     keys = ["query_id", "category"]
     q = queries.select("query_id", "user_token", C("vec").alias("__q"), *(["lam"] if "lam" in queries.columns else []))
     if centroids is not None:
@@ -85,12 +92,14 @@ def rerank(pool: DataFrame, queries: DataFrame, products: DataFrame, visual: Dat
     else:
         q = q.withColumn("__c", F.lit(None).cast("array<double>"))
     q = q.withColumn("__align", vec.cosine(C("__c"), C("__q")))
+    q = q.join(phrase_vectors(phrases), "query_id", "left") if phrases is not None else q.withColumn("__phrases", F.lit(None).cast("array<array<double>>"))
     attrs = products.select("object_id", "brand", "color", "retailer")
     # the three catalogue joins share one key, so the pool is shuffled once for them; the query side follows, broadcast while small
     df = (pool.join(attrs, "object_id").join(visual.select("object_id", C("vec").alias("__v")), "object_id", "left")
           .join(vibe.select("object_id", C("vec").alias("__b")), "object_id", "left").join(broadcast_if_small(q, queries), "query_id"))
     df = df.withColumn("vis", vec.cosine(C("__q"), C("__v"))).withColumn("vib", vec.cosine(C("__q"), C("__b"))).withColumn("cent", vec.cosine(C("__c"), C("__v")))
-    df = df.where(C("vis").isNull() | (C("vis") >= floor)).drop("__q", "__c", "__v", "__b")
+    df = df.where(C("vis").isNull() | (C("vis") >= floor)).withColumn("phrase_bonus", phrase_share(C("__v"), C("__phrases"), phrase_threshold, 0.18))
+    df = df.withColumnRenamed("__v", "vec").drop("__q", "__c", "__b", "__phrases")
     # ranking ties are decided on rounded scores so that every engine orders them alike
     # a pool is what the gate lets through (≤ 700 rows), so plain windows are safe and all of them share one shuffle
     names = ("vis", "vib", "cent")
@@ -99,11 +108,9 @@ def rerank(pool: DataFrame, queries: DataFrame, products: DataFrame, visual: Dat
                          "__share": F.avg(C("vib").isNotNull().cast("double")).over(Window.partitionBy(*keys))})
     w_vis, w_vib, w_cent = weight_policy(C("__align"), C("__share"), align)
     df = click_affinity(df, features) if features is not None else df.withColumn("click_affinity", F.lit(0.0))
-    df = phrase_bonus(df, phrases, visual, phrase_threshold) if phrases is not None else df.withColumn("phrase_bonus", F.lit(0.0))
     score = (w_vis * C("n_vis") + w_vib * C("n_vib") + w_cent * C("n_cent") + 0.10 * C("click_affinity")
              + 0.05 * F.coalesce("kw_fraction", F.lit(0.0)) + C("phrase_bonus"))
-    df = df.withColumn("score", F.round(score, 9)).drop("__align", "__share")
-    return df.join(visual.select("object_id", "vec"), "object_id", "left")
+    return df.withColumn("score", F.round(score, 9)).drop("__align", "__share")
 
 
 def mmr(scored: DataFrame, per_group: int, keys: Sequence[str] = ("query_id", "category"), brand_penalty: float = 0.15, default_lambda: float = 0.3) -> DataFrame:
@@ -217,11 +224,12 @@ def card_score(cards: DataFrame, hits: DataFrame, dislikes: DataFrame, history:
     return out.select(user, "card_id", F.round(total, 9).alias("score"), "p_like", "p_comment", "p_click")
 
 
-def wildcards(cards: DataFrame, keys: Sequence[str], page_size: int = 48, pos: str = "pos") -> DataFrame:
-    """Promote the most novel remaining card every `stride` slots (stride 9 − 6·explore). Sequential, per page of the feed."""
+def wildcards(cards: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
+    """Promote the most novel remaining card every `stride` slots (stride 9 − 6·explore). Sequential over the whole queue of a session, which is
+    the input of one call: the cards of one feed request."""
     keys = list(keys)
-    paged = cards.withColumn("page", F.floor((C(pos) - 1) / page_size)).select(*keys, "page", "card_id", C(pos).alias("pos"), "p_comment", "explore")
-    schema = paged.select(*keys, "page", "card_id").withColumn("new_pos", F.lit(1).cast("long")).schema
+    queues = cards.select(*keys, "card_id", C(pos).alias("pos"), "p_comment", "explore")
+    schema = queues.select(*keys, "card_id").withColumn("new_pos", F.lit(1).cast("long")).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
@@ -235,11 +243,11 @@ def wildcards(cards: DataFrame, keys: Sequence[str], page_size: int = 48, pos: s
             best = at + 1 + int(np.argmax(novelty[rest]))
             if best != at + 1:
                 queue.insert(at, queue.pop(best))
-        out = pdf.loc[queue, [*keys, "page", "card_id"]].copy()
+        out = pdf.loc[queue, [*keys, "card_id"]].copy()
         out["new_pos"] = np.arange(start, start + len(out))
         return out
 
-    return paged.groupBy(*keys, "page").applyInPandas(run, schema)
+    return queues.groupBy(*keys).applyInPandas(run, schema)
 
 
 def upcoming_only(df: DataFrame, keys: Sequence[str], current: Column, pos: str = "pos", score: str = "score", out: str = "new_pos") -> DataFrame:
@@ -249,10 +257,10 @@ def upcoming_only(df: DataFrame, keys: Sequence[str], current: Column, pos: str
                     ["__f", "__s", pos, "object_id"], out).drop("__f", "__s")
 
 
-def spread_brand(df: DataFrame, keys: Sequence[str], cooldown: int = 4, page_size: int = 384, pos: str = "pos") -> DataFrame:
-    """Most-remaining brand not among the last `cooldown` brands, per page of the lane. Sequential within a page."""
+def spread_brand(df: DataFrame, keys: Sequence[str], page: str, cooldown: int = 4, pos: str = "pos") -> DataFrame:
+    """Most-remaining brand not among the last `cooldown` brands, within each page of a paged lane; `page` names the column with its number."""
     keys = list(keys)
-    paged = (df.withColumn("page", F.floor((C(pos) - 1) / page_size))
+    paged = (df.withColumn("page", C(page))
              .select(*keys, "page", "object_id", C(pos).alias("pos"), brand_key(C("brand"), C("retailer")).alias("bk")))
     schema = paged.select(*keys, "page", "object_id", "bk").withColumn("new_pos", F.lit(1).cast("long")).schema
 
@@ -332,14 +340,15 @@ def pick_topn_brandcap(df: DataFrame, keys: Sequence[str], top: int = 36, brand_
     return first_k(always.unionByName(rest), keys, ["__keep", C("score").desc(), "object_id"], top, "slot").drop("__keep")
 
 
-def brands_by_taste(users: DataFrame, brand_centroids: DataFrame, affinity: DataFrame, user: str = "user_token", penalty: float = 0.5, limit: int = 1000) -> DataFrame:
-    """Brands ordered per user by cosine × age multiplier. users: (user, age_key, vec); centroids: (brand, vec)."""
-    pairs = topk.nearest(users, brand_centroids.select(C("brand").alias("object_id"), "vec"), limit, None, user).withColumnRenamed("object_id", "brand").drop("rank")
+def brands_by_taste(users: DataFrame, brand_centroids: DataFrame, affinity: DataFrame, user: str = "user_token", penalty: float = 0.5) -> DataFrame:
+    """All brands in the order of cosine × age multiplier, per user. users: (user, age_key, vec); centroids: (brand, vec)."""
+    every = -1.1  # below any cosine
+    pairs = topk.scored(users, brand_centroids.select(C("brand").alias("object_id"), "vec"), None, every, user).withColumnRenamed("object_id", "brand")
     ages = affinity.select("brand", "preferred_ages")
     joined = pairs.join(users.select(user, "age_key"), user).join(ages, "brand", "left")
     ok = C("age_key").isNull() | F.coalesce(F.array_contains("preferred_ages", C("age_key")), F.lit(True))
     value = joined.select(user, "brand", F.round(C("score") * F.when(ok, 1.0).otherwise(penalty), 9).alias("score"))
-    return first_k(value, [user], [C("score").desc_nulls_last(), "brand"], limit, "rank")
+    return numbered(value, [user], [C("score").desc_nulls_last(), "brand"], "rank")
 
 
 def similar_items(clusters: DataFrame, seeds: DataFrame, vectors: DataFrame, products: DataFrame, total_k: int = 120, per_category: int = 12, key: str = "user_token") -> DataFrame:

@@ -1,8 +1,8 @@
 """Nearest neighbours, top-k, ordering and paging.
 
-Exact nearest neighbours never materialise query × item pairs: each Arrow batch of vectors is multiplied with the query
-matrix inside the task and only the best k per (query, group) leave it. The query matrix travels to the tasks when it is
-within a checked size; beyond that both sides are cut into blocks and cogrouped block by block.
+Exact nearest neighbours never materialise query × item pairs: Arrow batches of vectors are multiplied with a query matrix inside the
+task, which keeps the best k per (query, group) over all its batches and passes them on at its end. Queries come in chunks of a
+fixed number of rows, each sent to the tasks by itself; vectors are never shuffled.
 """
 
 from __future__ import annotations
@@ -10,17 +10,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modiste.functions.scores import js_round
 from modiste.scale import bounded_rows, first_k, first_per_key, numbered
+from modiste.session import cut
 
 C = F.col
+#: query rows sent to the tasks at once
 MAX_QUERY_ROWS = 20_000
-VECTOR_BLOCK, QUERY_BLOCK = 50_000, 5_000
+#: a task merges what its batches have left when it holds this many pairs
+HELD_PAIRS = 2_000_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -50,51 +52,76 @@ def best_of_block(q: np.ndarray, ids: np.ndarray, vecs: np.ndarray, groups: np.n
     return np.concatenate(qi or [np.empty(0, int)]), np.concatenate(ii or [np.empty(0, int)]), np.concatenate(ss or [np.empty(0)])
 
 
+def _merged(held: list, k: int) -> list:
+    """The best k per (query, group) of the pairs a task holds; ties go to the smaller id."""
+    q, ids, s, g = (np.concatenate([h[i] for h in held]) for i in range(4))
+    order = np.lexsort((ids, -s, g, q))
+    q, ids, s, g = q[order], ids[order], s[order], g[order]
+    new = np.r_[True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])] if len(q) else np.empty(0, bool)
+    starts = np.flatnonzero(new)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    keep = place < k
+    return [(q[keep], ids[keep], s[keep], g[keep])]
+
+
+def _score_chunk(v: DataFrame, table: pa.Table, k: int | None, floor: float | None, group: str | None, schema: str) -> DataFrame:
+    held_queries = v.sparkSession.sparkContext.broadcast((table.column("__q").to_numpy(zero_copy_only=False), _matrix(table.column("vec").combine_chunks())))
+    names = ["__q", "object_id", "score"] + ([group] if group else [])
+
+    def out(qids, pairs):
+        q, ids, s, g = pairs
+        for at in range(0, len(q), 50_000):
+            some = slice(at, at + 50_000)
+            cols = [pa.array(qids[q[some]], pa.string()), pa.array(ids[some], pa.string()), pa.array(s[some])]
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(g[some], pa.string())] if group else []), names=names)
+
+    def run(batches):
+        qids, qm = held_queries.value
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows == 0 or len(qids) == 0:
+                continue
+            ids = b.column("object_id").to_numpy(zero_copy_only=False).astype(str)
+            groups = b.column(group).to_numpy(zero_copy_only=False).astype(str) if group else None
+            qi, ii, ss = best_of_block(qm, ids, _matrix(b.column("vec")), groups, k, floor)
+            pairs = (qi, ids[ii], ss, groups[ii] if group else np.full(len(ii), ""))
+            if k is None:
+                yield from out(qids, pairs)
+                continue
+            held.append(pairs)
+            n += len(qi)
+            if n > HELD_PAIRS:
+                held = _merged(held, k)
+                n = len(held[0][0])
+        if held:
+            yield from out(qids, _merged(held, k)[0])
+
+    return v.mapInArrow(run, schema)
+
+
 def scored(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float | None = None, query_key: str = "query_id", group: str | None = None,
            max_query_rows: int = MAX_QUERY_ROWS) -> DataFrame:
-    """(query, item, [group], score): per batch at most k rows per (query, group), all at or above `floor`.
+    """(query, item, [group], score): per task at most k rows per (query, group), all at or above `floor`.
 
-    With k set the result still holds the winners of every batch; `nearest` ranks them. Without k a floor is required."""
+    With k set the result still holds the winners of every task; `nearest` ranks them. Without k a floor is required. More than
+    `max_query_rows` queries are dealt into chunks by a hash of their key and handled chunk by chunk."""
     if k is None and floor is None:
         raise ValueError("give k or a floor")
     q = queries.where(C("vec").isNotNull()).select(C(query_key).cast("string").alias("__q"), "vec")
-    cols = ["object_id", "vec"] + ([group] if group else [])
-    v = vectors.where(C("vec").isNotNull()).select(*cols)
+    v = vectors.where(C("vec").isNotNull()).select("object_id", "vec", *([group] if group else []))
     schema = "__q string, object_id string, score double" + (f", {group} string" if group else "")
     table = bounded_rows(q, max_query_rows)
-    names = ["__q", "object_id", "score"] + ([group] if group else [])
-    spark = vectors.sparkSession
-
     if table is not None:
-        held = spark.sparkContext.broadcast((table.column("__q").to_numpy(zero_copy_only=False), _matrix(table.column("vec").combine_chunks())))
-
-        def score_batches(batches):
-            qids, qm = held.value
-            for b in batches:
-                if b.num_rows == 0 or len(qids) == 0:
-                    continue
-                ids = b.column("object_id").to_numpy(zero_copy_only=False).astype(str)
-                groups = b.column(group).to_numpy(zero_copy_only=False).astype(str) if group else None
-                qi, ii, ss = best_of_block(qm, ids, _matrix(b.column("vec")), groups, k, floor)
-                out = [pa.array(qids[qi], pa.string()), pa.array(ids[ii], pa.string()), pa.array(ss)]
-                yield pa.RecordBatch.from_arrays(out + ([pa.array(groups[ii], pa.string())] if group else []), names=names)
-
-        pairs = v.mapInArrow(score_batches, schema)
+        tables = [table]
     else:
-        n_v, n_q = -(-v.count() // VECTOR_BLOCK), -(-q.count() // QUERY_BLOCK)
-        left = q.withColumn("__qb", F.pmod(F.xxhash64("__q"), F.lit(n_q))).withColumn("__vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-        right = v.withColumn("__vb", F.pmod(F.xxhash64("object_id"), F.lit(n_v)).cast("int")).withColumn("__qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")))
-
-        def score_blocks(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame({n: [] for n in names})
-            ids = b["object_id"].to_numpy().astype(str)
-            groups = b[group].to_numpy().astype(str) if group else None
-            qi, ii, ss = best_of_block(_matrix(pa.array(list(a["vec"]))), ids, _matrix(pa.array(list(b["vec"]))), groups, k, floor)
-            out = {"__q": a["__q"].to_numpy()[qi], "object_id": ids[ii], "score": ss}
-            return pd.DataFrame({**out, **({group: groups[ii]} if group else {})})
-
-        pairs = left.groupBy("__vb", "__qb").cogroup(right.groupBy("__vb", "__qb")).applyInPandas(score_blocks, schema)
+        q = cut(q)  # many queries: computed once, then read chunk by chunk
+        n = -(-2 * q.count() // max_query_rows)
+        parts = [q.where(F.pmod(F.xxhash64("__q"), F.lit(n)) == i) for i in range(n)]
+        tables = (part.toArrow() for part in parts)
+    pairs = None
+    for table in tables:
+        chunk = _score_chunk(v, table, k, floor, group, schema)
+        pairs = chunk if pairs is None else pairs.unionByName(chunk)
     kind = queries.schema[query_key].dataType
     return pairs.select(C("__q").cast(kind).alias(query_key), "object_id", *([group] if group else []), "score")
 

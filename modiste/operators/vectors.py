@@ -34,26 +34,29 @@ def greedy_cluster(rows: DataFrame, key: str, order: Sequence[str], threshold: f
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [key, "cluster", "weight", "size", "vec"]
-        current, sums, counts, first, done = None, [], [], None, []
+        current, sums, counts, first, done = None, np.zeros((0, 0)), [], None, []
         for b in batches:
             for k, v in zip(b[key].tolist(), b["vec"].tolist()):
                 v = np.asarray(v, dtype=np.float64)
                 if k != current:
                     if counts:
                         done.extend(finish(current, sums, counts, first))
-                    current, sums, counts, first = k, [], [], v
+                    current, counts, first = k, [], v
+                    sums = np.zeros((8, len(v)))
                 best, best_sim, nv = -1, threshold, np.linalg.norm(v)
-                if sums:
-                    m = np.vstack(sums)
+                if counts:
+                    m = sums[: len(counts)]
                     norms = np.linalg.norm(m, axis=1) * nv
                     sims = np.where(norms == 0, 0.0, m @ v / np.where(norms == 0, 1.0, norms))
                     i = int(np.argmax(sims))
                     best = i if sims[i] > best_sim else -1
                 if best < 0:
-                    sums.append(v.copy())
+                    if len(counts) == len(sums):
+                        sums = np.vstack([sums, np.zeros_like(sums)])
+                    sums[len(counts)] = v
                     counts.append(1)
                 else:
-                    sums[best] = sums[best] + v
+                    sums[best] += v
                     counts[best] += 1
             if done:
                 yield pd.DataFrame(done, columns=names)

@@ -82,5 +82,7 @@ def backfill_page(entries: DataFrame, page: int, size: int, excluded: Sequence[s
     """One newest-first page, entries with an excluded board name skipped."""
     low = [x.lower() for x in excluded]
     fine = entries.where(~F.exists(C(boards), lambda b: F.lower(b).isin(low)))
-    ranked = numbered(fine, [], [C(ts).desc(), C(tie).desc()], "position")
+    newest = [C(ts).desc(), C(tie).desc()]
+    head = fine.orderBy(*newest).limit((page + 1) * size)  # a page and those before it
+    ranked = numbered(head, [], newest, "position", spread=False)
     return ranked.where((C("position") > page * size) & (C("position") <= (page + 1) * size))

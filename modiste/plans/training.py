@@ -52,13 +52,14 @@ def _stack(s: pd.Series) -> np.ndarray:
     return np.vstack(s.to_numpy()).astype(np.float64)
 
 
-def train_projection(rows: DataFrame, dim: int, epochs: int = 15, lr: float = 0.01, margin: float = 0.2, steps_per_epoch: int = 8) -> tuple[np.ndarray, list[float]]:
+def train_projection(rows: DataFrame, dim: int, epochs: int = 15, lr: float = 0.5, margin: float = 0.2, batch_rows: int = 4096) -> tuple[np.ndarray, list[float]]:
     """Bilinear hinge training of W (dim × dim), starting at the identity. `rows` carry anchor/positive/negative vectors.
 
     Every step is one Spark job over a hashed slice of the triplets: tasks sum the gradients of their batches and the sums are added by
-    a Spark aggregate, so the driver sees one dim × dim matrix per step. The update adds the gradient sum of the slice, as the
-    per-sample rule does, but at the slice's starting W (mini-batch instead of per-sample descent).
+    a Spark aggregate, so the driver sees one dim × dim matrix per step. A step is `lr` times the mean gradient of the slice's triplets within the
+    margin, at the slice's starting W (mini-batch instead of per-sample descent); slices have about `batch_rows` triplets.
     """
+    steps_per_epoch = max(1, -(-rows.count() // batch_rows))
     data = rows.select("anchor_vec", "positive_vec", "negative_vec", F.pmod(F.xxhash64("anchor", "positive", "negative"), F.lit(steps_per_epoch)).alias("slice")).persist()
     sc = rows.sparkSession.sparkContext
     w, losses = np.eye(dim), []
@@ -94,8 +95,7 @@ def train_projection(rows: DataFrame, dim: int, epochs: int = 15, lr: float = 0.
                     g[sums["cell"].to_numpy()] = sums["g"].to_numpy()
                     n_on = int(sums["active"].sum())
                     if n_on:
-                        # mean step scaled like a bounded run of per-sample steps
-                        w = w + lr * min(n_on, 50) / n_on * g.reshape(dim, dim)
+                        w = w + lr / n_on * g.reshape(dim, dim)
                     loss_sum, active_sum = loss_sum + float(sums["loss"].sum()), active_sum + n_on
             losses.append(loss_sum / active_sum if active_sum else 0.0)
     finally:

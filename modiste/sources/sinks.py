@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modiste.session import shared_dir
+from modiste.session import cut, shared_dir
 
 C = F.col
 
@@ -46,9 +46,21 @@ def upsert_catalog(spark: SparkSession, path: str, new: DataFrame, keys: Sequenc
     return target
 
 
-def upsert_vectors(vectors: DataFrame, path: str) -> None:
-    """Write vectors (object_id, namespace, vec, metadata…) partitioned by namespace; only the namespaces present are replaced."""
-    vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(path)
+def upsert_vectors(vectors: DataFrame, path: str, buckets: int = 64) -> None:
+    """Put vectors (object_id, namespace, vec, metadata…) into the store at `path` by (namespace, object_id); others stay.
+
+    The store is partitioned by namespace and a hash bucket of the id. Only buckets that the batch touches are read, merged and
+    replaced; the merge is written aside first, so a lost task never meets a half-replaced bucket. `buckets` belongs to the store.
+    """
+    spark = vectors.sparkSession
+    keys = ["namespace", "object_id"]
+    new = cut(vectors.withColumn("bucket", F.pmod(F.xxhash64("object_id"), F.lit(buckets)).cast("int")))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        touched = new.select("namespace", "bucket").distinct()
+        old = spark.read.schema(new.schema).parquet(path).join(touched, ["namespace", "bucket"], "left_semi").select(*new.columns)
+        new = cut(old.join(new.select(*keys), keys, "left_anti").unionByName(new))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "bucket").parquet(path)
 
 
 def append_jsonl(entries: DataFrame, path: str) -> None:

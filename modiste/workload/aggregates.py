@@ -34,9 +34,9 @@ def unit_wmean(src: str, keys: str) -> str:
     return UNIT.format(keys=keys, src="(" + wmean(src, keys) + ")")
 
 
-@query("agg_facet_counts", " UNION ALL ".join(f"SELECT '{f}' AS facet, {f} AS value, count(*) AS n FROM products WHERE {f} <> '' GROUP BY {f}" for f in ("brand", "category", "color", "price_range")))
+@query("agg_facet_counts", " UNION ALL ".join(f"SELECT '{f}' AS facet, value, n FROM (SELECT {f} AS value, count(*) AS n FROM products WHERE {f} <> '' GROUP BY {f} ORDER BY n DESC, value LIMIT 1000)" for f in ("brand", "category", "color", "price_range")))
 def _(e):
-    return aggregates.facet_counts(e.products, ["brand", "category", "color", "price_range"])
+    return aggregates.facet_counts(e.products, ["brand", "category", "color", "price_range"], max_values=1000)
 
 
 GOOD = "starts_with(image_url, 'http') AND NOT contains(image_url, 'placeholder')"

@@ -170,12 +170,14 @@ def _(e):
     return e.spark.read.parquet(sinks.upsert_catalog(e.spark, path, new, ["object_id"], ["price"], gone))
 
 
-@query("sink_vectors", "SELECT 'visual' AS namespace, object_id, round(vec[1], 6) AS v0 FROM vectors UNION ALL SELECT 'vibe', object_id, round(vec[1] * 2, 6) FROM vibes")
+@query("sink_vectors", """SELECT 'visual' AS namespace, object_id, round(vec[1], 6) AS v0 FROM vectors UNION ALL SELECT 'vibe', object_id, round(vec[1] * CASE WHEN ends_with(object_id, '3') THEN 2 ELSE 1 END, 6) FROM vibes
+    UNION ALL SELECT 'vibe', concat('new-', object_id), round(vec[1] * 2, 6) FROM vibes WHERE ends_with(object_id, '3')""")
 def _(e):
     path = sinks.scratch_path(e.spark, "vectors")
     both = e.vectors.select("object_id", F.lit("visual").alias("namespace"), "vec").unionByName(e.vibes.select("object_id", F.lit("vibe").alias("namespace"), "vec"))
     sinks.upsert_vectors(both, path)
-    sinks.upsert_vectors(e.vibes.select("object_id", F.lit("vibe").alias("namespace"), F.transform("vec", lambda x: x * 2).alias("vec")), path)
+    some = e.vibes.where(C("object_id").endswith("3")).select("object_id", F.lit("vibe").alias("namespace"), F.transform("vec", lambda x: x * 2).alias("vec"))
+    sinks.upsert_vectors(some.unionByName(some.withColumn("object_id", F.concat(F.lit("new-"), "object_id"))), path)
     return e.spark.read.parquet(path).select("namespace", "object_id", F.round(F.get("vec", F.lit(0)), 6).alias("v0"))
 
 

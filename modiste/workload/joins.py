@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from modiste.functions import text
 from modiste.operators import joins, topk
-from modiste.scale import first_k
+from modiste.scale import first_k, numbered
 from modiste.workload.fixtures import query, quoted, r6c
 
 C = F.col
@@ -135,7 +135,7 @@ def _(e):
 def picks(e):
     """Onboarding picks: the n-th click of a user against the n-th dislike."""
     def nth(kind, name):
-        return first_k(e.signals.where(C("kind") == kind), ["user_token"], ["ts", "event_id"], 1000).select("user_token", "rn", C("object_id").alias(name))
+        return numbered(e.signals.where(C("kind") == kind), ["user_token"], ["ts", "event_id"], "rn").select("user_token", "rn", C("object_id").alias(name))
 
     return nth("click", "picked").join(nth("dislike", "rejected"), ["user_token", "rn"])
 

@@ -123,7 +123,7 @@ def split_triplets(e):
 @query("train_projection")
 def _(e):
     s = split_triplets(e)
-    w, losses = training.train_projection(training.with_vectors(s.where("split = 'train'"), e.vectors), 64, epochs=3, steps_per_epoch=2)
+    w, losses = training.train_projection(training.with_vectors(s.where("split = 'train'"), e.vectors), 64, epochs=3)
     test = s.where("split = 'test'")
     before, after = training.accuracy(test, e.vectors), training.accuracy(test, e.vectors, w)
     return before.select(F.lit("identity").alias("weights"), F.round("accuracy", 3).alias("accuracy"), "n").unionByName(after.select(F.lit("trained").alias("weights"), F.round("accuracy", 3).alias("accuracy"), "n"))

@@ -276,7 +276,7 @@ def _(e):
 
 @query("rank_spread_brand")
 def _(e):
-    return ranking.spread_brand(lists(e), ["lane"], pos="lpos")
+    return ranking.spread_brand(lists(e).withColumn("page", F.floor((C("lpos") - 1) / 384)), ["lane"], "page", pos="lpos")
 
 
 @query("rank_pick_diverse")

@@ -43,7 +43,7 @@ def _(e):
 
 
 POOL_SQL = f"""{UNION}, {keyword_sql('kw', 'queries', group='category', k=30)},
-    s AS (SELECT query_id, category, object_id, row_number() OVER (PARTITION BY query_id, category ORDER BY rank, object_id) AS r FROM sem WHERE NOT EXISTS (SELECT 1 FROM kw WHERE kw.query_id = sem.query_id AND kw.category = sem.category AND kw.object_id = sem.object_id)),
+    s AS (SELECT query_id, category, object_id, row_number() OVER (PARTITION BY query_id, category ORDER BY rank, object_id) AS r FROM sem WHERE NOT EXISTS (SELECT 1 FROM kw WHERE kw.rank <= 15 AND kw.query_id = sem.query_id AND kw.category = sem.category AND kw.object_id = sem.object_id)),
     u AS (SELECT query_id, category, object_id, 0 AS src, rank AS r FROM kw WHERE rank <= 15 UNION ALL SELECT query_id, category, object_id, 1, r FROM s WHERE r <= 10),
     gate AS (SELECT query_id, category, object_id, CASE src WHEN 0 THEN 'keyword' ELSE 'semantic' END AS source, row_number() OVER (PARTITION BY query_id, category ORDER BY src, r) AS pos FROM u)"""
 

@@ -34,14 +34,20 @@ def test_group_stats_spread_equals_window(spark):
 
 
 @pytest.mark.parametrize("limit", [20000, 5])
-def test_nearest_is_exact_on_both_paths(spark, limit, monkeypatch):
-    monkeypatch.setattr(topk, "VECTOR_BLOCK", 60)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+def test_nearest_is_exact_in_one_chunk_and_in_many(spark, limit):
+    """Several batches per task; what leaves a task is bounded by queries × groups × k."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
     v, q = unit_rows(200), unit_rows(12, seed=2)
     v[50:120] = v[50]  # a third of the items are copies of one
     vs = spark.createDataFrame([(f"p{i:03d}", "ab"[i % 2], x.tolist()) for i, x in enumerate(v)], "object_id string, g string, vec array<double>")
     qs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, vec array<double>")
-    got = {(r.query_id, r.g, r["rank"]): r.object_id for r in topk.nearest(qs, vs, 7, group="g", max_query_rows=limit).collect()}
+    try:
+        got = {(r.query_id, r.g, r["rank"]): r.object_id for r in topk.nearest(qs, vs, 7, group="g", max_query_rows=limit).collect()}
+        left = topk.scored(qs, vs.repartition(3), 7, group="g", max_query_rows=limit).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert left <= 3 * 12 * 2 * 7
     s = np.round(q @ v.T, 6)
     for i in range(12):
         for g in (0, 1):
@@ -90,7 +96,7 @@ def test_greedy_cluster(spark):
 
 def test_spread_brand_keeps_all_rows_and_distance(spark):
     rows = [("x", f"p{i:02d}", "A" if i < 10 else f"B{i % 6}", "", i + 1) for i in range(40)]
-    out = ranking.spread_brand(spark.createDataFrame(rows, "lane string, object_id string, brand string, retailer string, pos long"), ["lane"], cooldown=3).orderBy("new_pos").collect()
+    out = ranking.spread_brand(spark.createDataFrame(rows, "lane string, object_id string, brand string, retailer string, pos long").selectExpr("*", "0 AS page"), ["lane"], "page", cooldown=3).orderBy("new_pos").collect()
     brands = [r.brand_key for r in out]
     assert sorted(r.object_id for r in out) == sorted(r[1] for r in rows) and [r.new_pos for r in out] == list(range(1, 41))
     assert all(brands[i] not in brands[i + 1:i + 4] for i in range(20))
@@ -192,6 +198,6 @@ def test_training_improves_held_out_triplets(spark):
     t = training.triplets(items, "s")
     rows = t.collect()
     assert len(rows) == 400 and all(r.anchor != r.positive for r in rows)
-    w, losses = training.train_projection(training.with_vectors(t, vs), 6, epochs=6, lr=0.05, steps_per_epoch=2)
+    w, losses = training.train_projection(training.with_vectors(t, vs), 6, epochs=6, lr=2.5, batch_rows=200)
     before, after = (training.accuracy(t, vs, m).first().accuracy for m in (None, w))
     assert losses[-1] < losses[0] and after > before

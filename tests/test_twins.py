@@ -1,12 +1,12 @@
-"""A cross-section of the registered queries against their SQL twins on the smallest data folder (tests/oracle.py runs all)."""
+"""The registered queries against their SQL twins on the smallest data folder."""
 
 import oracle
 import pytest
 
+from modiste.workload import all_queries, all_twins
+
 FOLDER = "/root/testdata/sf0.001"
-KEYS = ["fn_parse_price", "fn_price_bucket", "fn_steer_parse", "fn_aesthetic_tags", "flt_edit_rules", "flt_category_blockers", "join_asof_latest_steer", "join_token_theta", "agg_centroid", "agg_implicit_avoids",
-        "win_adaptive_norm", "win_round_robin_2level", "win_catalog_slices", "win_diversity_slots", "topk_vector", "topk_clustered", "set_pool_merge", "set_fallback_widen", "vec_project", "rank_keyword",
-        "rank_optional_words", "rank_hybrid", "rank_card_score", "prof_user_vector", "gen_triplets", "maint_mistag_audit", "src_html_product", "sink_catalog_upsert", "st_windows", "st_steer_outcomes"]
+KEYS = sorted(all_twins())
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,6 @@ def test_twin(spark, con, key):
 def test_every_key_is_registered_once():
     import __spark_entry__ as entry
 
-    q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q)
+    q, o = all_queries(), all_twins()
+    assert set(o) <= set(q) and set(q) <= set(entry.queries()) and set(o) <= set(entry.oracle_sql())
     assert set(q) - set(o) == {"fn_decode_entities", "vec_greedy_cluster", "rank_two_stage", "rank_mmr", "rank_wildcards", "rank_spread_brand", "rank_pick_diverse", "train_projection"}
