@@ -98,10 +98,10 @@ def _(e):
 FOCUS_BLOCKERS = {"dress": ["anvil", "rod"], "top": ["gear"]}
 
 
-@query("flt_focus_skew", f"""SELECT q.query_id, p.object_id FROM queries q JOIN products p ON p.brand = concat('Brand#', CAST(q.query_id AS VARCHAR))
+@query("flt_focus_skew", f"""SELECT q.query_id, p.object_id FROM queries q JOIN products p ON p.brand = concat('Brand#', CAST(1 + q.query_id % 25 AS VARCHAR))
     WHERE q.avoid = '' OR (p.category IN ('dress', 'top') AND NOT (category = 'dress' AND regexp_matches(title, {starts(FOCUS_BLOCKERS['dress'])})) AND NOT (category = 'top' AND regexp_matches(title, {starts(FOCUS_BLOCKERS['top'])})))""")
 def _(e):
-    q = e.queries.select("query_id", F.concat(F.lit("Brand#"), C("query_id").cast("string")).alias("brand"),
+    q = e.queries.select("query_id", F.concat(F.lit("Brand#"), (C("query_id") % 25 + 1).cast("string")).alias("brand"),
                          F.when(C("avoid") == "", F.array().cast("array<string>")).otherwise(text.lit_array(["Dress", " top"])).alias("focus"))
     return filters.focus_skew(q.join(e.products, "brand"), C("focus"), FOCUS_BLOCKERS).select("query_id", "object_id")
 

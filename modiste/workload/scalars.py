@@ -171,9 +171,9 @@ def _(e):
     return e.products.select("object_id", text.display_text(F.concat("color", F.lit(" ")), C("title")).alias("shown"))
 
 
-@query("fn_ascii_ratio", f"SELECT doc_id, {r6('length(regexp_replace(text, ' + quoted(chr(91) + '^' + chr(92) + 'x00-' + chr(92) + 'x7F]') + ', chr(0)[2:], ' + quoted('g') + ')) / length(text)')} AS ratio FROM documents WHERE length(text) > 0")
+@query("fn_ascii_ratio", f"SELECT doc_id, {r6('length(regexp_replace(text, ' + quoted(chr(91) + '^' + chr(92) + 'x00-' + chr(92) + 'x7F]') + ', chr(0)[2:], ' + quoted('g') + ')) / length(text)')} AS ratio FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, 1.0 FROM documents WHERE length(text) = 0")
 def _(e):
-    return e.table("documents").where(F.length("text") > 0).select("doc_id", r6c(text.ascii_ratio(C("text"))).alias("ratio"))
+    return e.table("documents").select("doc_id", r6c(text.ascii_ratio(C("text"))).alias("ratio"))
 
 
 @query("fn_looks_english", rf"""SELECT doc_id, CASE WHEN trim(t) = '' THEN true WHEN length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) / length(t) < 0.97 THEN false

@@ -123,3 +123,9 @@ def _(e):
 def _(e):
     v = e.vectors.select("label", F.when(F.get("vec", F.lit(0)) > 0.2, vec.scale(C("vec"), 1.5)).otherwise(C("vec")).alias("vec"))
     return ops.health(v, ["label"]).withColumn("mean_norm", F.round("mean_norm", 6))
+
+
+@query("vec_distinctness", """SELECT concat('p-', CAST(a.vec_id AS VARCHAR)) AS a, concat('p-', CAST(b.vec_id AS VARCHAR)) AS b, score FROM (SELECT a.vec_id AS ai, b.vec_id AS bi, round(list_cosine_similarity(a.vec, b.vec), 6) AS score FROM vectors a JOIN vectors b ON concat('p-', CAST(a.vec_id AS VARCHAR)) < concat('p-', CAST(b.vec_id AS VARCHAR)))
+    JOIN vectors a ON a.vec_id = ai JOIN vectors b ON b.vec_id = bi WHERE score >= 0.4""")
+def _(e):
+    return ops.too_similar(e.vectors.select(C("object_id").alias("probe"), "vec"), limit=0.4)
