@@ -61,6 +61,15 @@ def delete_targets(products: DataFrame, targets: Sequence[tuple[str, str]], ids:
     return gone, tagged.where(C("reason").isNull()).drop("reason"), gone.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def delete_by_query(products: DataFrame, vectors: DataFrame, text: str, most: int = 1000) -> dict[str, DataFrame]:
+    """What a keyword search for `text` finds, at most `most` of it as the index does, goes from catalogue and vectors."""
+    from modiste.plans.retrieval import keyword_search
+
+    query = products.sparkSession.createDataFrame([(0, text)], "query_id int, text string")
+    hits = keyword_search(query, products, most).select("object_id")
+    return {"deleted": products.join(hits, "object_id", "left_semi"), "products": products.join(hits, "object_id", "left_anti"), "vectors": vectors.join(hits, "object_id", "left_anti")}
+
+
 def incremental(todo: DataFrame, done: DataFrame, key: str = "object_id") -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 

@@ -114,6 +114,24 @@ def multi_query(subqueries: DataFrame, products: DataFrame, per_category: int, k
     return sets.union_distinct_ordered(hits, group, ("sub_id", "rank"))
 
 
+#: fixed values: the word that leans a search towards a category
+HINTS = {"dress": "", "top": "top", "bottom": "skirt", "jacket": "jacket", "shoes": "shoes", "bag": "bag"}
+
+
+def category_search(queries: DataFrame, products: DataFrame, per_category: int, keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """(keys, bucket, tier, pos, object_id): one text per (query, bucket), a bucket being a category. Searched within the category first; while that
+    gives fewer than half of `per_category`, without it but with the category's hint word; while the two give fewer than two, by
+    the last two words of the text. The first two ask for twice `per_category`, the last for `per_category`."""
+    group, wide = [*keys, "bucket"], max(3, 2 * per_category)
+    hint = F.element_at(F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv]), C("bucket"))
+    hinted = F.when((hint != "") & ~F.contains(F.lower("text"), hint), F.concat_ws(" ", "text", hint)).otherwise(C("text"))
+    last_two = F.array_join(F.slice(F.split(F.trim("text"), " "), F.greatest(F.lit(1), F.size(F.split(F.trim("text"), " ")) - 1), F.lit(2)), " ")
+    strict = keyword_search(queries.withColumn("category", C("bucket")), products, wide, group)
+    leaning = keyword_search(queries.withColumn("text", hinted), products, wide, group)
+    broad = keyword_search(queries.withColumn("text", last_two), products, per_category, group)
+    return sets.fallback_widen([strict, leaning, broad], group, [max(2, per_category // 2), 2])
+
+
 def with_categories(vectors: DataFrame, products: DataFrame) -> DataFrame:
     return vectors.join(products.select("object_id", "category"), "object_id").select("object_id", "category", "vec")
 

@@ -199,6 +199,6 @@ def _(e):
 
     q = e.queries.select("query_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("w"))
     p = e.products.withColumn("w", F.split_part("title", F.lit(" "), F.lit(1)))
-    r = first_k(q.join(p, "w"), ["query_id", "category"], [C("price").desc_nulls_last(), "object_id"], 6, "rank")
+    r = q.join(first_k(p, ["w", "category"], [C("price").desc_nulls_last(), "object_id"], 6, "rank"), "w")
     briefs = e.queries.select("query_id", F.array(F.lit("rod"), F.split_part("text", F.lit(" "), F.lit(2))).alias("anti_leak"))
     return aggregates.leak_rate(r, briefs)

@@ -72,6 +72,20 @@ def _(e):
     return sets.fallback_widen([exact.where("category = 'dress'"), exact, q.drop("text").join(p.drop("text"), "w2")], ["query_id"], [5, 30])
 
 
+BUCKETS = "qb AS (SELECT query_id, bucket, text, CASE WHEN bucket = 'bottom' THEN concat(text, ' skirt') WHEN bucket = 'dress' OR contains(lower(text), bucket) THEN text ELSE concat(text, ' ', bucket) END AS text1, array_to_string(string_split(text, ' ')[-2:], ' ') AS text2 FROM queries, (VALUES ('dress'), ('bottom'), ('bag')) b(bucket))"
+
+
+@query("set_category_fallback", f"""WITH {BUCKETS}, {keyword_sql('t0', 'qb', keys='query_id, bucket', k=8, cond='p.category = q.bucket')}, {keyword_sql('t1', 'qb', 'text1', 'query_id, bucket', k=8, need_terms=False)}, {keyword_sql('t2', 'qb', 'text2', 'query_id, bucket', k=4, need_terms=False)},
+    t AS (SELECT query_id, bucket, object_id, 0 AS tier, rank FROM t0 UNION ALL SELECT query_id, bucket, object_id, 1, rank FROM t1 UNION ALL SELECT query_id, bucket, object_id, 2, rank FROM t2),
+    f AS (SELECT query_id, bucket, object_id, min(tier * 1000000000 + rank) AS f, min(tier) AS tier FROM t GROUP BY 1, 2, 3), n AS (SELECT query_id, bucket, count(*) FILTER (tier = 0) AS n0, count(*) FILTER (tier <= 1) AS n1 FROM f GROUP BY 1, 2)
+    SELECT query_id, bucket, object_id, CAST(tier AS INTEGER) AS tier, row_number() OVER (PARTITION BY query_id, bucket ORDER BY f, object_id) AS pos FROM f JOIN n USING (query_id, bucket) WHERE tier <= CASE WHEN n0 >= 2 THEN 0 WHEN n1 >= 2 THEN 1 ELSE 2 END""")
+def _(e):
+    from modiste.plans.retrieval import category_search
+
+    q = e.queries.select("query_id", "text", F.explode(F.array(F.lit("dress"), F.lit("bottom"), F.lit("bag"))).alias("bucket"))
+    return category_search(q, e.products, 4).select("query_id", "bucket", "object_id", "tier", "pos")
+
+
 @query("set_pad_min", """WITH r AS (SELECT query_id, p.category, object_id, row_number() OVER (PARTITION BY query_id, p.category ORDER BY pos) AS rank FROM queries q JOIN products p ON p.title = q.text AND p.brand = concat('Brand#', CAST(1 + query_id % 25 AS VARCHAR))),
     t AS (SELECT query_id, count(*) AS n FROM r GROUP BY 1), g AS (SELECT query_id, object_id, pos AS rank FROM queries q JOIN products p ON p.title = q.text),
     x AS (SELECT g.* FROM g LEFT JOIN t USING (query_id) WHERE coalesce(n, 0) < 6 AND NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = g.query_id AND r.object_id = g.object_id)),
@@ -82,7 +96,9 @@ def _(e):
     q = e.queries.select("query_id", "text", F.concat(F.lit("Brand#"), (C("query_id") % 25 + 1).cast("string")).alias("brand"))
     p = e.products.select("object_id", "category", "brand", "pos", C("title").alias("text"))
     res = numbered(q.join(p, ["text", "brand"]), ["query_id", "category"], ["pos"], "rank").select("query_id", "category", "object_id", "rank")
-    generic = q.drop("brand").join(p.drop("brand"), "text").select("query_id", "object_id", C("pos").alias("rank"))
+    # at most eight are filled in where a query has fewer than six results, so fourteen per text are enough
+    head = first_k(p.drop("brand"), ["text"], ["pos", "object_id"], 14)
+    generic = q.drop("brand").join(head, "text").select("query_id", "object_id", C("pos").alias("rank"))
     return sets.pad_min(res, generic, ["query_id"], F.lit("dress"))
 
 

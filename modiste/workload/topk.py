@@ -95,8 +95,10 @@ LOOSE = """r AS (SELECT q.query_id, p.object_id, p.price, q.text, q.price_range
     SELECT query_id, object_id, CAST(level AS INTEGER) AS level, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f, object_id) AS position FROM f) WHERE position <= 24""")
 def _(e):
     q = e.queries.select("query_id", "text", C("price_range").alias("want"), F.split_part("text", F.lit(" "), F.lit(2)).alias("w"))
-    r = q.join(e.products.withColumn("w", F.split_part("title", F.lit(" "), F.lit(2))), "w")
-    levels = [r.where("title = text AND price_range = want"), r.where("title = text"), r]
+    p = e.products.select("object_id", "pos", C("title").alias("text"), C("price_range").alias("want"), F.split_part("title", F.lit(" "), F.lit(2)).alias("w"))
+    # the order doesn't depend on the query, so a level takes the first rows of each key before the join
+    first = lambda *keys: first_k(p, list(keys), ["pos", "object_id"], 3 * 24).select(*keys, "object_id", "pos")
+    levels = [q.join(first("text", "want"), ["text", "want"]), q.join(first("text"), "text"), q.join(first("w"), "w")]
     return topk.page_loosen(levels, ["query_id"], 24).select("query_id", "object_id", "level", "position")
 
 

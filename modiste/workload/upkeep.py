@@ -42,6 +42,13 @@ def _(e):
     return gone.select("object_id", "reason")
 
 
+@query("maint_delete_by_query", """WITH d AS (SELECT object_id FROM products WHERE (SELECT count(*) FROM (VALUES ('red'), ('ring')) x(w) WHERE list_contains(regexp_split_to_array(lower(concat_ws(' ', title, brand, description, color, material, tag, retailer, category)), '[^\\p{L}\\p{N}]+'), w)) = 2 ORDER BY price DESC NULLS LAST, object_id)
+    SELECT 'deleted' AS part, count(*) AS n FROM d UNION ALL SELECT 'products', count(*) FROM products WHERE object_id NOT IN (SELECT object_id FROM d) UNION ALL SELECT 'vectors', count(*) FROM vectors WHERE object_id NOT IN (SELECT object_id FROM d)""")
+def _(e):
+    parts = maintenance.delete_by_query(e.products, e.vectors, "red ring", most=100_000)
+    return reduce(lambda a, b: a.unionByName(b), [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()])
+
+
 @query("maint_incremental", "SELECT object_id FROM products WHERE object_id NOT IN (SELECT object_id FROM vibes)")
 def _(e):
     return maintenance.incremental(e.products, e.vibes).select("object_id")
