@@ -89,6 +89,31 @@ MARKETPLACE_SCHEMA = (
 )
 
 
+def read_marketplace_json(spark: SparkSession, path: str) -> DataFrame:
+    """Marketplace products of JSON-lines files, for `marketplace_json`."""
+    return spark.read.schema(MARKETPLACE_SCHEMA).json(path)
+
+
+def read_storefront_json(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of a storefront's product endpoint, a page a line, for `storefront_json`."""
+    return spark.read.schema(STOREFRONT_SCHEMA).json(path)
+
+
+def read_woo_json(spark: SparkSession, path: str) -> DataFrame:
+    """Store-API products, a product a line or a page's array of them a line, for `woo_json`."""
+    return spark.read.schema(WOO_SCHEMA).json(path)
+
+
+def read_html_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Saved pages as JSON lines with `url` and `html`, for `html_product`."""
+    return spark.read.schema("url STRING, html STRING").json(path)
+
+
+def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
+    """Sitemap texts, one per file of any number of lines, for `sitemap_urls`."""
+    return spark.read.text(path, wholetext=True).select(C("value").alias("xml"))
+
+
 def main_image(images: Column) -> Column:
     return F.coalesce(F.get(F.filter(images, lambda i: i["is_main_image"]), F.lit(0))["url"], F.get(images, F.lit(0))["url"])
 

@@ -16,6 +16,13 @@ C = F.col
 SHORT = ["object_id", "title", "brand", "retailer", "price", "price_range", "color", "image_url", "product_url", "category"]
 
 
+def through_files(e, lines, name, reader):
+    """One text column written as a feed's files below the shared folder and read by the feed's reader."""
+    path = sinks.scratch_path(e.spark, name)
+    lines.write.text(path)
+    return reader(e.spark, path)
+
+
 def short(df):
     return df.select(*SHORT)
 
@@ -61,7 +68,8 @@ def market_raw(e):
     image_url, concat('https://', CASE WHEN size > 10 THEN 'b' ELSE 'a' END, '.example.com/', object_id) AS product_url, coalesce({CRUMBS}, {case_words('title', vocab.MARKETPLACE_CATEGORY_WORDS)}) AS category
     FROM (SELECT object_id, size, title, brand, concat('women ', category) AS crumbs, CASE WHEN size > 10 THEN price ELSE 999.0 END AS price, coalesce(image_url, 'https://img.example.com/first.jpg') AS image_url FROM products)""")
 def _(e):
-    return short(feeds.marketplace_json(market_raw(e)))
+    raw = market_raw(e).drop("pos")
+    return short(feeds.marketplace_json(through_files(e, raw.select(F.to_json(F.struct(*raw.columns))), "marketplace", feeds.read_marketplace_json)))
 
 
 @query("src_marketplace_dedup_filter", "SELECT key AS id, title FROM (SELECT title AS key, title, row_number() OVER (PARTITION BY title ORDER BY pos) AS rn FROM products WHERE size NOT IN (8, 9)) WHERE rn = 1")
@@ -78,7 +86,7 @@ def _(e):
                    F.array(F.struct(F.concat(C("price").cast("bigint").cast("string"), F.lit(".25")).alias("price"))).alias("variants"),
                    F.array(F.struct(F.lit("Size").alias("name"), F.array(F.lit("S")).alias("values")), F.struct(F.lit("COLOUR").alias("name"), F.array("color").alias("values"))).alias("options"))
     # one page of JSON per brand, as the paged endpoint delivers them
-    pages = e.products.select(F.to_json(F.struct(F.array(row).alias("products"))).alias("j")).select(F.from_json("j", feeds.STOREFRONT_SCHEMA).alias("r")).select("r.*")
+    pages = through_files(e, e.products.select(F.to_json(F.struct(F.array(row).alias("products")))), "storefront", feeds.read_storefront_json)
     return short(feeds.storefront_json(pages, F.lit("shop.example.com"), F.lit("House")))
 
 
@@ -88,7 +96,7 @@ def _(e):
     row = F.struct(C("pos").alias("id"), F.concat("title", F.lit(" &amp; co")).alias("name"), C("object_id").alias("slug"), F.concat(F.lit("<b>"), "description", F.lit("</b>")).alias("short_description"),
                    F.struct((C("price") * 100 + 50).cast("bigint").cast("string").alias("price"), F.lit(2).alias("currency_minor_unit")).alias("prices"), F.array(F.struct(C("image_url").alias("src"))).alias("images"),
                    F.array(F.struct(C("brand").alias("name"))).alias("categories"))
-    raw = e.products.select(F.to_json(row).alias("j")).select(F.from_json("j", feeds.WOO_SCHEMA).alias("r")).select("r.*")
+    raw = through_files(e, e.products.select(F.to_json(row)), "woo", feeds.read_woo_json)
     return short(feeds.woo_json(raw, F.lit("woo.example.com"), F.lit("Woo")))
 
 
@@ -107,7 +115,7 @@ def html_pages(e):
     FROM (SELECT url, regexp_replace(h0, '^www\.', '') AS h, regexp_replace(regexp_replace(h0, '^www\.', ''), '[^a-zA-Z0-9]', '', 'g') AS d, object_id, size, title, image_url, CASE WHEN size < 35 THEN price END AS price, CASE WHEN size < 35 THEN color ELSE '' END AS color, CASE WHEN size < 35 THEN {SLUG.format('brand')} ELSE 'other' END AS category
           FROM (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h0 FROM pages JOIN products ON page_id = pos) WHERE image_url IS NOT NULL)""")
 def _(e):
-    return short(feeds.html_product(html_pages(e)))
+    return short(feeds.html_product(through_files(e, html_pages(e).select(F.to_json(F.struct("url", "html"))), "html", feeds.read_html_pages)))
 
 
 @query("src_sitemap_urls", r"""SELECT 'page' AS kind, u AS url FROM (SELECT concat(split_part(url, '?', 1), CASE WHEN page_id % 2 = 0 THEN '/products/' ELSE '/blogs/products/' END, CAST(page_id AS VARCHAR), '?a=1&b=2') AS u FROM pages)
@@ -117,7 +125,7 @@ def _(e):
     base = F.split_part("url", F.lit("?"), F.lit(1))
     page = F.concat(base, F.when(C("page_id") % 2 == 0, "/products/").otherwise("/blogs/products/"), C("page_id").cast("string"), F.lit("?a=1&amp;b=2"))
     xml = F.concat(F.lit("<urlset><sitemap>\n <loc>"), base, F.lit("/sub.xml</loc></sitemap><url><priority>1</priority>\n<loc>"), page, F.lit("</loc></url></urlset>"))
-    return feeds.sitemap_urls(e.table("pages").select(xml.alias("xml")))
+    return feeds.sitemap_urls(through_files(e, e.table("pages").select(xml), "sitemaps", feeds.read_sitemaps))
 
 
 @query("src_offer_color_explode", """WITH p AS (SELECT object_id, title, pos, unnest(CASE WHEN color = '' THEN [''] WHEN color = 'red' THEN ['Red', 'Milk Choc'] ELSE ['Milk Choc'] END) AS c FROM products)
