@@ -136,17 +136,24 @@ def with_categories(vectors: DataFrame, products: DataFrame) -> DataFrame:
     return vectors.join(products.select("object_id", "category"), "object_id").select("object_id", "category", "vec")
 
 
-def hybrid(queries: DataFrame, products: DataFrame, visual: DataFrame, vibe: DataFrame, per_list: int = 50, top: int = 50, floor: float = 0.20,
-           weights: dict[str, float] | None = None) -> DataFrame:
-    """Visual, vibe and keyword lists per category fused by reciprocal ranks, then hydrated: (query, category, rank, product)."""
-    weights = weights or {"visual": 3.0, "vibe": 1.0, "keyword": 0.5}
-    lists = []
-    for name, vectors in (("visual", visual), ("vibe", vibe)):
-        near = topk.nearest(queries, with_categories(vectors, products), per_list, floor, group="category")
-        lists.append(near.select("query_id", "category", F.lit(name).alias("list"), "rank", "object_id"))
-    text = keyword_search(queries.select("query_id", "text"), products, per_list, order_group=["category"])
-    lists.append(text.select("query_id", "category", F.lit("keyword").alias("list"), "rank", "object_id"))
-    ranked = reduce(DataFrame.unionByName, lists)
+def hybrid(queries: DataFrame, products: DataFrame, visual: DataFrame, vibe: DataFrame, top: int = 50, floor: float | None = None, weights: dict[str, float] | None = None,
+           taste: DataFrame | None = None, neighbours: int | None = None) -> DataFrame:
+    """Visual, vibe, taste (where given) and keyword lists per category fused by reciprocal ranks, then hydrated: (query, category, rank, product).
+
+    Neighbours are taken once per query and list, `neighbours` of them (at least 200, ten for each place), and grouped by category after that, twice
+    `top` per list. Items keep the order in which the lists, in the order above, first bring them."""
+    weights = {"visual": 3.0, "vibe": 1.0, "taste": 1.0, "keyword": 0.5} | (weights or {})
+    k, sources = neighbours or max(200, 10 * top), [("visual", visual), ("vibe", vibe)] + ([("taste", taste)] if taste is not None else [])
+    found = None
+    for number, (_, vectors) in enumerate(sources):
+        near = topk.nearest(queries, vectors, k, floor).select("query_id", "object_id", F.lit(number).alias("number"), "rank")
+        found = near if found is None else found.unionByName(near)
+    firsts = found.groupBy("query_id", "object_id").agg(F.min(F.struct("number", "rank")).alias("first"), F.collect_set("number").alias("numbers"))
+    firsts = firsts.join(products.select("object_id", "category"), "object_id").select("query_id", "category", "object_id", "first", F.explode("numbers").alias("number"))
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in sources]), C("number") + 1)
+    near = first_k(firsts, ["query_id", "category", "number"], ["first", "object_id"], 2 * top, "rank").select("query_id", "category", name.alias("list"), "rank", "object_id")
+    text = keyword_search(queries.select("query_id", "text"), products, 2 * top, order_group=["category"])
+    ranked = near.unionByName(text.select("query_id", "category", F.lit("keyword").alias("list"), "rank", "object_id"))
     fused = ranking.rrf(ranked, ["query_id", "category"], weights, top)
     return hydrate_inner(fused, products, ["title", "brand", "price"])
 
@@ -173,7 +180,7 @@ def two_stage(queries: DataFrame, phrases: DataFrame, products: DataFrame, visua
     scored = ranking.rerank(pool, kinds, products, visual, vibe, centroids, features, phrases, rerank_floor, phrase_threshold, align)
     strict = ranking.mmr(scored, per_category)
     rest = queries.join(big.select("query_id"), "query_id", "left_anti")
-    loose = hybrid(rest, products, visual, vibe, per_category, per_category, gate_floor, {"visual": 1.0, "vibe": 1.0, "keyword": 0.25})
+    loose = hybrid(rest, products, visual, vibe, per_category, gate_floor, {"visual": 1.0, "vibe": 1.0, "keyword": 0.25})
     return strict.select("query_id", "category", C("mmr_pos").alias("rank"), "object_id", F.lit("two_stage").alias("stage")).unionByName(
         loose.select("query_id", "category", "rank", "object_id", F.lit("hybrid").alias("stage")))
 

@@ -70,12 +70,18 @@ def _(e):
     return ranking.reciprocal_merge(signal_lists(e), ["user_token"], 40).withColumn("score", F.round("score", 6))
 
 
-@query("rank_hybrid", f"""WITH {CATVEC}, vibevec AS (SELECT v.object_id, category, vec FROM vibes v JOIN products USING (object_id)), {near('a', 'queries', 'catvec', 30, group='category', floor=0.05)}, {near('b', 'queries', 'vibevec', 30, group='category', floor=0.05)},
-    {keyword_sql('kw', 'queries', group='category', k=30)}, l AS (SELECT query_id, category, object_id, rank, 3.0 AS w FROM a UNION ALL SELECT query_id, category, object_id, rank, 1.0 FROM b UNION ALL SELECT query_id, category, object_id, rank, 0.5 FROM kw),
-    f AS (SELECT query_id, category, object_id, round(sum(w / (rank + 59)), 9) AS score FROM l GROUP BY 1, 2, 3), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, object_id) AS rank FROM f) WHERE rank <= 20)
-    SELECT query_id, t.category, rank, object_id, round(score, 6) AS score, title, brand, price FROM t JOIN products p USING (object_id) WHERE starts_with(image_url, 'http') AND NOT contains(image_url, 'placeholder')""")
+TASTE = "tastes AS (SELECT object_id, list_reverse(vec[1:32]) || vec[33:64] AS vec FROM vectors WHERE vec_id % 3 = 0)"
+
+
+@query("rank_hybrid", f"""WITH {TASTE}, {near('a', 'queries', 'vectors', 200, floor=0.05)}, {near('b', 'queries', 'vibes', 200, floor=0.05)}, {near('t', 'queries', 'tastes', 200, floor=0.05)}, {keyword_sql('kw', 'queries', group='category', k=40)},
+    u AS (SELECT query_id, object_id, 0 AS no, rank FROM a UNION ALL SELECT query_id, object_id, 1, rank FROM b UNION ALL SELECT query_id, object_id, 2, rank FROM t),
+    fi AS (SELECT query_id, object_id, min(no * 1000000 + rank) AS f FROM u GROUP BY 1, 2), g AS (SELECT query_id, category, object_id, no, row_number() OVER (PARTITION BY query_id, category, no ORDER BY f, object_id) AS rank FROM u JOIN fi USING (query_id, object_id) JOIN products USING (object_id)),
+    l AS (SELECT query_id, category, object_id, rank, CASE no WHEN 0 THEN 3.0 ELSE 1.0 END AS w FROM g WHERE rank <= 40 UNION ALL SELECT query_id, category, object_id, rank, 0.5 FROM kw),
+    f AS (SELECT query_id, category, object_id, round(sum(w / (rank + 59)), 9) AS score FROM l GROUP BY 1, 2, 3), tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, object_id) AS rank FROM f) WHERE rank <= 20)
+    SELECT query_id, tp.category, rank, object_id, round(score, 6) AS score, title, brand, price FROM tp JOIN products p USING (object_id) WHERE starts_with(image_url, 'http') AND NOT contains(image_url, 'placeholder')""")
 def _(e):
-    out = retrieval.hybrid(e.queries, e.tagged, e.vectors, e.vibes, 30, 20, 0.05)
+    taste = e.vectors.where("vec_id % 3 = 0").select("object_id", F.concat(F.reverse(F.slice("vec", 1, 32)), F.slice("vec", 33, 32)).alias("vec"))
+    out = retrieval.hybrid(e.queries, e.tagged, e.vectors, e.vibes, 20, 0.05, taste=taste)
     return out.withColumn("score", F.round("score", 6))
 
 
