@@ -18,6 +18,7 @@ def get_session(app: str = "modiste", cpus: int | str = "*", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("MODISTE_DRIVER_MEMORY", "12g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             configured = tempfile.mkdtemp(prefix="modiste-ckpt-")
+            at = spark._jvm.org.apache.hadoop.fs.Path(configured)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # a local run's folder goes with its session
         sc.setCheckpointDir(configured)
     return configured or current
 

@@ -316,8 +316,8 @@ AUDIT_RULES = [
      r"\b(bikini|swimsuit|swim suit|bathing suit|one[- ]piece swim|tankini|monokini|rashguard|rash guard)\b",
      r"\b(dress|gown)\b", ["dress"], "other"),
     ("swimwear_in_top_or_bottom",
-     r"\b(one[- ]piece swimsuit|one[- ]piece bathing suit|monokini|tankini\b)",
-     r"\btankini\b (top|bottom)", ["top", "bottom"], "other"),
+     r"\b(one[- ]piece swimsuit|one[- ]piece bathing suit|monokini|tankini\b(?! top| bottom))",
+     None, ["top", "bottom"], "other"),
     ("shoes_mistagged",
      r"\b(sneaker|trainer|loafer(?:s)?|mule(?:s)?|sandal(?:s)?|stiletto(?:s)?|pump heel(?:s)?|kitten heel(?:s)?|wedge heel(?:s)?|ankle boot(?:s)?|knee[- ]high boot(?:s)?|chelsea boot(?:s)?|combat boot(?:s)?|cowboy boot(?:s)?|riding boot(?:s)?|moccasin(?:s)?|oxford shoe(?:s)?|derby shoe(?:s)?|brogue(?:s)?|espadrille(?:s)?|slingback(?:s)?|platform sandal(?:s)?|flat sandal(?:s)?)\b",
      r"\b(bag|handbag|tote|clutch|backpack|hat|earring|necklace|ring|skirt|mini skirt|midi skirt|dress|top|shirt|blouse|tee|tank|hoodie|sweater|cardigan|sweatshirt|trouser|jeans|pants|shorts)\b",

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from modiste import vocab
 from modiste.operators import topk
 from modiste.plans import maintenance
 from modiste.workload.fixtures import query, quoted
@@ -22,6 +23,29 @@ def _(e):
     return fixed.join(flagged.select("object_id", "rule"), "object_id", "left").select("object_id", "category", F.coalesce("rule", F.lit("")).alias("rule"))
 
 
+WORN = ["mascara", "candle", "bikini", "bikini dress", "monokini", "tankini top", "tankini", "tankini top with monokini", "tankini tankini top", "sneaker", "sneaker bag", "tote bag", "maxi dress", "crop top", "jeans", "jeans set", ""]
+
+
+def audit_sql() -> str:
+    """The nine audit rules, first match wins. The twin's engine has no look-ahead: a swim top or bottom is taken out of the title before."""
+    out = []
+    for i, (name, pattern, excuse, wrong, target) in enumerate(vocab.AUDIT_RULES):
+        title = "t"
+        if "(?!" in pattern:
+            pattern, title = pattern.replace("(?! top| bottom)", ""), "regexp_replace(t, 'tankini( top| bottom)', '#', 'g')"
+        hit = f"category IN ({', '.join(quoted(w) for w in wrong)}) AND regexp_matches({title}, {quoted(pattern)})" + (f" AND NOT regexp_matches(t, {quoted(excuse)})" if excuse else "")
+        out.append(f"SELECT object_id, {i} AS ord, '{name}' AS rule, '{'recategorize' if target else 'delete'}' AS action, {quoted(target) if target else 'CAST(NULL AS VARCHAR)'} AS target FROM w WHERE {hit}")
+    worn = f"w AS (SELECT object_id, category, concat(title, ' ', ([{', '.join(map(quoted, WORN))}])[1 + pos % {len(WORN)}]) AS t FROM products)"
+    return f"WITH {worn} SELECT object_id, rule, action, target FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY ord) AS rn FROM ({' UNION ALL '.join(out)})) WHERE rn = 1"
+
+
+@query("maint_mistag_rules", audit_sql())
+def _(e):
+    worn = F.element_at(F.array(*map(F.lit, WORN)), (C("pos") % len(WORN) + 1).cast("int"))
+    flagged, _ = maintenance.mistag_audit(e.products.withColumn("title", F.concat_ws(" ", "title", worn)))
+    return flagged.select("object_id", "rule", "action", "target")
+
+
 @query("maint_price_purge", """SELECT 'products' AS part, object_id, NULL AS n FROM products WHERE price IS NULL OR price <= 250 UNION ALL SELECT 'vectors', object_id, NULL FROM vectors WHERE object_id NOT IN (SELECT object_id FROM products WHERE price > 250)
     UNION ALL SELECT 'report', brand, count(*) FROM products WHERE price > 250 GROUP BY brand""")
 def _(e):
