@@ -114,9 +114,23 @@ def _(e):
     return e.table("pages").select("page_id", F.length(t).cast("long").alias("n"), F.md5(t.cast("binary")).alias("digest"))
 
 
-@query("fn_decode_entities")
+def entities_sql() -> str:
+    """Hex, decimal, named entities and backslash-u escapes in that order; the ampersand last, as the named ones are replaced in one pass."""
+    def each(col, pattern, mark, char):
+        return f"list_reduce(list_prepend({col}, list_distinct(regexp_extract_all({col}, '{pattern}', 1))), lambda x, m: replace(x, {mark}, {char}))"
+
+    code, hexa = "chr(CAST(m AS INTEGER))", "chr(CAST(concat('0x', m) AS INTEGER))"
+    named = "c"
+    for name, char in sorted(vocab.NAMED_ENTITIES.items(), key=lambda x: x[0] == "amp"):
+        named = f"replace({named}, '&{name};', chr({ord(char)}))"
+    return f"""WITH a AS (SELECT page_id, concat(html, '&#8364;&#x41;&lt;&amp;lt;&bull;', chr(92), 'u00e9') AS a FROM pages), b AS (SELECT page_id, {each('a', '&#x([0-9a-fA-F]+);', "concat('&#x', m, ';')", hexa)} AS b FROM a),
+        c AS (SELECT page_id, {each('b', '&#([0-9]+);', "concat('&#', m, ';')", code)} AS c FROM b), d AS (SELECT page_id, {named} AS d FROM c), t AS (SELECT page_id, {each('d', '[\\\\]u([0-9a-fA-F]{4})', "concat(chr(92), 'u', m)", hexa)} AS t FROM d)
+        SELECT page_id, length(t) AS n, md5(t) AS digest FROM t"""
+
+
+@query("fn_decode_entities", entities_sql())
 def _(e):
-    t = text.decode_entities(C("html"))
+    t = text.decode_entities(F.concat("html", F.lit("&#8364;&#x41;&lt;&amp;lt;&bull;\\u00e9")))
     return e.table("pages").select("page_id", t.alias("t")).select("page_id", F.length("t").alias("n"), F.md5(C("t").cast("binary")).alias("digest"))
 
 

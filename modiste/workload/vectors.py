@@ -64,7 +64,21 @@ def _(e):
     return long_vec(ops.weighted_combine(parts, ["object_id"]), "object_id")
 
 
-@query("vec_greedy_cluster")
+def leader_sql(steps: int, threshold: float) -> str:
+    """The leader walk over a query's vectors, step by step: sums of the clusters and their sizes."""
+    parts = ["v AS (SELECT query_id, list(vec ORDER BY phrase) AS vs FROM (SELECT query_id, phrase, vec FROM phrases UNION ALL SELECT query_id, 0, vec FROM queries) GROUP BY 1)",
+             "w1 AS (SELECT query_id, vs, [vs[1]] AS sums, [1] AS n FROM v)"]
+    for k in range(2, steps + 1):
+        parts.append(f"s{k} AS (SELECT *, list_transform(sums, lambda s: CASE WHEN list_dot_product(s, s) = 0 OR list_dot_product(vs[{k}], vs[{k}]) = 0 THEN 0.0 ELSE list_cosine_similarity(s, vs[{k}]) END) AS sims FROM w{k - 1})")
+        parts.append(f"b{k} AS (SELECT *, list_max(sims) AS top, list_position(sims, list_max(sims)) AS i FROM s{k})")
+        parts.append(f"""w{k} AS (SELECT query_id, vs, CASE WHEN len(vs) < {k} THEN sums WHEN top > {threshold} THEN list_transform(sums, lambda s, j: CASE WHEN j = i THEN list_transform(list_zip(s, vs[{k}]), lambda p: p[1] + p[2]) ELSE s END) ELSE list_append(sums, vs[{k}]) END AS sums,
+            CASE WHEN len(vs) < {k} THEN n WHEN top > {threshold} THEN list_transform(n, lambda c, j: CASE WHEN j = i THEN c + 1 ELSE c END) ELSE list_append(n, 1) END AS n FROM b{k})""")
+    return f"""WITH {', '.join(parts)}, u AS (SELECT query_id, len(vs) AS total, unnest(sums) AS s, unnest(n) AS size, generate_subscripts(n, 1) AS age FROM w{steps})
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY size DESC, age) - 1 AS INTEGER) AS cluster, size / total AS weight, CAST(size AS BIGINT) AS size,
+        round(CASE WHEN total = 1 THEN s[1] ELSE s[1] / sqrt(list_dot_product(s, s)) END, 6) AS v0 FROM u"""
+
+
+@query("vec_greedy_cluster", leader_sql(5, 0.25))
 def _(e):
     return ops.greedy_cluster(e.phrases.unionByName(e.queries.select("query_id", F.lit(0).alias("phrase"), "vec")), "query_id", ["phrase"], 0.25).select(
         "query_id", "cluster", "weight", "size", F.round(F.get("vec", F.lit(0)), 6).alias("v0"))
