@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modiste.llm.common import stored, texts_of
+from modiste.llm.common import sliced, stored, texts_of
 
 #: bytes of text in a chunk, n-grams in a bucket
-CHUNK, BUCKET = 16 << 20, 3_000_000
+CHUNK, BUCKET = 8 << 20, 1_500_000
 START, END = np.uint64(xxhash.xxh64_intdigest(b" start")), np.uint64(xxhash.xxh64_intdigest(b" end"))
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, words binary, tokens binary, n long"
 BLOCKS = "gram int, bucket int, chunk long, keys binary, counts binary"
@@ -60,7 +60,7 @@ def tokenized(batches):
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["chunk", "doc_ids", "held", "lengths", "words", "tokens", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
             got = [number.setdefault(w, len(number) + 1) for w in text.lower().split()]
             got.append(0)
