@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import uuid
 
 import numpy as np
@@ -27,6 +29,28 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_runs(f, limit: int = 6 << 20):
+    """A function of Arrow arrays, called for runs of rows of about `limit` bytes each, so that what it holds doesn't follow the batch size."""
+
+    @functools.wraps(f)
+    def run(*columns):
+        n, size = len(columns[0]), sum(c.nbytes for c in columns)
+        step = max(1, int(n * limit / max(size, 1)))
+        if step >= n:
+            return f(*columns)
+        out = pa.concat_arrays([f(*(c.slice(at, step) for c in columns)) for at in range(0, n, step)])
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are stored: it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
