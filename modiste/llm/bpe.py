@@ -39,6 +39,40 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Table:
+    """64-bit keys and their values in an open hash table, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(len(keys) * 4).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values, self.mask = np.full(size + 64, -1, np.int64), np.full(size + 64, NEVER, np.int64), size
+        left = np.arange(len(keys))
+        at = self.place(keys)
+        while len(left):  # every round puts one key into each free place that is asked for
+            free = self.keys[at[left]] == -1
+            first = left[free][np.unique(at[left[free]], return_index=True)[1]]
+            self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] += 1
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values; NEVER for keys that aren't there."""
+        at = self.place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], NEVER)
+        on = np.flatnonzero((held != keys) & (held != -1))
+        while len(on):
+            at[on] += 1
+            held = self.keys[at[on]]
+            hit = held == keys[on]
+            out[on[hit]] = self.values[at[on[hit]]]
+            on = on[~hit & (held != -1)]
+        return out
+
+
 class Bpe:
     """The vocabulary of one tokenizer file, and what a worker remembers."""
 
@@ -67,9 +101,12 @@ class Bpe:
             self.merge[a, b] = rank
             self.made.append(c)
             self.left[c], self.right[c], self.rank[c] = a, b, rank
-        keys = np.array([a << 32 | b for a, b in self.merge], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.merge.values()))[order]
+        self.pairs = Table(np.array([a << 32 | b for a, b in self.merge], np.int64), np.array(list(self.merge.values()), np.int64))
+        self.made_ids, self.byte_ids = np.array(self.made, np.int64), np.array(self.byte_id, np.int64)
+        of_length: dict[int, list[bytes]] = {}
+        for b in self.id_of:
+            of_length.setdefault(len(b), []).append(b)
+        self.by_length = {n: Table(self.hashed(np.frombuffer(b"".join(bs), np.uint8).reshape(len(bs), n)), np.array([self.id_of[b] for b in bs])) for n, bs in of_length.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}  # ids of a word, packed
@@ -94,21 +131,89 @@ class Bpe:
                 ranks[at] = rank_of((ids[at], ids[at + 1]), NEVER)
         return ids
 
-    def proposed(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        at, n, out, id_of = 0, len(word), [], self.id_of
-        while at < n:
-            end = min(n, at + self.longest)
-            while (i := id_of.get(word[at:end])) is None:
-                end -= 1
-            out.append(i)
-            at = end
+    def hashed(self, rows: np.ndarray) -> np.ndarray:
+        """A hash of each row of bytes; kept from being -1, which marks free places."""
+        h = np.zeros(len(rows), np.uint64)
+        for i in range(rows.shape[1]):
+            h = (h ^ (rows[:, i].astype(np.uint64) + np.uint64(1))) * np.uint64(0x100000001B3)
+        return (h >> np.uint64(1)).astype(np.int64)
+
+    def proposed(self, raw: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words: (token, word), in order. From every byte the longest token is found length by length, by hash and
+        then by its bytes; then all words step on together."""
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(lengths)
+        room = np.repeat(ends, lengths) - np.arange(len(data))
+        best, size = self.byte_ids[data], np.ones(len(data), np.int64)
+        h = np.zeros(len(data), np.uint64)
+        for n in range(1, min(self.longest, int(lengths.max(initial=0))) + 1):
+            on = np.flatnonzero(room >= n)
+            h[on] = (h[on] ^ (data[on + n - 1].astype(np.uint64) + np.uint64(1))) * np.uint64(0x100000001B3)
+            if n > 1 and n in self.by_length:
+                got = self.by_length[n].get((h[on] >> np.uint64(1)).astype(np.int64))
+                hit = got < NEVER
+                best[on[hit]], size[on[hit]] = got[hit], n
+        for at in np.flatnonzero(size > 8):  # long tokens are rare enough to compare one by one
+            if self.bytes[best[at]] != data[at : at + size[at]].tobytes():
+                best[at], size[at] = self.byte_ids[data[at]], 1
+        at, word, out = ends - lengths, np.arange(len(raw)), []
+        while len(at):
+            out.append((word, at, best[at]))
+            at = at + size[at]
+            on = at < ends[word]
+            at, word = at[on], word[on]
+        word, at, token = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+        order = np.argsort(at)
+        return token[order], word[order]
+
+    def merged(self, raw: list[bytes]) -> list[bytes]:
+        """Packed ids of words by the merges in the order of their rank, leftmost first, one merge in every word a round."""
+        out: list[bytes] = [b""] * len(raw)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        for low, high in ((1, 8), (9, 16), (17, 32)):
+            rows = np.flatnonzero((lengths >= low) & (lengths <= high))
+            if not len(rows):
+                continue
+            ids = np.full((len(rows), high + 1), -1, np.int64)
+            inside = np.arange(high + 1) < lengths[rows][:, None]
+            ids[inside] = self.byte_ids[np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8)]
+            ranks = np.full((len(rows), high), NEVER, np.int64)
+            full = inside[:, 1:]
+            ranks[full] = self.pairs.get((ids[:, :-1] << 32 | ids[:, 1:])[full])
+            live = np.arange(len(rows))
+            while len(live):
+                own = ranks[live]
+                at = own.argmin(1)
+                best = own[np.arange(len(live)), at]
+                on = best < NEVER
+                live, at, best = live[on], at[on], best[on]
+                if not len(live):
+                    break
+                shift = np.arange(high) >= at[:, None]
+                i = ids[live]
+                i[:, :-1] = np.where(shift & (np.arange(high) > at[:, None]), i[:, 1:], i[:, :-1])
+                i[:, -1] = -1
+                i[np.arange(len(live)), at] = self.made_ids[best]
+                ids[live] = i
+                r = ranks[live]
+                r[:, :-1] = np.where(shift[:, :-1], r[:, 1:], r[:, :-1])
+                r[:, -1] = NEVER
+                for to in (at - 1, at):
+                    k = np.flatnonzero(to >= 0)
+                    a, b = i[k, to[k]], i[k, to[k] + 1]
+                    r[k[b >= 0], to[k[b >= 0]]] = self.pairs.get(a[b >= 0] << 32 | b[b >= 0])
+                    r[k[b < 0], np.minimum(to[k[b < 0]], high - 1)] = NEVER
+                ranks[live] = r
+            have = ids >= 0
+            packed_ids, ends = ids[have].astype(np.int32).tobytes(), np.cumsum(have.sum(1)).tolist()
+            for k, i in enumerate(rows.tolist()):
+                out[i] = packed_ids[4 * (ends[k - 1] if k else 0) : 4 * ends[k]]
+        for i in np.flatnonzero(lengths > 32).tolist():
+            out[i] = array("i", self.exact(raw[i])).tobytes()
         return out
 
     def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a << 32 | b
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+        return self.pairs.get(a << 32 | b)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a, b stay apart. Going back in time, the piece made last is undone; at each step the merge of the two pieces
@@ -149,23 +254,20 @@ class Bpe:
     def learn(self, words: list[str]) -> None:
         """Ids of words not seen so far."""
         raw = [w.encode() for w in words]
-        guess = list(map(self.proposed, raw))
-        lengths = np.fromiter(map(len, guess), np.int64, len(guess))
-        flat = np.fromiter((i for g in guess for i in g), np.int64, int(lengths.sum()))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat, word_of = self.proposed(raw, size)
         for t in np.unique(flat[self.sound[flat] == 0]):
             self.sound[t] = 1 if self.exact(self.bytes[t]) == [t] else -1
-        word_of = np.repeat(np.arange(len(words)), lengths)
         wrong = self.sound[flat] < 0
         inner = np.flatnonzero(word_of[1:] == word_of[:-1])
         wrong[inner] |= ~self.pairs_good(flat[inner] << 32 | flat[inner + 1])
         failed = np.zeros(len(words), bool)
         failed[word_of[wrong]] = True
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        ends = np.cumsum(lengths)
-        packed_ids, ends, lengths = flat.astype(np.int32).tobytes(), ends.tolist(), lengths.tolist()
-        for k, (word, fails) in enumerate(zip(words, failed.tolist())):
-            self.known[word] = array("i", self.exact(raw[k])).tobytes() if fails else packed_ids[4 * (ends[k] - lengths[k]) : 4 * ends[k]]
+        lengths = np.bincount(word_of, minlength=len(words))
+        packed_ids, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(lengths)).tolist()
+        self.known.update(zip(words, map(packed_ids.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        again = np.flatnonzero(failed).tolist()
+        self.known.update(zip([words[i] for i in again], self.merged([raw[i] for i in again])))
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text; added tokens are words of their own."""
@@ -174,43 +276,28 @@ class Bpe:
         return [w for part in self.split.split(text) if part for w in ([part] if part in self.added else self.words.findall(part))]
 
     def encode(self, texts: list[str | None]) -> pa.Array:
-        """A list array of ids. Words come in runs of texts of about a million characters, so that memory is bounded."""
-        counts, parts, run, size = [], [], [], 0
+        """A list array of ids. Words are learnt in runs of texts of about a million characters, so that memory is bounded."""
+        out, run, size = [], [], 0
         for text in texts:
-            run.append(text or "")
-            size += len(run[-1])
+            run.append(self.pieces(text or ""))
+            size += len(text or "")
             if size > 1_000_000:
-                self._encode(run, counts, parts)
+                out += self.looked_up(run)
                 run, size = [], 0
-        self._encode(run, counts, parts)
-        return listed(np.concatenate(parts) if parts else np.empty(0, np.int32), np.array(counts, np.int64), pa.int32())
-
-    def _encode(self, run: list[str], counts: list[int], parts: list[np.ndarray]) -> None:
-        number: dict[str, int] = {}
-        per_text, seen = [], []
-        for text in run:
-            words = self.pieces(text)
-            per_text.append(len(words))
-            seen += [number.setdefault(w, len(number)) for w in words]
-        for word, i in self.added.items():
-            if word in number:
-                self.known[word] = array("i", [i]).tobytes()
-        new = [w for w in number if w not in self.known]
-        held = {w: self.known[w] for w in number if w in self.known}
-        if new:
+        out += self.looked_up(run)
+        return listed(np.frombuffer(b"".join(out), np.int32), np.fromiter(map(len, out), np.int64, len(out)) // 4, pa.int32())
+
+    def looked_up(self, run: list[list[str]]) -> list[bytes]:
+        """Packed ids of texts given by their words."""
+        words = set().union(*run)
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, words
+        for word in new & self.added.keys():
+            self.known[word] = array("i", [self.added[word]]).tobytes()
+        if new := list(new - self.added.keys()):
             self.learn(new)
-        ids = [self.known[w] if w in self.known else held[w] for w in number]
-        if not seen:
-            counts += [0] * len(run)
-            return
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table, starts = np.frombuffer(b"".join(ids), np.int32), np.cumsum(lengths) - lengths
-        seen = np.array(seen)
-        n = lengths[seen]
-        ends = np.cumsum(n)
-        parts.append(table[np.repeat(starts[seen] - (ends - n), n) + np.arange(ends[-1])])
-        ends = np.concatenate([[0], ends])
-        counts += np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])]).tolist()
+        return [b"".join(map(self.known.__getitem__, words)) for words in run]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
