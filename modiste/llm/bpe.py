@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import listed
+from modiste.llm.common import in_runs, listed
 
-#: fixed value: how byte-level vocabularies split a text before merging
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: how byte-level vocabularies split a text before merging; no word that starts with an apostrophe is a run of letters or digits, so those may
+#: be tried first, as the most frequent
+PATTERN = r" ?\p{L}++| ?\p{N}++|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: words and pairs a worker remembers; it forgets all when full, so its memory is bounded
 REMEMBERED = 500_000
 NEVER = 1 << 40
@@ -107,6 +108,9 @@ class Bpe:
         for b in self.id_of:
             of_length.setdefault(len(b), []).append(b)
         self.by_length = {n: Table(self.hashed(np.frombuffer(b"".join(bs), np.uint8).reshape(len(bs), n)), np.array([self.id_of[b] for b in bs])) for n, bs in of_length.items()}
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64, top)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}  # ids of a word, packed
@@ -302,6 +306,23 @@ class Bpe:
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
+    def decoded(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of all lists at once: the bytes of all tokens are gathered and cut at the lists' ends. Lists whose bytes aren't UTF-8 are
+        decoded one by one."""
+        ends = np.r_[0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))]
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        size = self.sizes[ids]
+        at = np.r_[0, np.cumsum(size)]
+        kind = np.int32 if max(at[-1], len(self.flat)) < 1 << 30 else np.int64
+        where = np.repeat((self.starts[ids] - at[:-1]).astype(kind), size)
+        where += np.arange(len(where), dtype=kind)
+        data = self.flat[where].tobytes()
+        got = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at[ends].astype(np.int32)), pa.py_buffer(data)])
+        try:
+            return got.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([b.decode("utf-8", "replace") for b in got.to_pylist()], pa.string())
+
 
 @functools.lru_cache(2)
 def loaded(text: str) -> Bpe:
@@ -315,21 +336,25 @@ def codec(spark: SparkSession, path: str):
         file = spark.sparkContext.broadcast(f.read())
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @in_runs
     def encode(texts: pa.Array) -> pa.Array:
         return loaded(file.value).encode(texts.to_pylist())
 
     @F.arrow_udf(T.StringType())
+    @in_runs
     def decode(ids: pa.Array) -> pa.Array:
-        bpe = loaded(file.value)
-        return pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in ids], pa.string())
+        return loaded(file.value).decoded(ids)
 
     return encode, decode
 
 
 @F.arrow_udf(T.BinaryType())
+@in_runs
 def packed(ids: pa.Array) -> pa.Array:
     """Ids as little-endian unsigned 32-bit integers."""
-    return pa.array([x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if x.is_valid else b"" for x in ids], pa.binary())
+    ends = np.r_[0, 4 * np.cumsum(np.asarray(ids.value_lengths().fill_null(0), np.int64))]
+    data = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
 def encoded(df: DataFrame, path: str, text: str | Column = "text", ids: str = "ids") -> DataFrame:

@@ -39,6 +39,9 @@ def test_bpe_equals_the_library(codec, texts):
     broken = [[random.randrange(50257) for _ in range(8)] for _ in range(2000)]
     assert [own.decode(np.array(w)) for w in broken] == [library.decode(w, skip_special_tokens=False) for w in broken]
     assert own.encode([None, ""]).to_pylist() == [[], []]
+    lists = pa.array([*want[:400], None, []], pa.list_(pa.int32()))
+    for part in (lists, lists.slice(37, 200), pa.array(broken, pa.list_(pa.int32())), lists[:0]):
+        assert own.decoded(part).to_pylist() == [own.decode(np.array(x or [], np.int64)) for x in part.to_pylist()]
 
 
 def test_bpe_pairs_decide(codec):
