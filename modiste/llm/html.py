@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import stored
+from modiste.llm.common import in_runs, stored
 
 #: paths kept per host, most votes first
 PATHS = 16
@@ -233,6 +233,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     """(host, paths): the paths that pages of a host voted for, most votes first."""
 
     @F.arrow_udf(VOTE)
+    @in_runs
     def vote(htmls: pa.Array) -> pa.Array:
         got = [vote_of(h) for h in htmls.to_pylist()]
         return pa.array([None if g is None else {"path": g[0], "score": g[1]} for g in got], pa.struct([("path", pa.string()), ("score", pa.float64())]))
@@ -248,6 +249,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """`pages` (url, html and whatever else) with the main text in `__text`."""
 
     @F.arrow_udf(T.StringType())
+    @in_runs
     def main_text(htmls: pa.Array, paths: pa.Array) -> pa.Array:
         return pa.array([text_of(h, p) for h, p in zip(htmls.to_pylist(), paths.to_pylist())], pa.string())
 

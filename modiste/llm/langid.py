@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import sliced
+from modiste.llm.common import in_runs, sliced
 
 FEATURES = 1 << 15
 PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -82,7 +82,7 @@ def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
 
     def count(batches):
         total, n = np.zeros(FEATURES, np.int64), 0
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 total[counted(text)[0]] += 1
                 n += 1
@@ -168,6 +168,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # features x languages numbers
 
     @F.arrow_udf(PREDICTED)
+    @in_runs
     def lang(texts: pa.Array) -> pa.Array:
         got = [held.value.predict(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang", "score"])

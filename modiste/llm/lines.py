@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import stored, texts_of
+from modiste.llm.common import in_runs, sliced, stored, texts_of
 from modiste.llm.hashfilter import Twice, seen_twice
 
 KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -31,7 +31,7 @@ def keys_of(text: bytes, min_chars: int) -> set[bytes]:
 
 def repeated_keys(docs: DataFrame, min_chars: int, bits: int, k: int) -> Twice:
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(key) for text in texts_of(batch.column(0)) for key in keys_of(text, min_chars)), np.uint64)
+        return np.fromiter((xxhash.xxh64_intdigest(key) for part in sliced([batch]) for text in texts_of(part.column(0)) for key in keys_of(text, min_chars)), np.uint64)
 
     return seen_twice(docs.select("text"), hashes, bits, k)
 
@@ -43,6 +43,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
     twice = spark.sparkContext.broadcast(repeated_keys(docs, min_chars, bits, k))
 
     @F.arrow_udf(T.ArrayType(T.BinaryType()))
+    @in_runs
     def suspects(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts_of(texts):
@@ -52,6 +53,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
         return pa.array(out, pa.list_(pa.binary()))
 
     @F.arrow_udf(KEPT)
+    @in_runs
     def without(texts: pa.Array, drop: pa.Array, first: pa.Array) -> pa.Array:
         kept, lines_, dropped_ = [], [], []
         for text, gone, once in zip(texts_of(texts), drop.to_pylist(), first.to_pylist()):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import stored, texts_of
+from modiste.llm.common import in_runs, stored, texts_of
 from modiste.llm.components import components
 
 SEED = 42
@@ -77,6 +77,7 @@ def fingerprinted(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp); fp is the fingerprint as a signed long."""
 
     @F.arrow_udf(T.LongType())
+    @in_runs
     def fp(texts: pa.Array) -> pa.Array:
         return pa.array(fingerprints(texts_of(texts), width).view(np.int64))
 
