@@ -328,3 +328,20 @@ def test_host_consensus(spark):
     got = sorted((r.page_id, r["__text"]) for r in html.extracted(df).collect())
     assert got == sorted([(i, ("story text of some length " * 3).strip()) for i in range(5)] + [(9, "brief"), (10, ("other " * 9).strip()), (11, ""), (9, "")])
     assert html.extracted(df.limit(0)).collect() == []
+
+
+def test_runs_of_a_batch_give_what_the_batch_gives():
+    from modiste.llm.common import in_runs, sliced
+
+    sizes = []
+
+    def both(a: pa.Array, b: pa.Array) -> pa.Array:
+        sizes.append(len(a))
+        return pa.array([f"{x}{len(y or [])}" for x, y in zip(a.to_pylist(), b.to_pylist())])
+
+    a, b = pa.array(["x" * (i % 7) for i in range(100)]), pa.array([[1] * (i % 5) if i % 9 else None for i in range(100)], pa.list_(pa.int32()))
+    whole = both(a, b).to_pylist()
+    assert in_runs(both, 200)(a, b).to_pylist() == whole and max(sizes[1:]) < 30
+    assert in_runs(both, 200)(a[:0], b[:0]).to_pylist() == []
+    batch = pa.RecordBatch.from_arrays([a], ["a"])
+    assert [x for part in sliced([batch], 100) for x in part.column(0).to_pylist()] == a.to_pylist()
