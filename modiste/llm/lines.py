@@ -6,14 +6,19 @@ drops the lines. Keys in few documents never leave the task that reads them.
 
 Every row is a document, also where a doc_id repeats; a line counts once per row. Null and empty texts have one empty line. Keys
 shorter than `min_chars` code points always stay. Rows with null doc_ids are documents like any other. Other columns pass through.
+
+`without_boilerplate` is the form for a pipeline: what a document consists of isn't lost with its copies, one row keeps it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,11 +41,8 @@ def repeated_keys(docs: DataFrame, min_chars: int, bits: int, k: int) -> Twice:
     return seen_twice(docs.select("text"), hashes, bits, k)
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bits: int = 1 << 26, k: int = 2) -> DataFrame:
-    """`docs` with a struct `__lines` (text, n_lines, n_dropped): each text without the lines whose key is in at least `min_docs` documents.
-    With `keep_first` the first line of such a key stays, in the document with the smallest doc_id."""
-    spark = docs.sparkSession
-    twice = spark.sparkContext.broadcast(repeated_keys(docs, min_chars, bits, k))
+def suspects_in(twice: Broadcast, min_chars: int) -> Callable[..., Column]:
+    """The distinct keys of a text that the twice-filter holds, as a column function."""
 
     @F.arrow_udf(T.ArrayType(T.BinaryType()))
     @in_runs
@@ -52,33 +54,48 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
             out.append([key for key, on in zip(keys, known) if on])
         return pa.array(out, pa.list_(pa.binary()))
 
-    @F.arrow_udf(KEPT)
-    @in_runs
-    def without(texts: pa.Array, drop: pa.Array, first: pa.Array) -> pa.Array:
-        kept, lines_, dropped_ = [], [], []
-        for text, gone, once in zip(texts_of(texts), drop.to_pylist(), first.to_pylist()):
-            lines = text.split(b"\n")
-            if gone:
-                gone, once = set(gone), set(once or ())
-                rest = []
-                for line in lines:
-                    key = line.lower().strip()
-                    if key not in gone:
-                        rest.append(line)
-                    elif key in once:
-                        once.discard(key)
-                        rest.append(line)
-            else:
-                rest = lines
-            kept.append(b"\n".join(rest))
-            lines_.append(len(lines))
-            dropped_.append(len(lines) - len(rest))
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines_, pa.int64()), pa.array(dropped_, pa.int64())], ["text", "n_lines", "n_dropped"])
+    return suspects
+
+
+@F.arrow_udf(KEPT)
+@in_runs
+def without(texts: pa.Array, drop: pa.Array, first: pa.Array) -> pa.Array:
+    kept, lines_, dropped_ = [], [], []
+    for text, gone, once in zip(texts_of(texts), drop.to_pylist(), first.to_pylist()):
+        lines = text.split(b"\n")
+        if gone:
+            gone, once = set(gone), set(once or ())
+            rest = []
+            for line in lines:
+                key = line.lower().strip()
+                if key not in gone:
+                    rest.append(line)
+                elif key in once:
+                    once.discard(key)
+                    rest.append(line)
+        else:
+            rest = lines
+        kept.append(b"\n".join(rest))
+        lines_.append(len(lines))
+        dropped_.append(len(lines) - len(rest))
+    return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines_, pa.int64()), pa.array(dropped_, pa.int64())], ["text", "n_lines", "n_dropped"])
+
+
+def common_keys(found: DataFrame, min_docs: int) -> DataFrame:
+    """(__key, __first): keys of at least `min_docs` rows of `found`, with the smallest doc_id."""
+    common = found.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    return stored(common.where(F.col("__n") >= min_docs).select("__key", "__first"), "lines")
+
+
+def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bits: int = 1 << 26, k: int = 2) -> DataFrame:
+    """`docs` with a struct `__lines` (text, n_lines, n_dropped): each text without the lines whose key is in at least `min_docs` documents.
+    With `keep_first` the first line of such a key stays, in the document with the smallest doc_id."""
+    twice = docs.sparkSession.sparkContext.broadcast(repeated_keys(docs, min_chars, bits, k))
+    suspects = suspects_in(twice, min_chars)
 
     found = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), suspects("text").alias("__keys"))
     found = stored(found.select("__id", "__h", F.explode("__keys").alias("__key")), "line-suspects")
-    common = found.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
-    common = stored(common.where(F.col("__n") >= min_docs).select("__key", "__first"), "lines")
+    common = common_keys(found, min_docs)
     first = F.when(F.lit(keep_first) & F.col("__id").eqNullSafe(F.col("__first")), F.col("__key"))
     drop = found.join(common, "__key").groupBy("__id", "__h").agg(F.collect_set("__key").alias("__drop"), F.collect_set(first).alias("__once"))
     keyed = docs.withColumn("__h0", F.xxhash64("text"))
@@ -90,3 +107,28 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The columns of `docs`, with the text that is left."""
     out = dropped_lines(docs, **how)
     return out.select(*[F.col("__lines.text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+def without_boilerplate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bits: int = 1 << 26, k: int = 2) -> DataFrame:
+    """The columns of `docs`, without the lines whose key is in at least `min_docs` documents. A row of whose keys such ones make up half or more,
+    in bytes, has copies rather than boilerplate: each of its keys stays once, in the first such row (smallest doc_id, then text)."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
+    twice = docs.sparkSession.sparkContext.broadcast(repeated_keys(rows, min_chars, bits, k))
+    suspects = suspects_in(twice, min_chars)
+
+    @F.arrow_udf(T.LongType())
+    @in_runs
+    def bytes_of_keys(texts: pa.Array) -> pa.Array:
+        return pa.array([sum(map(len, keys_of(text, min_chars))) for text in texts_of(texts)], pa.int64())
+
+    found = rows.select("__row", F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), bytes_of_keys("text").alias("__size"), suspects("text").alias("__keys"))
+    found = stored(found.select("__row", "__id", "__h", "__size", F.explode("__keys").alias("__key")), "line-suspects")
+    met = stored(found.join(common_keys(found, min_docs).select("__key"), "__key"), "common-lines")
+    copies = met.groupBy("__row").agg(F.sum(F.octet_length("__key")).alias("__n"), F.first("__size").alias("__size")).where(2 * F.col("__n") >= F.col("__size"))
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("__row").alias("row"))
+    held = met.join(stored(copies.select("__row"), "copied-rows"), "__row").groupBy("__key").agg(F.min(order).alias("__min"))
+    held = stored(held.select("__key", F.col("__min.row").alias("__holder")), "held-lines")
+    once = F.when(F.col("__row") == F.col("__holder"), F.col("__key"))
+    drop = met.join(held, "__key", "left").groupBy("__row").agg(F.collect_set("__key").alias("__drop"), F.collect_set(once).alias("__once"))
+    joined = rows.join(drop, "__row", "left").withColumn("__lines", without("text", "__drop", "__once"))
+    return joined.select(*[F.col("__lines.text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
