@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import brute
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 
-from modiste.llm import lines
+from modiste.llm import lines, suffix
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,3 +42,19 @@ def test_one_row_of_equal_rows_keeps_the_lines(spark):
     rows = [(None, "same\ntext")] * 6 + [(7, "same\ntext")] * 6
     out = lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bits=1 << 20).collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "")] * 6 + [(7, "")] * 5 + [(7, "same\ntext")]
+
+
+#: of one minimizer, with equal xxh32
+EQUAL_32 = [
+    ("mzifuenmayejzudnfsenkgrqincaxcvmkrnsovoxjhqsspuerw", "yzwmfwjbvstduudnfsenkgrqincaxcvmkrnsogutpmvausukfd"),
+    ("krmbolfxhmerwudnfsenkgrqincaxcvmkrnsorxzvlotudkeie", "tgtfssutvzhyfudnfsenkgrqincaxcvmkrnsolgudvmglyelgc"),
+    ("bgzncdwmbleuhudnfsenkgrqincaxcvmkrnsokgesbwoqpopin", "okyetixkjqrwludnfsenkgrqincaxcvmkrnsoqbtgsnzjipecg"),
+]
+
+
+@pytest.mark.parametrize("many", [suffix.MANY, 1])
+def test_pieces_of_one_minimizer_stay_apart(spark, frame, many, monkeypatch):
+    monkeypatch.setattr(suffix, "MANY", many)
+    rows = [(i * 2 + k, t) for i, pair in enumerate(EQUAL_32) for k, t in enumerate(pair)]
+    out = suffix.without_repeats(frame(rows), 50, 1 << 20).select("doc_id", F.octet_length("text"), "__cut.n_removed", "__cut.n_spans", F.sha2("__cut.kept", 256))
+    assert sorted(map(tuple, out.collect())) == sorted(brute.substrings(rows))
