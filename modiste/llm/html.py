@@ -1,14 +1,14 @@
 """Main text of web pages by consensus of their host.
 
 Every page scores its containers by the text of the paragraphs in them, less links, halved with each level between; its best one is a
-vote for the container's generalised path (tags with classes, digits masked). Spark counts the votes per host, and every page is read
-again with the paths of its host, the most voted first; a page that has none of them uses its own best container. So a page with an
-odd balance of text follows the template of its siblings.
+vote for the container's generalised path (tags with classes, digits masked). Spark counts the votes per (host, path), and every page
+meets the votes for the paths it has itself; the most voted one is its text, and a page that has none of them uses its own best
+container. So a page with an odd balance of text follows the template of its siblings, however many templates the host has.
 
 Menus, headers and footers of the page, side bars, notices, adverts, forms, scripts, styles, hidden parts and reader comments never count
 and are left out of what is extracted. Blocks are separated by two line ends, white space inside a block is one space, character
-references are decoded. Null and empty pages have an empty text, and so have pages without a paragraph. Pages of a null or odd url are
-one host. Every row is read by itself, also where a page_id repeats.
+references are decoded. Null and empty pages have an empty text, and so have pages without a paragraph. Pages of a null or odd url have
+no host and use their own best container. Every row is read by itself, also where a page_id repeats.
 """
 
 from __future__ import annotations
@@ -18,14 +18,12 @@ from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modiste.llm.common import in_runs, stored
 
-#: paths kept per host, most votes first
-PATHS = 16
 MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 CONTAINERS = frozenset("html body main article section div td th center details".split())
@@ -49,7 +47,7 @@ HEADS = frozenset(["header"])
 #: a new block of the kind ends an open one of the same family
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-VOTE = T.StructType([T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType())])
+VOTE = T.StructType([T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("have", T.ArrayType(T.StringType()))])
 
 
 @dataclass
@@ -229,20 +227,31 @@ def text_of(html: str | None, paths: list[str] | None) -> str:
     return "\n\n".join(b.text for b in blocks if any(e.path == path for e in b.within))
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the paths that pages of a host voted for, most votes first."""
+def hosted(pages: DataFrame) -> DataFrame:
+    """(__host, __h, __g, __vote) of every page with a host: its vote, and the distinct paths of its containers with text."""
 
     @F.arrow_udf(VOTE)
     @in_runs
     def vote(htmls: pa.Array) -> pa.Array:
-        got = [vote_of(h) for h in htmls.to_pylist()]
-        return pa.array([None if g is None else {"path": g[0], "score": g[1]} for g in got], pa.struct([("path", pa.string()), ("score", pa.float64())]))
+        out = []
+        for h in htmls.to_pylist():
+            blocks = blocks_of(h or "")
+            best = scored(blocks)
+            on = best is not None and best.score > 0
+            out.append({"path": best.path if on else None, "score": best.score if on else None, "have": sorted({e.path for b in blocks for e in b.within})})
+        return pa.array(out, pa.struct([("path", pa.string()), ("score", pa.float64()), ("have", pa.list_(pa.string()))]))
 
-    votes = pages.select("__host", vote("html").alias("v")).where("v IS NOT NULL").groupBy("__host", "v.path").agg(F.count(F.lit(1)).alias("n"), F.sum("v.score").alias("score"))
-    order = Window.partitionBy("__host").orderBy(F.desc("n"), F.desc("score"), "path")
-    ranked = votes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PATHS)
-    best = ranked.groupBy("__host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("r"))
-    return best.select("__host", F.col("r.path").alias("__paths"))
+    return pages.where("__host <> ''").select("__host", "__h", "__g", vote("html").alias("__vote"))
+
+
+def winners(pages: DataFrame) -> DataFrame:
+    """(__host, __h, __g, __path): of the paths a page has, the one with most votes of its host. Equal pages of a host have one row."""
+    read = stored(hosted(pages), "page-paths")
+    votes = read.where("__vote.path IS NOT NULL").groupBy("__host", F.col("__vote.path").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__vote.score").cast("decimal(38,6)")).alias("score"))
+    own = read.select("__host", "__h", "__g", F.explode("__vote.have").alias("path"))
+    met = own.join(stored(votes, "host-paths"), ["__host", "path"])
+    best = met.groupBy("__host", "__h", "__g").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("score")).alias("score"), "path")).alias("b"))
+    return best.select("__host", "__h", "__g", F.col("b.path").alias("__path"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -251,9 +260,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     @F.arrow_udf(T.StringType())
     @in_runs
     def main_text(htmls: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([text_of(h, p) for h, p in zip(htmls.to_pylist(), paths.to_pylist())], pa.string())
+        return pa.array([text_of(h, None if p is None else [p]) for h, p in zip(htmls.to_pylist(), paths.to_pylist())], pa.string())
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keyed = pages.withColumn("__host", host)
-    winners = stored(winning_paths(keyed), "host-paths")
-    return keyed.join(winners, "__host", "left").withColumn("__text", main_text("html", "__paths")).drop("__host", "__paths")
+    keyed = pages.withColumn("__host", host).withColumn("__h", F.xxhash64("html")).withColumn("__g", F.xxhash64(F.lit(7), "html"))
+    found = stored(winners(keyed), "page-winners")
+    return keyed.join(found, ["__host", "__h", "__g"], "left").withColumn("__text", main_text("html", "__path")).select(*pages.columns, "__text")

@@ -9,7 +9,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from modiste.llm import lines, suffix
+from modiste.llm import html, lines, suffix
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,3 +58,19 @@ def test_pieces_of_one_minimizer_stay_apart(spark, frame, many, monkeypatch):
     rows = [(i * 2 + k, t) for i, pair in enumerate(EQUAL_32) for k, t in enumerate(pair)]
     out = suffix.without_repeats(frame(rows), 50, 1 << 20).select("doc_id", F.octet_length("text"), "__cut.n_removed", "__cut.n_spans", F.sha2("__cut.kept", 256))
     assert sorted(map(tuple, out.collect())) == sorted(brute.substrings(rows))
+
+
+def test_consensus_of_a_host_with_many_templates(spark):
+    page = "<body><div class='{}'><p>{}</p></div><div class='list'><p>{}</p></div></body>"
+    names, story, other = ["q" + chr(97 + i) for i in range(20)], "story text of some length " * 3, "other things " * 20
+    pages = [(100 * i + k, "https://a.example/x", page.format(f"story-{n}", story, "short")) for i, n in enumerate(names) for k in range(3)]
+    pages += [(5000 + i, "https://a.example/odd", page.format(f"story-{n}", "brief", other)) for i, n in enumerate(names)]
+    pages += [(9000 + k, None, page.format("story-qa", story, "short")) for k in range(3)] + [(9009, "no url", page.format("story-qa", "brief", other))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r["__text"] for r in html.extracted(df).collect()}
+    assert len(got) == len(pages) and got[9009] == other.strip()
+    # the odd pages give their list 20 votes, more than any story has
+    assert all(got[5000 + i] == other.strip() for i in range(20))
+    few = [p for p in pages if p[0] < 5000] + [(5000 + i, "https://a.example/odd", p[2].replace("'list'", f"'list-{names[i]}'")) for i, p in enumerate(pages[60:80])]
+    got = {r.page_id: r["__text"] for r in html.extracted(spark.createDataFrame(few, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[5000 + i] for i in range(20)] == ["brief"] * 20
