@@ -9,7 +9,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from modiste.llm import html, lines, suffix
+from modiste.llm import html, lines, nearcopies, suffix
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,3 +74,34 @@ def test_consensus_of_a_host_with_many_templates(spark):
     few = [p for p in pages if p[0] < 5000] + [(5000 + i, "https://a.example/odd", p[2].replace("'list'", f"'list-{names[i]}'")) for i, p in enumerate(pages[60:80])]
     got = {r.page_id: r["__text"] for r in html.extracted(spark.createDataFrame(few, "page_id long, url string, html string").repartition(3)).collect()}
     assert [got[5000 + i] for i in range(20)] == ["brief"] * 20
+
+
+def jaccard(a, b, width=5):
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (brute.words(a), brute.words(b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    rows, gone = [], set()
+    for i in range(150):
+        base = rng.choices(words, k=rng.choice([120, 200, 500]))
+        other = list(base)
+        for at in rng.sample(range(5, len(base) - 5), rng.randint(1, len(base) // 30)):
+            other[at] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        if jaccard(rows[-2][1], rows[-1][1]) >= 0.8:
+            gone.add(2 * i + 1)
+    assert 50 < len(gone) < 150
+    hub = rng.choices(words, k=200)  # many near copies of one text, each with a word of its own
+    rows += [(1000 + i, " ".join([*hub[:i], f"own{i}", *hub[i + 1 :]])) for i in range(60)]
+    gone |= set(range(1001, 1060))
+    # short texts that aren't alike stay, copies and empty texts go; a repeated doc_id is one document
+    rows += [(2000, "the of and in"), (2001, "the of and on"), (2002, "THE of  and in"), (2003, ""), (2004, None), (2005, " "), (None, "the of and in"), (2006, "one two three"), (2006, "four five six")]
+    gone |= {2002, 2004, 2005}
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, a string, h int").repartition(3)
+    kept = sorted((r.doc_id for r in nearcopies.deduplicated(df).collect()), key=str)
+    assert kept == sorted((d for d, _ in rows if d not in gone), key=str)
+    stage = corpus_pipeline.STAGES[2][1](spark, df, "")
+    assert stage.columns == df.columns and stage.count() == len(kept) and not corpus_pipeline.STAGES[2][1](spark, df.limit(0), "").collect()
