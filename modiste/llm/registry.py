@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modiste.llm import bpe, decontaminate, html, langid, lines, lm, sharding, simhash, suffix, topk
+from modiste.llm import bpe, decontaminate, html, langid, lines, lm, sharding, simhash, suffix, topk, trie
 from modiste.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the conversations, each rebuilt on the head of another."""
+    return trie.described(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -120,5 +125,35 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_suffix": op2_suffix, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines, "op9_langid": op9_langid, "op10_html": op10_html}
-ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op7_topk": OP7_SQL, "op8_lines": OP8_SQL}
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') || chr(0) || coalesce(text, '') AS said, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '') || chr(0) || coalesce(text, '')) AS nr
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list(said ORDER BY nr) AS said, list(words ORDER BY nr) AS words,
+         xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                         lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 4 AS h
+  FROM t GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.said[1 : c.h], []), c.said[c.h + 1 :]) AS said, list_concat(coalesce(b.words[1 : c.h], []), c.words[c.h + 1 :]) AS words
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20
+), p AS (
+  SELECT conv_id, d, md5(CAST(said[1 : d] AS VARCHAR)) AS k, md5(CAST(said[1 : d - 1] AS VARCHAR)) AS up, coalesce(words[d], 0) AS words, d = len(said) AS ends
+  FROM (SELECT *, unnest(generate_series(0, len(said))) AS d FROM r)
+), n AS (
+  SELECT d, k, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ended
+  FROM p GROUP BY d, k
+), kids AS (
+  SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2
+), below AS (
+  SELECT p.d, p.k, sum(n.saved) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+  FROM n JOIN (SELECT conv_id, d, k FROM p) p ON p.conv_id = n.conv_id AND p.d <= n.d LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k GROUP BY 1, 2
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ended, '')) AS ends_sha256
+FROM n JOIN below ON below.d = n.d AND below.k = n.k LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k LEFT JOIN n a ON n.d > 0 AND a.d = n.d - 1 AND a.k = n.up
+"""
+
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_suffix": op2_suffix, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines, "op9_langid": op9_langid, "op10_html": op10_html, "op11_trie": op11_trie}
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op7_topk": OP7_SQL, "op8_lines": OP8_SQL, "op11_trie": OP11_SQL}

@@ -98,7 +98,7 @@ def test_registered(spark):
     assert {"op5_decontaminate", "op7_topk", "op8_lines"} <= set(o)
 
 
-@pytest.mark.parametrize("key", ["op5_decontaminate", "op7_topk", "op8_lines"])
+@pytest.mark.parametrize("key", ["op5_decontaminate", "op7_topk", "op8_lines", "op11_trie"])
 def test_twins(spark, key):
     import __spark_entry__ as entry
     import oracle
