@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modiste.llm import bpe, decontaminate, html, langid, lines, lm, sharding, simhash, suffix, topk, trie, whitening
+from modiste.llm import bpe, decontaminate, html, langid, lines, lm, quality, sharding, simhash, suffix, topk, trie, whitening
 from modiste.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, by a model of two thirds of the labels."""
+    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -160,5 +165,5 @@ SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, n.n
 FROM n JOIN below ON below.d = n.d AND below.k = n.k LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k LEFT JOIN n a ON n.d > 0 AND a.d = n.d - 1 AND a.k = n.up
 """
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_suffix": op2_suffix, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines, "op9_langid": op9_langid, "op10_html": op10_html, "op11_trie": op11_trie, "op12_whitening": op12_whitening}
+QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe, "op2_suffix": op2_suffix, "op3_lm": op3_lm, "op4_simhash": op4_simhash, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_topk": op7_topk, "op8_lines": op8_lines, "op9_langid": op9_langid, "op10_html": op10_html, "op11_trie": op11_trie, "op12_whitening": op12_whitening, "op13_quality": op13_quality}
 ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op7_topk": OP7_SQL, "op8_lines": OP8_SQL, "op11_trie": OP11_SQL}

@@ -1,4 +1,4 @@
-"""The ten operators against plain loops, libraries and cases of every kind: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+"""The first ten operators against plain loops, libraries and cases of every kind: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 from __future__ import annotations
 

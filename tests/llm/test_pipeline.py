@@ -94,8 +94,8 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     q, o = entry.queries(), entry.oracle_sql()
-    assert {k.split("_")[0] for k in q} >= {f"op{n}" for n in range(1, 11)} and "pipeline" in q
-    assert {"op5_decontaminate", "op7_topk", "op8_lines"} <= set(o)
+    assert {k.split("_")[0] for k in q} >= {f"op{n}" for n in range(1, 14)} and "pipeline" in q
+    assert {"op5_decontaminate", "op7_topk", "op8_lines", "op11_trie"} <= set(o)
 
 
 @pytest.mark.parametrize("key", ["op5_decontaminate", "op7_topk", "op8_lines", "op11_trie"])
@@ -107,7 +107,7 @@ def test_twins(spark, key):
     assert ok, msg
 
 
-@pytest.mark.parametrize("key", ["op1_bpe", "op2_suffix", "op3_lm", "op4_simhash", "op6_sharding", "op9_langid", "op10_html"])
+@pytest.mark.parametrize("key", ["op1_bpe", "op2_suffix", "op3_lm", "op4_simhash", "op6_sharding", "op9_langid", "op10_html", "op13_quality"])
 def test_whole_tables(spark, key):
     import __spark_entry__ as entry
 
