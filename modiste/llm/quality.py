@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import in_runs, sliced, stored
+from modiste.llm.common import in_runs, sliced
 
 BITS = 18
 FEATURES = 1 << BITS
@@ -53,8 +53,9 @@ def grams(text: str | None) -> np.ndarray:
     blank = np.isin(code, SPACES)
     if blank.all():
         return np.empty(0, np.int64)
-    # one blank between words
+    # one blank between words, none around them
     keep = ~blank | np.r_[False, ~blank[:-1]]
+    keep[np.flatnonzero(~blank)[-1] + 1 :] = False
     code, blank = np.where(blank, np.uint32(32), code)[keep], blank[keep]
     for at in range(0, len(code), RUN):
         part = code[at : at + RUN + 2].astype(np.uint64)
