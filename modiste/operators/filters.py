@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from modiste import vocab
 from modiste.functions import text
+from modiste.scale import without
 
 C = F.col
 
@@ -203,7 +204,7 @@ def image_verdict(width: Column, height: Column, blur: Column, entropy: Column)
 
 
 def exclude_ids(df: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(seen.select(*keys), list(keys), "left_anti")
+    return without(df, seen, keys)
 
 
 def handle_skip(df: DataFrame, handle: str = "handle", words=None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from modiste import vocab
 from modiste.functions.text import tokens
 from modiste.operators.filters import image_valid
-from modiste.scale import first_k
+from modiste.scale import first_k, without
 
 C = F.col
 
@@ -36,7 +36,7 @@ def semi_filter(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def anti_seen(df: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(seen, list(keys), "left_anti")
+    return without(df, seen, keys)
 
 
 def _squash(c: Column) -> Column:

@@ -6,6 +6,8 @@ Sequential algorithms (MMR, brand spread, wildcards, diverse picks) run per boun
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -224,6 +226,35 @@ def card_score(cards: DataFrame, hits: DataFrame, dislikes: DataFrame, history:
     return out.select(user, "card_id", F.round(total, 9).alias("score"), "p_like", "p_comment", "p_click")
 
 
+def promoted(novelty: np.ndarray, stride: int) -> list[int]:
+    """The order of a queue in which every `stride`-th slot goes to the most novel card behind the one whose turn it is; what is promoted moves ahead, the
+    rest keeps its order. A heap holds the cards by novelty, and those that have left the queue are dropped when they come up: n log n steps."""
+    n = len(novelty)
+    heap = [(not np.isnan(x), -x, i) for i, x in enumerate(novelty.tolist())]
+    heapq.heapify(heap)
+    gone, out, turn = np.zeros(n + 2, bool), [], 0
+
+    def after(i: int) -> int:
+        while i < n and gone[i]:
+            i += 1
+        return i
+
+    while len(out) < n:
+        turn = after(turn)
+        if (len(out) + 1) % stride == 0:
+            # the card at turn is out before the next such slot, so it needn't come up again
+            while heap and (gone[heap[0][2]] or heap[0][2] <= turn):
+                heapq.heappop(heap)
+            if heap and heap[0][2] != after(turn + 1):
+                best = heapq.heappop(heap)[2]
+                gone[best] = True
+                out.append(best)
+                continue
+        gone[turn] = True
+        out.append(turn)
+    return out
+
+
 def wildcards(cards: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
     """Promote the most novel remaining card every `stride` slots (stride 9 − 6·explore). Sequential over the whole queue of a session, which is
     the input of one call: the cards of one feed request."""
@@ -234,16 +265,8 @@ def wildcards(cards: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFr
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
         start = int(pdf["pos"].min())
-        queue, novelty = list(pdf.index), pdf["p_comment"].to_numpy()
         stride = int(min(9, max(3, np.floor(9 - pdf["explore"].iloc[0] * 6 + 0.5))))
-        for at in range(stride - 1, len(queue), stride):
-            rest = queue[at + 1:]
-            if not rest:
-                break
-            best = at + 1 + int(np.argmax(novelty[rest]))
-            if best != at + 1:
-                queue.insert(at, queue.pop(best))
-        out = pdf.loc[queue, [*keys, "card_id"]].copy()
+        out = pdf.loc[promoted(pdf["p_comment"].to_numpy(np.float64), stride), [*keys, "card_id"]].copy()
         out["new_pos"] = np.arange(start, start + len(out))
         return out
 
@@ -257,6 +280,33 @@ def upcoming_only(df: DataFrame, keys: Sequence[str], current: Column, pos: str
                     ["__f", "__s", pos, "object_id"], out).drop("__f", "__s")
 
 
+def spread(brands: Sequence[int], cooldown: int) -> list[int]:
+    """The order of items in which each slot goes to the brand with most items left that isn't among the last `cooldown` brands, ties to the brand that
+    comes first; where all brands left are among these, to the one not seen for longest. `brands` numbers the brands in the order of first items.
+
+    Brands with items that are free to go wait in a heap by items left; those cooling down are a ring of at most `cooldown`."""
+    queues: list[deque] = [deque() for _ in range(max(brands, default=-1) + 1)]
+    for i, b in enumerate(brands):
+        queues[b].append(i)
+    free = [(-len(q), b) for b, q in enumerate(queues)]
+    heapq.heapify(free)
+    ring: list[int] = []
+    out: list[int] = []
+    while len(out) < len(brands):
+        if free:
+            b = heapq.heappop(free)[1]
+        else:
+            b = next(x for x in ring if queues[x])
+            ring.remove(b)
+        out.append(queues[b].popleft())
+        ring.append(b)
+        if len(ring) > cooldown:
+            back = ring.pop(0)
+            if queues[back]:
+                heapq.heappush(free, (-len(queues[back]), back))
+    return out
+
+
 def spread_brand(df: DataFrame, keys: Sequence[str], page: str, cooldown: int = 4, pos: str = "pos") -> DataFrame:
     """Most-remaining brand not among the last `cooldown` brands, within each page of a paged lane; `page` names the column with its number."""
     keys = list(keys)
@@ -267,14 +317,7 @@ def spread_brand(df: DataFrame, keys: Sequence[str], page: str, cooldown: int =
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
         start = int(pdf["pos"].min())
-        queues = {b: list(g.index) for b, g in pdf.groupby("bk", sort=False)}
-        recent, out = [], []
-        while len(out) < len(pdf):
-            free = [b for b in queues if queues[b] and b not in recent]
-            b = max(free, key=lambda x: len(queues[x])) if free else next(x for x in recent if queues[x])
-            out.append(queues[b].pop(0))
-            recent = ([x for x in recent if x != b] + [b])[-cooldown:]
-        res = pdf.loc[out, [*keys, "page", "object_id", "bk"]].copy()
+        res = pdf.loc[spread(pd.factorize(pdf["bk"])[0].tolist(), cooldown), [*keys, "page", "object_id", "bk"]].copy()
         res["new_pos"] = np.arange(start, start + len(res))
         return res
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,56 +15,121 @@ from modiste.scale import first_k
 C = F.col
 
 
+class Leaders:
+    """The clusters of a sequential leader clustering, fed with blocks of vectors.
+
+    A block is assigned at once against the clusters as they stand, and verified: under these assignments the similarities that each vector would have met
+    at its turn, with the sums and norms that its predecessors leave, follow from matrix products. Up to the first vector that would have decided
+    otherwise all is right, and so is its new decision, so the round is repeated with the new decisions until nothing changes. Blocks shrink where
+    rounds settle little, down to single vectors, and grow again."""
+
+    BLOCK, ROUNDS = 256, 6
+
+    def __init__(self, threshold: float, width: int):
+        self.threshold, self.sums, self.counts = threshold, np.zeros((0, width)), np.zeros(0, np.int64)
+        self.first: np.ndarray | None = None
+        self.block = self.BLOCK
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.first is None and len(rows):
+            self.first = rows[0].copy()
+        while len(rows):
+            part = rows[: self.block]
+            settled = self.settle(part)
+            rows = rows[settled:]
+            self.block = min(self.BLOCK, 2 * self.block) if settled == len(part) else max(1, min(self.block, 2 * settled))
+
+    def settle(self, rows: np.ndarray) -> int:
+        """Take in the first rows whose decisions are verified; returns their number, at least one."""
+        n, k = len(rows), len(self.counts)
+        pairs = rows @ rows.T
+        own = np.diag(pairs).copy()
+        lower = np.tril(pairs, -1)
+        before = np.c_[rows @ self.sums.T, np.zeros((n, n))]  # a column per cluster, and one for each row that may lead
+        square = np.r_[(self.sums**2).sum(1), np.zeros(n)]
+        size, turn = np.sqrt(own)[:, None], np.arange(n)
+        choice, settled = None, 0
+        for _ in range(self.ROUNDS):
+            if choice is None:
+                dots, norms, there = before, np.broadcast_to(square, before.shape), np.zeros((n, n), bool)
+            else:
+                member = np.zeros((n, k + n))
+                member[turn, choice] = 1.0
+                dots = before + lower @ member
+                steps = member * (2 * dots + own[:, None])
+                norms = square + np.cumsum(steps, 0) - steps
+                there = (choice == k + turn)[None, :] & (turn[None, :] < turn[:, None])
+            scale = np.sqrt(np.maximum(norms, 0.0)) * size
+            like = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+            like[:, k:][~there] = -np.inf
+            best = like.argmax(1)
+            new = np.where(like[turn, best] > self.threshold, best, k + turn)
+            if choice is not None:
+                wrong = np.flatnonzero(new != choice)
+                settled = int(wrong[0]) + 1 if len(wrong) else n
+                if not len(wrong):
+                    break
+            choice = new
+        if not settled:
+            choice, settled = new, 1  # the first row has met the clusters as they stood
+        taken, rows = choice[:settled], rows[:settled]
+        leading = np.flatnonzero(taken == k + turn[:settled])
+        number = np.full(k + n, -1)
+        number[:k], number[k + leading] = np.arange(k), k + np.arange(len(leading))
+        self.sums = np.r_[self.sums, np.zeros((len(leading), rows.shape[1]))]
+        self.counts = np.r_[self.counts, np.zeros(len(leading), np.int64)]
+        np.add.at(self.sums, number[taken], rows)
+        np.add.at(self.counts, number[taken], 1)
+        return settled
+
+    def clusters(self) -> list[tuple[float, int, list[float]]]:
+        """(weight, size, vector) by size, then age."""
+        total = int(self.counts.sum())
+        out = []
+        for i in np.argsort(-self.counts, kind="stable"):
+            norm = np.linalg.norm(self.sums[i])
+            c = self.first if total == 1 else (self.sums[i] if norm == 0 else self.sums[i] / norm)
+            out.append((float(self.counts[i] / total), int(self.counts[i]), c.tolist()))
+        return out
+
+
 def greedy_cluster(rows: DataFrame, key: str, order: Sequence[str], threshold: float = 0.78) -> DataFrame:
     """Sequential leader clustering per key: a vector joins the closest centroid above the threshold, else it leads a new one.
 
-    The walk is order-dependent, so a key is read by one task in order, but as a stream: only the clusters' sums are held, never the
+    The walk is order-dependent, so a key is read by one task in order, but as a stream of blocks: only the clusters' sums are held, never the
     group's rows. Output: (key, cluster, weight, size, vec), clusters by size then age. A lone vector is returned as it is.
     """
     kind = rows.schema[key].dataType.simpleString()
-    ready = rows.where(C("vec").isNotNull()).select(key, *[o for o in order if o != key], "vec").repartition(C(key)).sortWithinPartitions(key, *order)
-
-    def finish(k, sums, counts, first):
-        total = sum(counts)
-        ranked = sorted(range(len(counts)), key=lambda i: -counts[i])
-        for rank, i in enumerate(ranked):
-            n = np.linalg.norm(sums[i])
-            c = first if total == 1 else (sums[i] if n == 0 else sums[i] / n)
-            yield (k, rank, counts[i] / total, counts[i], c.tolist())
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key, "cluster", "weight", "size", "vec"]
-        current, sums, counts, first, done = None, np.zeros((0, 0)), [], None, []
-        for b in batches:
-            for k, v in zip(b[key].tolist(), b["vec"].tolist()):
-                v = np.asarray(v, dtype=np.float64)
-                if k != current:
-                    if counts:
-                        done.extend(finish(current, sums, counts, first))
-                    current, counts, first = k, [], v
-                    sums = np.zeros((8, len(v)))
-                best, best_sim, nv = -1, threshold, np.linalg.norm(v)
-                if counts:
-                    m = sums[: len(counts)]
-                    norms = np.linalg.norm(m, axis=1) * nv
-                    sims = np.where(norms == 0, 0.0, m @ v / np.where(norms == 0, 1.0, norms))
-                    i = int(np.argmax(sims))
-                    best = i if sims[i] > best_sim else -1
-                if best < 0:
-                    if len(counts) == len(sums):
-                        sums = np.vstack([sums, np.zeros_like(sums)])
-                    sums[len(counts)] = v
-                    counts.append(1)
-                else:
-                    sums[best] += v
-                    counts[best] += 1
-            if done:
-                yield pd.DataFrame(done, columns=names)
-                done = []
-        if counts:
-            yield pd.DataFrame(list(finish(current, sums, counts, first)), columns=names)
-
-    return ready.mapInPandas(walk, f"{key} {kind}, cluster int, weight double, size long, vec array<double>")
+    ready = rows.where(C("vec").isNotNull()).select(key, C("vec").cast("array<double>").alias("vec"), *[o for o in order if o not in (key, "vec")]).repartition(C(key)).sortWithinPartitions(key, *order).select(key, "vec")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+
+        def finished() -> pa.RecordBatch:
+            found = held.clusters()
+            n = len(found)
+            columns = [pa.array([current] * n, key_type), pa.array(range(n), pa.int32()), *(pa.array([c[i] for c in found], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.list_(pa.float64()))))]
+            return pa.RecordBatch.from_arrays(columns, [key, "cluster", "weight", "size", "vec"])
+
+        for batch in batches:
+            key_type = batch.column(0).type
+            names, vecs = batch.column(0).to_pylist(), batch.column(1)
+            flat, ends = vecs.values.to_numpy(zero_copy_only=False), vecs.offsets.to_numpy()
+            at = 0
+            while at < len(names):
+                to = at
+                while to < len(names) and names[to] == names[at]:
+                    to += 1
+                if held is None or names[at] != current:
+                    if held is not None:
+                        yield finished()
+                    current, held = names[at], Leaders(threshold, int(ends[at + 1] - ends[at]))
+                held.add(flat[ends[at] : ends[to]].reshape(to - at, -1))
+                at = to
+        if held is not None:
+            yield finished()
+
+    return ready.mapInArrow(walk, f"{key} {kind}, cluster int, weight double, size long, vec array<double>")
 
 
 TIER_LIMITS = [3, 3, 1, 5, 1]

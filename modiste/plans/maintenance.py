@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from modiste import vocab
 from modiste.functions import scores
 from modiste.operators.joins import rule_theta
-from modiste.scale import numbered
+from modiste.scale import numbered, without
 
 C = F.col
 
@@ -71,7 +71,7 @@ def delete_by_query(products: DataFrame, vectors: DataFrame, text: str, most: in
 
 
 def incremental(todo: DataFrame, done: DataFrame, key: str = "object_id") -> DataFrame:
-    return todo.join(done.select(key), key, "left_anti")
+    return without(todo, done, [key])
 
 
 def ghost_report(hits: DataFrame, products: DataFrame) -> DataFrame:

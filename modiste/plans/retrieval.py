@@ -126,10 +126,10 @@ def category_search(queries: DataFrame, products: DataFrame, per_category: int,
     hint = F.element_at(F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv]), C("bucket"))
     hinted = F.when((hint != "") & ~F.contains(F.lower("text"), hint), F.concat_ws(" ", "text", hint)).otherwise(C("text"))
     last_two = F.array_join(F.slice(F.split(F.trim("text"), " "), F.greatest(F.lit(1), F.size(F.split(F.trim("text"), " ")) - 1), F.lit(2)), " ")
-    strict = keyword_search(queries.withColumn("category", C("bucket")), products, wide, group)
-    leaning = keyword_search(queries.withColumn("text", hinted), products, wide, group)
-    broad = keyword_search(queries.withColumn("text", last_two), products, per_category, group)
-    return sets.fallback_widen([strict, leaning, broad], group, [max(2, per_category // 2), 2])
+    tiers = [lambda q: keyword_search(q.withColumn("category", C("bucket")), products, wide, group),
+             lambda q: keyword_search(q.withColumn("text", hinted), products, wide, group),
+             lambda q: keyword_search(q.withColumn("text", last_two), products, per_category, group)]
+    return sets.fallback_widen(queries, tiers, group, [max(2, per_category // 2), 2])
 
 
 def with_categories(vectors: DataFrame, products: DataFrame) -> DataFrame:

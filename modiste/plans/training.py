@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,55 +49,87 @@ def with_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows
 
 
-def _stack(s: pd.Series) -> np.ndarray:
-    return np.vstack(s.to_numpy()).astype(np.float64)
+#: bytes of a tile of a packed gradient, and tasks that add up those of all others
+TILE_BYTES, GROUPS = 1 << 20, 16
+PACKED = "part int, tile int, loss double, active long, packed binary"
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each tile of a task, in the order they come."""
+    total: dict[int, list] = {}
+    for batch in batches:
+        for part, tile, loss, active, data in zip(*batch.columns):
+            tile, value = tile.as_py(), np.frombuffer(data.as_buffer())
+            if tile in total:
+                had = total[tile]
+                total[tile] = [had[0], had[1] + loss.as_py(), had[2] + active.as_py(), had[3] + value]
+            else:
+                total[tile] = [part.as_py(), loss.as_py(), active.as_py(), value.copy()]
+    for tile, (part, loss, active, value) in sorted(total.items()):
+        yield _packed(part, tile, loss, active, value)
+
+
+def _packed(part: int, tile: int, loss: float, active: int, value: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int32()), pa.array([tile], pa.int32()), pa.array([loss], pa.float64()), pa.array([active], pa.int64()), pa.array([value.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "tile", "loss", "active", "packed"])
+
+
+def gradient(data: DataFrame, w: np.ndarray, margin: float) -> tuple[np.ndarray, float, int]:
+    """Sum of the gradients of the triplets within the margin, their hinge losses and their number.
+
+    A task packs its matrix into tiles of whole rows, one row of bytes each; tiles are added by a tree, GROUPS tasks a tile and then one, in
+    the order of tasks, so the driver gets one matrix."""
+    dim = len(w)
+    held = data.sparkSession.sparkContext.broadcast(w)
+    rows_a_tile = max(1, TILE_BYTES // (8 * dim))
+
+    def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, loss, active = np.zeros((dim, dim)), 0.0, 0
+        m = held.value
+        for b in batches:
+            a, p, n = (c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for c in b.columns)
+            pn = p - n
+            wa, wpn = a @ m.T, pn @ m.T
+            hinge = margin - np.einsum("ij,ij->i", wa, wpn)
+            on = hinge > 0
+            if on.any():
+                g += wa[on].T @ pn[on] + wpn[on].T @ a[on]
+                loss, active = loss + float(hinge[on].sum()), active + int(on.sum())
+        if active:
+            part = TaskContext.get().partitionId()
+            for tile, at in enumerate(range(0, dim, rows_a_tile)):
+                yield _packed(part, tile, loss if not at else 0.0, active if not at else 0, g[at : at + rows_a_tile])
+
+    doubles = [C(c).cast("array<double>").alias(c) for c in ("anchor_vec", "positive_vec", "negative_vec")]
+    parts = data.select(*doubles).mapInArrow(gradients, PACKED)
+    tiles = -(-dim // rows_a_tile)
+    grouped = parts.repartition(GROUPS * tiles, "tile", C("part") % GROUPS).sortWithinPartitions("tile", "part").mapInArrow(_added, PACKED)
+    whole = grouped.repartition(tiles, "tile").sortWithinPartitions("tile", "part").mapInArrow(_added, PACKED).collect()
+    held.unpersist()
+    g = np.zeros((dim, dim))
+    for r in whole:
+        value = np.frombuffer(r.packed).reshape(-1, dim)
+        g[r.tile * rows_a_tile : r.tile * rows_a_tile + len(value)] = value
+    return g, sum(r.loss for r in whole), sum(r.active for r in whole)
 
 
 def train_projection(rows: DataFrame, dim: int, epochs: int = 15, lr: float = 0.5, margin: float = 0.2, batch_rows: int = 4096) -> tuple[np.ndarray, list[float]]:
     """Bilinear hinge training of W (dim × dim), starting at the identity. `rows` carry anchor/positive/negative vectors.
 
-    Every step is one Spark job over a hashed slice of the triplets: tasks sum the gradients of their batches and the sums are added by
-    a Spark aggregate, so the driver sees one dim × dim matrix per step. A step is `lr` times the mean gradient of the slice's triplets within the
+    Every step is one Spark job over a hashed slice of the triplets: `lr` times the mean gradient of the slice's triplets within the
     margin, at the slice's starting W (mini-batch instead of per-sample descent); slices have about `batch_rows` triplets.
     """
     steps_per_epoch = max(1, -(-rows.count() // batch_rows))
     data = rows.select("anchor_vec", "positive_vec", "negative_vec", F.pmod(F.xxhash64("anchor", "positive", "negative"), F.lit(steps_per_epoch)).alias("slice")).persist()
-    sc = rows.sparkSession.sparkContext
     w, losses = np.eye(dim), []
     try:
         for _ in range(epochs):
             loss_sum, active_sum = 0.0, 0
             for step in range(steps_per_epoch):
-                held = sc.broadcast(w)
-
-                def gradients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                    g, loss, active = np.zeros((dim, dim)), 0.0, 0
-                    m = held.value
-                    for b in batches:
-                        if b.empty:
-                            continue
-                        a, p, n = _stack(b["anchor_vec"]), _stack(b["positive_vec"]), _stack(b["negative_vec"])
-                        pn = p - n
-                        wa, wpn = a @ m.T, pn @ m.T
-                        hinge = margin - np.einsum("ij,ij->i", wa, wpn)
-                        on = hinge > 0
-                        if on.any():
-                            g += wa[on].T @ pn[on] + wpn[on].T @ a[on]
-                            loss, active = loss + float(hinge[on].sum()), active + int(on.sum())
-                    cells = g.ravel()
-                    yield pd.DataFrame({"cell": np.arange(cells.size, dtype=np.int64), "g": cells, "loss": np.where(np.arange(cells.size) == 0, loss, 0.0),
-                                        "active": np.where(np.arange(cells.size) == 0, active, 0).astype(np.int64)})
-
-                sums = (data.where(C("slice") == step).select("anchor_vec", "positive_vec", "negative_vec").mapInPandas(gradients, "cell long, g double, loss double, active long")
-                        .groupBy("cell").agg(F.sum("g").alias("g"), F.sum("loss").alias("loss"), F.sum("active").alias("active")).toPandas())
-                held.unpersist()
-                if len(sums):
-                    g = np.zeros(dim * dim)
-                    g[sums["cell"].to_numpy()] = sums["g"].to_numpy()
-                    n_on = int(sums["active"].sum())
-                    if n_on:
-                        w = w + lr / n_on * g.reshape(dim, dim)
-                    loss_sum, active_sum = loss_sum + float(sums["loss"].sum()), active_sum + n_on
+                g, loss, active = gradient(data.where(C("slice") == step), w, margin)
+                if active:
+                    w = w + lr / active * g
+                loss_sum, active_sum = loss_sum + loss, active_sum + active
             losses.append(loss_sum / active_sum if active_sum else 0.0)
     finally:
         data.unpersist()

@@ -101,6 +101,49 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], spread: bool | None = N
     return df.join(stats, cond, "left").drop(*[f"__g{i}" for i in range(len(keys))])
 
 
+#: bits of a bucket of Spark's bitmap functions, and the most and fewest buckets of a filter: at most 32 MB are sent to every task
+BITMAP_BITS, MOST_BUCKETS, FEWEST_BUCKETS = 32768, 8192, 32
+
+
+def bitmap_of(keys: Sequence[Column], rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, bits): a bit for the hash of each row's keys, made by Spark's bitmap aggregate."""
+    spot = F.pmod(F.xxhash64(*keys), F.lit(buckets * BITMAP_BITS)) + 1
+    return rows.select(F.bitmap_bucket_number(spot).alias("__bucket"), F.bitmap_bit_position(spot).alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+
+
+def with_suspicion(df: DataFrame, keys: Sequence[Column], bitmap: DataFrame, buckets: int, out: str) -> DataFrame:
+    """`df` with a boolean column: whether the bit of the row's keys is set. The bitmap has a row per bucket and a fixed size; no row is shuffled."""
+    spot = F.pmod(F.xxhash64(*keys), F.lit(buckets * BITMAP_BITS)) + 1
+    marked = df.withColumn("__at", F.bitmap_bit_position(spot)).withColumn("__bucket", F.bitmap_bucket_number(spot))
+    met = marked.join(F.broadcast(bitmap), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.withColumn(out, F.coalesce(F.bit_get(byte, (F.col("__at") % 8).cast("int")) == 1, F.lit(False))).drop("__at", "__bucket", "__bits")
+
+
+def without(df: DataFrame, seen: DataFrame, keys: Sequence[str], filtered: bool | None = None) -> DataFrame:
+    """Rows of `df` whose keys `seen` hasn't.
+
+    What `seen` holds is first noted in a bitmap of hashes, eight bits for each of its rows as far as the bitmap may grow. Rows whose bit isn't set pass
+    without a shuffle; the others, those seen and an eighth of the rest at most, are compared exactly. `df` is scanned once for either. Small `seen`, which
+    Spark sends to every task as it is, and `filtered=False` go without the bitmap."""
+    keys = list(keys)
+    spark = df.sparkSession
+    seen = seen.select(*keys)
+    if filtered is None:
+        limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        filtered = leaf_bytes(seen) > int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit) if not limit.lstrip("-").isdigit() else limit)
+    if not filtered:
+        return df.join(seen, keys, "left_anti")
+    buckets, n = FEWEST_BUCKETS, seen.count()
+    while buckets < MOST_BUCKETS and buckets * BITMAP_BITS < 8 * n:
+        buckets *= 2
+    types = dict(df.dtypes)
+    alike = [F.col(k).cast(types[k]) for k in keys]  # one hash for either side
+    bitmap = cut(bitmap_of(alike, seen, buckets))
+    rows = with_suspicion(df, alike, bitmap, buckets, "__suspect")
+    return rows.where(~F.col("__suspect")).drop("__suspect").unionByName(rows.where("__suspect").drop("__suspect").join(seen, keys, "left_anti"))
+
+
 def bounded_rows(df: DataFrame, max_rows: int):
     """Collect `df` as an Arrow table if it has at most `max_rows` rows, else None. Never brings more to the driver."""
     table = df.limit(max_rows + 1).toArrow()

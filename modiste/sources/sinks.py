@@ -35,17 +35,6 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Seque
     return out if deletes is None else out.join(deletes.select(*keys), list(keys), "left_anti")
 
 
-def write_catalog(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
-def upsert_catalog(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, deletes: DataFrame | None = None) -> str:
-    """Write the next version of the catalogue beside the old one and return its path; readers of the old one are not disturbed."""
-    target = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-    write_catalog(upserted(spark.read.parquet(path), new, keys, columns, deletes), target)
-    return target
-
-
 def upsert_vectors(vectors: DataFrame, path: str, buckets: int = 64) -> None:
     """Put vectors (object_id, namespace, vec, metadata…) into the store at `path` by (namespace, object_id); others stay.
 
@@ -63,5 +52,21 @@ def upsert_vectors(vectors: DataFrame, path: str, buckets: int = 64) -> None:
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "bucket").parquet(path)
 
 
-def append_jsonl(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").json(path)
+def append_jsonl(entries: DataFrame, path: str, batch: str) -> None:
+    """Append entries to the log at `path` as the batch of that name; a batch that is written again replaces what it had written."""
+    entries.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries of a log of batches."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+
+
+def stream_jsonl(stream: DataFrame, path: str, checkpoint: str):
+    """Append a stream of entries to the log at `path`, to the end of what is there; returns the finished query.
+
+    The folder's own log of committed files goes with the checkpoint's log of micro-batches: a micro-batch that is run again after a failure finds itself
+    committed, or its files don't count, so each entry is read once. Read such a log with `spark.read.json(path)`."""
+    q = stream.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from modiste.functions import scores
-from modiste.sources import feeds, sinks
+from modiste.sources import catalog, feeds, sinks
 from modiste.workload.fixtures import query, quoted
 from modiste import vocab
 from modiste.workload.scalars import CRUMBS, SLUG, case_words
@@ -171,11 +171,11 @@ def _(e):
 def _(e):
     cols = ["object_id", "title", "price", "brand"]
     path = sinks.scratch_path(e.spark, "catalog")
-    sinks.write_catalog(e.products.select(*cols), path)
+    catalog.create(e.products.select(*cols), path)
     dresses = e.products.where("category = 'dress'").withColumn("price", F.coalesce("price", F.lit(0.0)) + 1).withColumn("title", F.upper("title")).select(*cols)
     new = dresses.unionByName(dresses.withColumn("object_id", F.concat(F.lit("new-"), "object_id")))
     gone = e.products.where("category = 'bag'").select("object_id")
-    return e.spark.read.parquet(sinks.upsert_catalog(e.spark, path, new, ["object_id"], ["price"], gone))
+    return catalog.read(e.spark, path, catalog.upsert(e.spark, path, new, ["price"], gone))
 
 
 @query("sink_vectors", """SELECT 'visual' AS namespace, object_id, round(vec[1], 6) AS v0 FROM vectors UNION ALL SELECT 'vibe', object_id, round(vec[1] * CASE WHEN ends_with(object_id, '3') THEN 2 ELSE 1 END, 6) FROM vibes
@@ -191,7 +191,9 @@ def _(e):
 
 @query("sink_jsonl_append", "SELECT event_id, user_token, object_id FROM signals WHERE kind IN ('save', 'click')")
 def _(e):
+    from modiste.workload.streams import signal_stream
+
     path = sinks.scratch_path(e.spark, "log")
-    for kind in ("save", "click"):
-        sinks.append_jsonl(e.signals.where(C("kind") == kind).select("event_id", "user_token", "object_id"), path)
+    entries = signal_stream(e)[0].where(C("kind").isin("save", "click")).select("event_id", "user_token", "object_id")
+    sinks.stream_jsonl(entries, path, sinks.scratch_path(e.spark, "stream-checkpoint"))
     return e.spark.read.schema("event_id long, user_token string, object_id string").json(path)

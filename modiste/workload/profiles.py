@@ -130,6 +130,19 @@ def _(e):
 
 
 SPLIT = "sp AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(concat('s2|', run_id, '|', CAST(i AS VARCHAR))), concat(run_id, '|', CAST(i AS VARCHAR))) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split FROM tri WHERE EXISTS (SELECT 1))"
+STEP_ROWS = 4
+
+
+@query("train_step", f"""WITH {TRIPLETS}, {SPLIT}, v AS (SELECT a.vec AS a, list_transform(list_zip(p.vec, n.vec), lambda x: x[1] - x[2]) AS d FROM sp JOIN units a ON a.object_id = anchor JOIN units p ON p.object_id = positive JOIN units n ON n.object_id = negative WHERE split = 'train'),
+    h AS (SELECT a, d, 0.2 - list_dot_product(a, d) AS hinge FROM v), o AS (SELECT * FROM h WHERE hinge > 0), s AS (SELECT sum(hinge) / count(*) AS loss, count(*) AS n FROM o),
+    c AS (SELECT i, j, sum(a[i + 1] * d[j + 1] + d[i + 1] * a[j + 1]) AS g FROM o, (SELECT unnest(range({STEP_ROWS})) AS i), (SELECT unnest(range(64)) AS j) GROUP BY 1, 2)
+    SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN i = j THEN 1.0 ELSE 0.0 END + 0.5 / n * g, 6) + 0.0 AS w, round(loss, 6) AS loss FROM c, s""")
+def _(e):
+    rows = split_triplets(e).where("split = 'train'")
+    w, losses = training.train_projection(training.with_vectors(rows, e.vectors), 64, epochs=1, batch_rows=1 << 40)
+    return e.spark.createDataFrame([(i, j, float(w[i, j]), losses[0]) for i in range(STEP_ROWS) for j in range(64)], "i int, j int, w double, loss double").select("i", "j", (F.round("w", 6) + 0.0).alias("w"), F.round("loss", 6).alias("loss"))
+
+
 ACC = "avg(CASE WHEN list_dot_product(list_transform(a.vec, lambda x, j: x * (1 + {f} * j)), list_transform(p.vec, lambda x, j: x * (1 + {f} * j))) > list_dot_product(list_transform(a.vec, lambda x, j: x * (1 + {f} * j)), list_transform(n.vec, lambda x, j: x * (1 + {f} * j))) THEN 1.0 ELSE 0.0 END)"
 
 

@@ -68,8 +68,9 @@ def _(e):
 def _(e):
     q = e.queries.select("query_id", "text", F.split_part("text", F.lit(" "), F.lit(2)).alias("w2"))
     p = e.products.select("object_id", "category", C("title").alias("text"), C("pos").alias("rank"), F.split_part("title", F.lit(" "), F.lit(2)).alias("w2"))
-    exact = q.drop("w2").join(p.drop("w2"), "text")
-    return sets.fallback_widen([exact.where("category = 'dress'"), exact, q.drop("text").join(p.drop("text"), "w2")], ["query_id"], [5, 30])
+    exact = lambda rows: rows.drop("w2").join(p.drop("w2"), "text")
+    tiers = [lambda rows: exact(rows).where("category = 'dress'"), exact, lambda rows: rows.drop("text").join(p.drop("text"), "w2")]
+    return sets.fallback_widen(q, tiers, ["query_id"], [5, 30])
 
 
 BUCKETS = "qb AS (SELECT query_id, bucket, text, CASE WHEN bucket = 'bottom' THEN concat(text, ' skirt') WHEN bucket = 'dress' OR contains(lower(text), bucket) THEN text ELSE concat(text, ' ', bucket) END AS text1, array_to_string(string_split(text, ' ')[-2:], ' ') AS text2 FROM queries, (VALUES ('dress'), ('bottom'), ('bag')) b(bucket))"

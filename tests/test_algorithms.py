@@ -185,7 +185,8 @@ def test_streams_over_many_batches_equal_batch(spark, tmp_path):
     same(jobs.session_buffers(stream()), jobs.session_buffers_batch(full), ["user_token", "buffer", "event_id", "rank"])
     same(jobs.dwell_dislikes(stream()), jobs.dwell_dislikes_batch(full), ["user_token", "event_id", "rank"])
     steers = full.where("kind = 'like'").select(C("event_id").alias("steer_id"), "user_token", "ts")
-    same(jobs.steer_outcomes(stream(), C("kind") == "like"), jobs.steer_outcomes_batch(full.where("kind <> 'like'"), steers), ["steer_id", "outcome", "n"])
+    spark.createDataFrame([(None, "u", None, datetime(2025, 1, 1), None, None, None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    same(jobs.steer_outcomes(stream(), C("kind") == "like").where("steer_id IS NOT NULL"), jobs.steer_outcomes_batch(full.where("kind <> 'like'"), steers), ["steer_id", "outcome", "n"])
 
 
 def test_training_improves_held_out_triplets(spark):
