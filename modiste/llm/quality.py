@@ -5,13 +5,13 @@ equal to the word before, all hashed into FEATURES places. An indicator is scale
 over all labelled documents. A linear model with hinge loss is fitted to the scaled indicators, vectors of length one, by dual coordinate descent, and
 its weights are mixed with their mean size, which is naive Bayes. Platt's sigmoid turns margins into chances.
 
-The fit takes at most `sample` labelled documents, the same number of either class, those with the least hashes of id and text; a fifth of them is kept
+The fit takes at most `sample` labelled documents, the same number of either class, those whose ids have the least hashes; a fifth of them is kept
 back for the sigmoid, weighted by the true numbers of the classes. Sample, weights and what is broadcast have a fixed size; counts and scores cover every
 document, whole.
 
-A document is learnt from if its labels say 0 or 1 and don't differ; rows that repeat an id and text count in the statistics and once in the sample. Null
-and empty texts have no n-grams and get the chance at margin zero plus bias. Without documents of both classes every score is the share of label 1, one
-half if there is no label. Score 0.5 is label 1. Scores depend on the text alone. Other columns are ignored.
+A document is learnt from if the labels of its id say 0 or 1 and don't differ; rows that repeat an id count in the statistics, and one of them in the
+sample. Null and empty texts have no n-grams and get the chance at margin zero plus bias. Without documents of both classes every score is the share of
+label 1, one half if there is no label. Score 0.5 is label 1. Scores depend on the text alone. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import in_runs, sliced
+from modiste.llm.common import in_runs, sliced, stored
+from modiste.scale import bitmap_of, with_suspicion
 
 BITS = 18
 FEATURES = 1 << BITS
@@ -108,11 +109,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, label, text) of the documents to learn from; h is a hash of id and text."""
-    said = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("__most")).where("label = __most")
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(said.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id")
-    return known.select(F.xxhash64("doc_id", "text").alias("h"), "label", "text")
+def lessons(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of the ids to learn from, each once."""
+    said = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"), F.max("quality").alias("most"))
+    return stored(said.where("label = most").select("doc_id", "label"), "lessons")
+
+
+def labelled(docs: DataFrame, said: DataFrame, buckets: int = 1024) -> DataFrame:
+    """(label, text) of the documents to learn from. A bitmap of the ids, of a fixed size, keeps other documents out of the join's shuffle."""
+    ids = [F.col("doc_id").cast("long")]
+    known = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    met = with_suspicion(known, ids, stored(bitmap_of(ids, said, buckets), "lesson-bits"), buckets, "suspect").where("suspect").drop("suspect")
+    return met.join(said, "doc_id").select("label", "text")
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -142,26 +150,28 @@ def ratios(counts: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     return np.where(counts.any(0), r, 0.0)
 
 
-def sampled(rows: DataFrame, totals: np.ndarray, sample: int) -> DataFrame:
-    """(h, label, text): of either class the half of `sample` with the least hashes, chosen by hashes alone."""
+def sampled(said: DataFrame, totals: np.ndarray, sample: int) -> DataFrame:
+    """(doc_id, label): of either class the half of `sample` with the least hashes; `totals` are the ids of the classes."""
     half = sample // 2
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, 1.5 * half / max(int(totals[1]), 1)))).otherwise(F.lit(min(1.0, 1.5 * half / max(int(totals[0]), 1))))
-    small = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30) < share
-    order = Window.partitionBy("label").orderBy(F.xxhash64("h"), "h")
-    chosen = rows.where(small).select("h", "label").distinct().withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= half).select("h", "label")
-    return rows.where(small).join(F.broadcast(chosen), ["h", "label"], "left_semi")  # `sample` rows at most
+    share = [F.lit(min(1.0, 1.5 * half / max(int(n), 1))) for n in totals]
+    h = F.xxhash64("doc_id", F.lit(13))
+    small = F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < F.when(F.col("label") == 1, share[1]).otherwise(share[0])
+    order = Window.partitionBy("label").orderBy(F.pmod(h, F.lit(1 << 30)), "doc_id")
+    return stored(said.where(small).withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= half).select("doc_id", "label"), "sample")
 
 
-def sample_vectors(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of the sample, in the order of hashes; rows that repeat count once."""
+def sample_vectors(docs: DataFrame, chosen: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of the chosen ids, in their order; of rows that share an id one counts."""
 
     def features(batches):
         for batch in sliced(batches):
-            out = [(h, y, grams(t).astype(np.int32)) for h, y, t in zip(*(c.to_pylist() for c in batch.columns))]
+            out = [(i, y, h, grams(t).astype(np.int32)) for i, y, h, t in zip(*(c.to_pylist() for c in batch.columns))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int32(), pa.list_(pa.int32())])], ["h", "label", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())])], ["doc_id", "label", "h", "at"])
 
-    got = rows.mapInArrow(features, "h long, label int, at array<int>").groupBy("h", "label").agg(F.first("at").alias("at")).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))  # `sample` ids at most
+    one = rows.mapInArrow(features, "doc_id long, label int, h long, at array<int>").groupBy("doc_id", "label").agg(F.min_by("at", "h").alias("at"))
+    got = one.toArrow().sort_by([("doc_id", "ascending")])
     return [x.values.to_numpy() for x in got["at"].combine_chunks()], got["label"].to_numpy()
 
 
@@ -217,14 +227,15 @@ def sigmoid(margins: np.ndarray, labels: np.ndarray, totals: np.ndarray) -> tupl
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = 8000, beta: float = 0.75, cost: float = 1.0) -> Model:
     """A model learnt from documents (doc_id, text) and labels (doc_id, quality); `beta` is the part of the fitted weights beside their mean size."""
-    rows = labelled(docs, labels)
-    totals, counts = class_counts(rows)
+    said = lessons(labels)
+    totals, counts = class_counts(labelled(docs, said))
     model = Model(ratios(counts), np.zeros(FEATURES))
     if not totals.all():
         model.offset = float(np.log((totals[1] + 1) / (totals[0] + 1))) if totals.any() else 0.0
         return model
-    found, y = sample_vectors(sampled(rows, totals, sample))
-    back = np.arange(len(found)) % 5 == 4
+    ids = {r.label: r.n for r in said.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found, y = sample_vectors(docs.select("doc_id", "text"), sampled(said, np.array([ids[0], ids[1]]), sample))
+    back = np.random.default_rng(5).permutation(len(found)) % 5 == 4
     fit = np.flatnonzero(~back)
     w, model.bias = hinge([(found[i], model.vector(found[i])) for i in fit], 2.0 * y[fit] - 1, cost)
     used = w != 0

@@ -64,7 +64,7 @@ def test_long_texts_are_read_whole(monkeypatch):
 
 def test_class_counts_and_ratios(spark):
     rows = [(i, i % 2, t) for i, t in enumerate(["aa aa", "b c", "", "b c", "é x", "aa"])]
-    totals, counts = quality.class_counts(spark.createDataFrame(rows, "h long, label int, text string").repartition(4))
+    totals, counts = quality.class_counts(spark.createDataFrame([r[1:] for r in rows], "label int, text string").repartition(4))
     want = [Counter(), Counter()]
     for _, y, t in rows:
         want[y].update(quality.grams(t).tolist())
@@ -133,9 +133,10 @@ def test_nothing_to_tell_apart(spark, said, want):
 
 
 def test_the_sample_is_bounded(spark):
-    rows = spark.range(4000).select((F.col("id") % 500).alias("h"), (F.col("id") % 2).cast("int").alias("label"), F.lit("t").alias("text"))
-    picked = quality.sampled(rows, np.array([2000, 2000]), 40)
-    found, y = quality.sample_vectors(picked)
-    assert len(found) <= 40 and abs(int(y.sum()) - len(y) // 2) <= 1
-    found, y = quality.sample_vectors(quality.sampled(rows, np.array([2000, 2000]), 10_000))
-    assert len(found) == 500
+    said = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 > 0).cast("int").alias("label"))
+    docs = spark.range(9000).select(F.when(F.col("id") < 6000, F.lit(7)).otherwise(F.col("id") - 6000).alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"))
+    chosen = quality.sampled(said, np.array([1000, 2000]), 40)
+    assert {r.label: r.n for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 20, 1: 20}
+    assert len(quality.sample_vectors(docs, chosen)[0]) == 40
+    found, y = quality.sample_vectors(docs, quality.sampled(said, np.array([1000, 2000]), 100_000))
+    assert len(found) == 3000 and y.sum() == 2000
