@@ -29,6 +29,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str):
+    """Column names like these that `df` doesn't have: a list, or the name if it is one."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out if len(out) > 1 else out[0]
+
+
 def in_runs(f, limit: int = 6 << 20):
     """A function of Arrow arrays, called for runs of rows of about `limit` bytes each, so that what it holds doesn't follow the batch size."""
 

@@ -2,7 +2,7 @@
 
 Features are hashed runs of one to three letters, with a space for whatever stands between words; tf is 1 + log(count), idf comes from
 all labelled documents, vectors have length one. Weights are fitted by follow-the-regularised-leader with elastic-net penalties on a
-sample of about `sample` labelled documents, spread evenly over the languages and picked by a hash of doc_id; a fifth of the sample is
+sample of at most `sample` labelled documents, the same number of each language, those whose ids and texts have the least hashes; a fifth is
 kept back to calibrate the temperature. Sample and weights have a fixed size; counts and predictions cover every document, whole.
 
 Null texts and texts without a letter are `und` with score 0, and so is everything if there is nothing to learn from. Rows without lang
@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import in_runs, sliced
+from modiste.llm.common import in_runs, sliced, stored, unused
 
 FEATURES = 1 << 15
 PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -106,7 +106,8 @@ def sample_vectors(rows: DataFrame, model: Model) -> tuple[list[tuple[np.ndarray
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h", "y", "at", "x"])
 
-    got = rows.select("h", "lang", "text").mapInArrow(vectors, "h long, y int, at array<int>, x array<float>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    one = rows.select("h", "lang", "text").mapInArrow(vectors, "h long, y int, at array<int>, x array<float>").groupBy("h", "y").agg(F.first("at").alias("at"), F.first("x").alias("x"))
+    got = one.toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # `sample` rows at most
     at, x = got["at"].combine_chunks(), got["x"].combine_chunks()
     return [(a.values.to_numpy(), b.values.to_numpy().astype(np.float64)) for a, b in zip(at, x)], got["y"].to_numpy()
 
@@ -151,9 +152,13 @@ def trained(labelled: DataFrame, sample: int = 4000, epochs: int = 3, alpha: flo
     model = Model(sorted(per_lang), np.log((1 + total) / (1 + df)) + 1, np.zeros((FEATURES, len(per_lang))))
     if not per_lang:
         return model
-    share = F.create_map(*[F.lit(v) for lang, n in per_lang.items() for v in (lang, float(sample / len(per_lang) / n))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.where(chance < share[F.col("lang")]).select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text")
+    each = max(1, sample // len(per_lang))
+    share = F.create_map(*[F.lit(v) for lang, n in per_lang.items() for v in (lang, 1.5 * each / n)])
+    hashed = known.select(F.xxhash64("doc_id", "text", F.lit(7)).alias("h"), "lang", "text")
+    small = hashed.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    chosen = small.select("h", "lang").distinct().withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= each).select("h", "lang")
+    picked = small.join(F.broadcast(stored(chosen, "language-sample")), ["h", "lang"], "left_semi")  # `sample` rows at most
     vectors, labels = sample_vectors(picked, model)
     back = np.arange(len(vectors)) % 5 == 4
     fit = np.flatnonzero(~back)
@@ -163,8 +168,8 @@ def trained(labelled: DataFrame, sample: int = 4000, epochs: int = 3, alpha: flo
     return model
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a struct `__lang` (lang, score)."""
+def predicted(docs: DataFrame, model: Model, out: str = "__lang") -> DataFrame:
+    """`docs` with a struct `out` (lang, score)."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # features x languages numbers
 
     @F.arrow_udf(PREDICTED)
@@ -173,7 +178,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
         got = [held.value.predict(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang", "score"])
 
-    return docs.withColumn("__lang", lang("text"))
+    return docs.withColumn(out, lang("text"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -190,4 +195,5 @@ def identified(docs: DataFrame, **how) -> DataFrame:
 def accepted(docs: DataFrame, min_score: float = 0.5, **how) -> DataFrame:
     """The rows of `docs` whose language is known with a score of at least `min_score`."""
     model = trained(docs.where(~held_out()).select("doc_id", "lang", "text"), **how)
-    return predicted(docs, model).where((F.col("__lang.lang") != "und") & (F.col("__lang.score") >= min_score)).drop("__lang")
+    found = unused(docs, "lang")
+    return predicted(docs, model, found).where((F.col(f"{found}.lang") != "und") & (F.col(f"{found}.score") >= min_score)).drop(found)

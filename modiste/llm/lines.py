@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import in_runs, sliced, stored, texts_of
+from modiste.llm.common import in_runs, sliced, stored, texts_of, unused
 from modiste.llm.hashfilter import Twice, seen_twice
 
 KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -87,8 +87,8 @@ def common_keys(found: DataFrame, min_docs: int) -> DataFrame:
     return stored(common.where(F.col("__n") >= min_docs).select("__key", "__first"), "lines")
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bits: int = 1 << 26, k: int = 2) -> DataFrame:
-    """`docs` with a struct `__lines` (text, n_lines, n_dropped): each text without the lines whose key is in at least `min_docs` documents.
+def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, bits: int = 1 << 26, k: int = 2, out: str = "__lines") -> DataFrame:
+    """`docs` with a struct `out` (text, n_lines, n_dropped): each text without the lines whose key is in at least `min_docs` documents.
     With `keep_first` the first line of such a key stays, in the document with the smallest doc_id."""
     twice = docs.sparkSession.sparkContext.broadcast(repeated_keys(docs, min_chars, bits, k))
     suspects = suspects_in(twice, min_chars)
@@ -97,22 +97,25 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
     found = stored(found.select("__id", "__h", F.explode("__keys").alias("__key")), "line-suspects")
     common = common_keys(found, min_docs)
     first = F.when(F.lit(keep_first) & F.col("__id").eqNullSafe(F.col("__first")), F.col("__key"))
-    drop = found.join(common, "__key").groupBy("__id", "__h").agg(F.collect_set("__key").alias("__drop"), F.collect_set(first).alias("__once"))
-    keyed = docs.withColumn("__h0", F.xxhash64("text"))
-    joined = keyed.join(drop, keyed["doc_id"].eqNullSafe(drop["__id"]) & (keyed["__h0"] == drop["__h"]), "left")
-    return joined.withColumn("__lines", without("text", "__drop", "__once")).select(*[docs[c] for c in docs.columns], "__lines")
+    gone, once, id_, h, own = unused(docs, "drop", "once", "id", "h", "own")
+    drop = found.join(common, "__key").groupBy(F.col("__id").alias(id_), F.col("__h").alias(h)).agg(F.collect_set("__key").alias(gone), F.collect_set(first).alias(once))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    joined = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(h)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], without("text", gone, once).alias(out))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The columns of `docs`, with the text that is left."""
-    out = dropped_lines(docs, **how)
-    return out.select(*[F.col("__lines.text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    left = unused(docs, "left")
+    out = dropped_lines(docs, out=left, **how)
+    return out.select(*[F.col(f"{left}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_boilerplate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bits: int = 1 << 26, k: int = 2) -> DataFrame:
     """The columns of `docs`, without the lines whose key is in at least `min_docs` documents. A row of whose keys such ones make up half or more,
     in bytes, has copies rather than boilerplate: each of its keys stays once, in the first such row (smallest doc_id, then text)."""
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
+    row, gone, once, left = unused(docs, "row", "drop", "once", "left")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
     twice = docs.sparkSession.sparkContext.broadcast(repeated_keys(rows, min_chars, bits, k))
     suspects = suspects_in(twice, min_chars)
 
@@ -121,14 +124,14 @@ def without_boilerplate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     def bytes_of_keys(texts: pa.Array) -> pa.Array:
         return pa.array([sum(map(len, keys_of(text, min_chars))) for text in texts_of(texts)], pa.int64())
 
-    found = rows.select("__row", F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), bytes_of_keys("text").alias("__size"), suspects("text").alias("__keys"))
+    found = rows.select(F.col(row).alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h"), bytes_of_keys("text").alias("__size"), suspects("text").alias("__keys"))
     found = stored(found.select("__row", "__id", "__h", "__size", F.explode("__keys").alias("__key")), "line-suspects")
     met = stored(found.join(common_keys(found, min_docs).select("__key"), "__key"), "common-lines")
     copies = met.groupBy("__row").agg(F.sum(F.octet_length("__key")).alias("__n"), F.first("__size").alias("__size")).where(2 * F.col("__n") >= F.col("__size"))
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("__row").alias("row"))
     held = met.join(stored(copies.select("__row"), "copied-rows"), "__row").groupBy("__key").agg(F.min(order).alias("__min"))
     held = stored(held.select("__key", F.col("__min.row").alias("__holder")), "held-lines")
-    once = F.when(F.col("__row") == F.col("__holder"), F.col("__key"))
-    drop = met.join(held, "__key", "left").groupBy("__row").agg(F.collect_set("__key").alias("__drop"), F.collect_set(once).alias("__once"))
-    joined = rows.join(drop, "__row", "left").withColumn("__lines", without("text", "__drop", "__once"))
-    return joined.select(*[F.col("__lines.text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    kept = F.when(F.col("__row") == F.col("__holder"), F.col("__key"))
+    drop = met.join(held, "__key", "left").groupBy(F.col("__row").alias(row)).agg(F.collect_set("__key").alias(gone), F.collect_set(kept).alias(once))
+    joined = rows.join(drop, row, "left").withColumn(left, without("text", gone, once))
+    return joined.select(*[F.col(f"{left}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -95,6 +95,34 @@ def near_groups(rows):
     return {i: (fps[i], find(i)) for i in ids}
 
 
+def shingle_set(text, width=5):
+    w = words(text)
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def shingle_groups(rows, width=5, tenths=8):
+    """The smallest doc_id each doc_id is connected to by Jaccard similarities of so many tenths or more; doc_ids must differ."""
+    sets = {d: shingle_set(t, width) for d, t in rows}
+    ids = sorted(sets)
+    held = defaultdict(list)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in ids:
+        both = Counter(j for x in sets[i] for j in held[x])
+        for j, n in both.items():
+            if 10 * n >= tenths * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for x in sets[i]:
+            held[x].append(i)
+    return {i: find(i) for i in ids}
+
+
 def bench_words(text) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower((text or "").encode()).decode())
 

@@ -105,3 +105,36 @@ def test_near_copies_of_five_word_shingles(spark):
     assert kept == sorted((d for d, _ in rows if d not in gone), key=str)
     stage = corpus_pipeline.STAGES[2][1](spark, df, "")
     assert stage.columns == df.columns and stage.count() == len(kept) and not corpus_pipeline.STAGES[2][1](spark, df.limit(0), "").collect()
+
+
+def test_unsettled_clusters_are_compared_block_by_block(spark, monkeypatch):
+    """A chain of texts whose first one isn't alike to most: clusters over several blocks, pairs of every two blocks."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    rng = random.Random(13)
+    text = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(120)]
+    rows, at = [], list(text)
+    for i in range(70):
+        rows.append((i, " ".join(at)))
+        for k in rng.sample(range(120), 2):
+            at[k] = f"new{i}x{k}"
+    base = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(150)]
+    for i in range(60):  # many texts of one origin, alike by two thirds: none is linked but by chance
+        other = list(base)
+        for k in rng.sample(range(150), 5):
+            other[k] = f"o{i}x{k}"
+        rows.append((1000 + i, " ".join(other)))
+    rng.shuffle(rows)
+    first = brute.shingle_groups(rows)
+    assert len({first[d] for d, _ in rows if d < 1000}) < 10 and len({first[d] for d, _ in rows if d >= 1000}) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in nearcopies.deduplicated(df).collect()) == sorted(d for d, _ in rows if first[d] == d)
+
+
+def test_common_shingles_of_all_pairs():
+    rng = random.Random(3)
+    import numpy as np
+
+    for n, universe, size in [(2, 5, 4), (30, 60, 20), (40, 3000, 50), (25, 40, 40)]:
+        sets = [np.unique(np.array([rng.randrange(universe) for _ in range(rng.randint(1, size))], np.uint64)) for _ in range(n)]
+        got = nearcopies.common_shingles(sets)
+        assert all(got[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist())) for i in range(n) for j in range(n) if i != j)
