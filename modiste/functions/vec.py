@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -60,26 +60,35 @@ def mean_by(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None
     return agg.withColumn(out, normalize(F.col(out))) if unit else agg
 
 
-def _project_list(items: list, w: np.ndarray, unit: bool = True) -> list:
-    fits = [x is not None and len(x) == w.shape[1] for x in items]
-    out = list(items)
-    if any(fits):
-        m = np.vstack([np.asarray(x, dtype=np.float64) for x, ok in zip(items, fits) if ok]) @ w.T
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        rows = iter(m / np.where(n == 0, 1.0, n) if unit else m)
-        out = [next(rows) if ok else x for x, ok in zip(out, fits)]
-    return out
+def projected(vectors: pa.ListArray, w: np.ndarray, unit: bool = True) -> pa.ListArray:
+    """W·x of every list of the right length, straight from the flat buffer; others pass through."""
+    ends = vectors.offsets.to_numpy()
+    flat = vectors.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.float64)
+    n = np.diff(ends)
+    fits = (n == w.shape[1]) & vectors.is_valid().to_numpy(zero_copy_only=False)
+    own = np.repeat(fits, n)
+    m = flat[own].reshape(-1, w.shape[1]) @ w.T
+    if unit:
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        m = m / np.where(norm == 0, 1.0, norm)
+    sizes = np.where(fits, w.shape[0], n)
+    out = np.empty(sizes.sum())
+    new = np.repeat(fits, sizes)
+    out[new], out[~new] = m.ravel(), flat[~own]
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    kind = vectors.type.value_type
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out).cast(kind), mask=vectors.is_null() if vectors.null_count else None)
 
 
 def project(vec: Column, rows: list[list[float]]):
     """unit(W·x) for a bounded W held by the driver, as an Arrow UDF; a vector of another size passes through."""
     w = np.asarray(rows, dtype=np.float64)
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def apply(s: pd.Series) -> pd.Series:
-        return pd.Series(_project_list(s.tolist(), w))
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def apply(column: pa.Array) -> pa.Array:
+        return projected(column, w)
 
-    return apply(vec)
+    return apply(vec.cast("array<double>"))
 
 
 def project_rows(df: DataFrame, rows: list[list[float]], vec: str = "vec", unit: bool = True) -> DataFrame:
@@ -88,6 +97,7 @@ def project_rows(df: DataFrame, rows: list[list[float]], vec: str = "vec", unit:
 
     def run(batches):
         for b in batches:
-            yield b.assign(**{vec: _project_list(b[vec].tolist(), w, unit)})
+            at = b.schema.get_field_index(vec)
+            yield pa.RecordBatch.from_arrays([projected(c, w, unit) if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)

@@ -88,12 +88,17 @@ def avoid_words(phrases: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 3))
 
 
+def holds_avoided(phrases: Column, fields: Sequence[str], split: bool = True) -> Column:
+    """Whether the text of the fields contains an avoid word."""
+    hay = F.lower(F.concat_ws(" ", *fields))
+    words = avoid_words(phrases) if split else F.filter(F.transform(phrases, F.lower), lambda w: F.length(w) > 0)
+    return F.exists(F.coalesce(words, F.array().cast("array<string>")), lambda w: hay.contains(w))
+
+
 def avoid_keywords(df: DataFrame, phrases: Column, fields: Sequence[str] = ("title", "description", "material", "color", "aesthetic_tags"),
                    split: bool = True) -> DataFrame:
     """Drop rows whose text contains an avoid word; the words come with the row, so no pair join is needed."""
-    hay = F.lower(F.concat_ws(" ", *[f for f in fields if f in df.columns]))
-    words = avoid_words(phrases) if split else F.filter(F.transform(phrases, F.lower), lambda w: F.length(w) > 0)
-    return df.where(~F.exists(F.coalesce(words, F.array().cast("array<string>")), lambda w: hay.contains(w)))
+    return df.where(~holds_avoided(phrases, [f for f in fields if f in df.columns], split))
 
 
 def mens(df: DataFrame, head: int | None = 120) -> DataFrame:
@@ -152,32 +157,58 @@ def pin_nonclothing(df: DataFrame, *cols: str, words=None) -> DataFrame:
     return df.where(~F.lower(F.concat_ws(" ", *cols)).rlike(text.any_word(words or vocab.NON_CLOTHING_WORDS)))
 
 
-def edit_condition(categories: Sequence[str], tests) -> Column:
+def edit_condition(categories: Sequence[str], tests, policy: dict | None = None) -> Column:
+    """Whether a row belongs to an edit: its category, the tests it must and mustn't match, and the edit's brand policy. Accepted brands needn't pass the
+    tests that must match; allow-listed brands are named exactly, excluded ids drop out."""
+    policy = policy or {}
     parts = {k: text.clean(C(name)) if k == "c" else F.lower(F.coalesce(C(name), F.lit("")))
              for k, name in (("t", "title"), ("c", "color"), ("m", "material"), ("d", "description"))}
     ok = C("category").isin(list(categories)) if categories else F.lit(True)
+    if policy.get("only"):
+        ok = ok & F.coalesce(C("brand").isin(list(policy["only"])), F.lit(False))
+    if policy.get("exclude"):
+        ok = ok & ~C("object_id").isin(list(policy["exclude"]))
+    required = F.lit(True)
     for must, field, pattern in tests:
-        if field == "c?":
-            hit = parts["c"].rlike(pattern)
-            ok = ok & ((parts["c"] == "") | (hit if must else ~hit))
-        elif field == "!c":
-            hit = parts["t"].rlike(pattern)
-            ok = ok & ((parts["c"] != "") | (hit if must else ~hit))
+        gate = None
+        if field in ("c?", "!c"):
+            gate = parts["c"] == "" if field == "c?" else parts["c"] != ""
+            hit = parts["c" if field == "c?" else "t"].rlike(pattern)
+        elif "|" in field:
+            hit = reduce(lambda a, b: a | b, [parts[f].rlike(pattern) for f in field.split("|")])
         else:
-            if "|" in field:
-                hit = reduce(lambda a, b: a | b, [parts[f].rlike(pattern) for f in field.split("|")])
-            else:
-                hit = F.concat_ws(" ", *[parts[f] for f in field]).rlike(pattern)
-            ok = ok & (hit if must else ~hit)
-    return ok
+            hit = F.concat_ws(" ", *[parts[f] for f in field]).rlike(pattern)
+        test = hit if must else ~hit
+        test = test if gate is None else gate | test
+        required, ok = (required & test, ok) if must else (required, ok & test)
+    if policy.get("accept"):
+        required = required | F.lower(F.coalesce("brand", F.lit(""))).isin([x.lower() for x in policy["accept"]])
+    return ok & required
 
 
-def edit_rules(df: DataFrame, rules=None, out: str = "edit") -> DataFrame:
+def edit_rules(df: DataFrame, rules=None, out: str = "edit", policies: dict | None = None) -> DataFrame:
     """One row per (product, edit it belongs to): the rule list becomes one array expression, so each row is read once."""
-    slugs = [F.when(edit_condition(cats, tests), slug) for slug, cats, tests in rules or vocab.EDIT_RULES]
+    policies = vocab.EDIT_POLICIES if policies is None else policies
+    slugs = [F.when(edit_condition(cats, tests, policies.get(slug)), slug) for slug, cats, tests in rules or vocab.EDIT_RULES]
     return df.withColumn(out, F.explode(F.array_compact(F.array(*slugs))))
 
 
+def edit_places(df: DataFrame, policies: dict | None = None, edit: str = "edit", cap: str = "brand_cap", first: str = "comes_first") -> DataFrame:
+    """Add the brand's cap in the row's edit and whether the row comes first in its category there."""
+    policies = vocab.EDIT_POLICIES if policies is None else policies
+    brand, title = F.lower(F.coalesce("brand", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
+    caps, ahead = F.lit(vocab.EDIT_BRAND_CAP), F.lit(False)
+    for slug, policy in policies.items():
+        here = C(edit) == slug
+        for name, n in policy.get("caps", {}).items():
+            caps = F.when(here & (brand == name.lower()), n).otherwise(caps)
+        if policy.get("first"):
+            ahead = ahead | (here & brand.isin([x.lower() for x in policy["first"]]))
+        if policy.get("first_title"):
+            ahead = ahead | (here & title.rlike(policy["first_title"]))
+    return df.withColumn(cap, caps).withColumn(first, ahead)
+
+
 def vision_reason(allowed: Sequence[str], excludes: Sequence[str], allowed_brands: Sequence[str] = ()) -> Column:
     """First reason to drop a row, null for survivors."""
     body = F.lower(F.concat_ws(" ", "title", "description", "color"))

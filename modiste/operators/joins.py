@@ -62,10 +62,10 @@ def token_theta(left: DataFrame, right: DataFrame, left_text: str, right_text: s
     then the other tokens are verified on the joined row."""
     r = right.withColumn("__need", F.array_distinct(tokens(C(right_text)))).where(F.size("__need") > 0)
     freq = left.select(F.explode(F.array_distinct(tokens(C(left_text)))).alias("__tok")).groupBy("__tok").agg(F.count(F.lit(1)).alias("__df"))
-    r = r.withColumn("__rid", F.xxhash64(*right.columns))
-    anchors = (r.select("__rid", F.explode("__need").alias("__tok")).join(freq, "__tok", "left")
-               .groupBy("__rid").agg(F.min_by("__tok", F.struct(F.coalesce("__df", F.lit(0)), C("__tok"))).alias("__anchor")))
-    anchored = r.join(anchors, "__rid").drop("__rid")
+    # rows with one text share their rarest token, so the text is all that is looked up
+    anchors = (r.select(C(right_text).alias("__text"), F.explode("__need").alias("__tok")).distinct().join(freq, "__tok", "left")
+               .groupBy("__text").agg(F.min_by("__tok", F.struct(F.coalesce("__df", F.lit(0)), C("__tok"))).alias("__anchor")))
+    anchored = r.join(anchors, C(right_text) == C("__text")).drop("__text")
     l = left.withColumn("__have", F.array_distinct(tokens(C(left_text)))).withColumn("__anchor", F.explode("__have"))
     return (l.join(anchored, "__anchor").where(F.size(F.array_except("__need", "__have")) == 0)
             .drop("__anchor", "__need", "__have"))

@@ -20,7 +20,7 @@ from modiste.functions import scores, vec
 from modiste.functions.text import clean
 from modiste.operators import topk
 from modiste.operators.windows import adaptive_norm_column, brand_key
-from modiste.scale import broadcast_if_small, first_k, numbered, with_group_stats
+from modiste.scale import broadcast_measured, first_k, numbered, with_group_stats
 
 C = F.col
 RRF_K = 60
@@ -98,7 +98,7 @@ def rerank(pool: DataFrame, queries: DataFrame, products: DataFrame, visual: Dat
     attrs = products.select("object_id", "brand", "color", "retailer")
     # the three catalogue joins share one key, so the pool is shuffled once for them; the query side follows, broadcast while small
     df = (pool.join(attrs, "object_id").join(visual.select("object_id", C("vec").alias("__v")), "object_id", "left")
-          .join(vibe.select("object_id", C("vec").alias("__b")), "object_id", "left").join(broadcast_if_small(q, queries), "query_id"))
+          .join(vibe.select("object_id", C("vec").alias("__b")), "object_id", "left").join(broadcast_measured(q), "query_id"))
     df = df.withColumn("vis", vec.cosine(C("__q"), C("__v"))).withColumn("vib", vec.cosine(C("__q"), C("__b"))).withColumn("cent", vec.cosine(C("__c"), C("__v")))
     df = df.where(C("vis").isNull() | (C("vis") >= floor)).withColumn("phrase_bonus", phrase_share(C("__v"), C("__phrases"), phrase_threshold, 0.18))
     df = df.withColumnRenamed("__v", "vec").drop("__q", "__c", "__b", "__phrases")
@@ -324,15 +324,16 @@ def spread_brand(df: DataFrame, keys: Sequence[str], page: str, cooldown: int =
     return paged.groupBy(*keys, "page").applyInPandas(run, schema).withColumnRenamed("bk", "brand_key")
 
 
-def pick_diverse(df: DataFrame, keys: Sequence[str], size: int = 36, brand_cap: int = 8, overrides: dict[str, int] | None = None, priority: Column | None = None) -> DataFrame:
-    """Category round-robin with a brand cap and brand|title de-duplication, priority rows first.
+def pick_diverse(df: DataFrame, keys: Sequence[str], size: int = 36, brand_cap: int | Column = 8, overrides: dict[str, int] | None = None, priority: Column | None = None) -> DataFrame:
+    """Category round-robin with a brand cap and brand|title de-duplication, priority rows first. The cap may be a column, such as that of an edit's
+    brand policy, which is the same for all rows of a brand in a group.
 
     Before the sequential walk each category list is cut to what the walk can reach: one row per brand|title, at most the cap
     per brand, and 3·size rows — a walk of `size` picks can skip at most `size` saturated and `size` repeated rows, so nothing
     reachable is lost.
     """
     keys, overrides = list(keys), {k.lower(): v for k, v in (overrides or {}).items()}
-    cap = F.lit(brand_cap)
+    cap = brand_cap if isinstance(brand_cap, Column) else F.lit(brand_cap)
     for b, v in overrides.items():
         cap = F.when(F.lower("brand") == b, v).otherwise(cap)
     rows = df.select(*keys, "object_id", F.coalesce("category", F.lit("other")).alias("category"), F.coalesce("brand", F.lit("")).alias("brand"),
@@ -341,8 +342,8 @@ def pick_diverse(df: DataFrame, keys: Sequence[str], size: int = 36, brand_cap:
     cats = rows.groupBy(*keys, "category").agg(F.min(F.struct("pos", "object_id")).alias("f"))
     cats = cats.select(*keys, "category", C("f.pos").alias("cat_pos"), C("f.object_id").alias("cat_id"))
     rows = first_k(rows, [*keys, "category", "tk"], ["pr", "object_id"], 1).drop("rn")
-    top_cap = max([brand_cap, *overrides.values()])
-    rows = first_k(rows, [*keys, "category", "brand"], ["pr", "object_id"], top_cap).where("rn <= cap").drop("rn")
+    # a brand reaches at most `size` picks, whatever its cap
+    rows = first_k(rows, [*keys, "category", "brand"], ["pr", "object_id"], size).where("rn <= cap").drop("rn")
     rows = first_k(rows, [*keys, "category"], ["pr", "object_id"], 3 * size).drop("rn").join(cats, [*keys, "category"])
     schema = rows.select(*keys, "object_id", "category", "brand").withColumn("slot", F.lit(1).cast("long")).schema
 

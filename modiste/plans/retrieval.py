@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from modiste import vocab
 from modiste.functions import steer
 from modiste.operators import ranking, sets, topk
-from modiste.operators.filters import allowed_bands, avoid_keywords
+from modiste.operators.filters import allowed_bands, holds_avoided
 from modiste.operators.joins import hydrate_inner, token_theta
 from modiste.session import cut
-from modiste.scale import broadcast_if_small, first_k, numbered, with_group_stats
+from modiste.scale import broadcast_measured, first_k, numbered, with_group_stats
 
 C = F.col
 ATTRIBUTES = ["title", "brand", "description", "color", "material", "aesthetic_tags", "retailer", "category"]
@@ -55,9 +55,12 @@ def query_words(text: Column) -> tuple[Column, Column]:
 
 
 def keyword_search(queries: DataFrame, products: DataFrame, k: int | None, keys: Sequence[str] = ("query_id",), optional: bool = False,
-                   attributes: Sequence[str] = ATTRIBUTES, order_group: Sequence[str] = ()) -> DataFrame:
+                   attributes: Sequence[str] = ATTRIBUTES, order_group: Sequence[str] = (), unless: tuple[str, Sequence[str]] | None = None) -> DataFrame:
     """Products matching the words of each query, best first.
 
+    A log repeats its texts: queries that ask for the same are searched once, and the ranked result goes to each of them. `unless` names a column of
+    the queries with terms and the product fields that mustn't hold one of these; such rows are left out before they are ranked.
+
     Every word is required unless `optional`; `-word` excludes. Queries may carry `price_range`, `category` and `boosts`
     (tags that lift a product). Order: words matched, best attribute, boosts, price, id.
 
@@ -68,9 +71,13 @@ def keyword_search(queries: DataFrame, products: DataFrame, k: int | None, keys:
     q = queries.withColumn("__want", want).withColumn("__avoid", avoid).where(F.size("__want") > 0)
     q = q.withColumn("__boosts", C("boosts") if "boosts" in queries.columns else F.array().cast("array<string>"))
     carried = [c for c in ("price_range", "category") if c in queries.columns]
-    q = q.select(*keys, "__want", "__avoid", "__boosts", *[C(c).alias(f"__q_{c}") for c in carried])
+    q = q.select(*keys, "__want", "__avoid", "__boosts", *[C(c).alias(f"__q_{c}") for c in carried], *([C(unless[0]).alias("__terms_out")] if unless else []))
+    asked = [c for c in q.columns if c not in keys]
+    q = cut(q.withColumn("__search", F.md5(F.to_json(F.struct(*asked)))))
+    askers, keys, q = q.select(*keys, "__search"), ["__search"], q.select("__search", *asked).dropDuplicates(["__search"])
     tags = C("aesthetic_tags") if "aesthetic_tags" in products.columns else F.array().cast("array<string>")
-    p = products.select("object_id", "price", "price_range", C("category").alias("__category"), *order_group, tags.alias("__tags"), product_terms(products, attributes).alias("__terms"))
+    held = [C(f).alias(f"__f_{f}") for f in unless[1] if f in products.columns] if unless else []
+    p = products.select("object_id", "price", "price_range", C("category").alias("__category"), *order_group, tags.alias("__tags"), product_terms(products, attributes).alias("__terms"), *held)
     p = p.withColumn("__have", F.array_distinct(F.transform("__terms", lambda e: e["t"])))
     if optional:
         q = q.withColumn("__word", F.explode("__want"))
@@ -80,9 +87,8 @@ def keyword_search(queries: DataFrame, products: DataFrame, k: int | None, keys:
         rare = (q.select(*keys, F.explode("__want").alias("__word")).join(freq, "__word", "left")
                 .groupBy(*keys).agg(F.min_by("__word", F.struct(F.coalesce("__df", F.lit(0)), C("__word"))).alias("__word")))
         q = q.join(rare, list(keys))
-    # the query side has a row per query (per word when optional); while the query log is small it is broadcast and the exploded
-    # catalogue is never shuffled
-    hits = p.withColumn("__word", F.explode("__have")).join(broadcast_if_small(q, queries), "__word")
+    # the query side has a row per search (per word when optional); while it is small the exploded catalogue is never shuffled
+    hits = p.withColumn("__word", F.explode("__have")).join(broadcast_measured(q), "__word")
 
     def has(w):
         return F.array_contains("__have", w)
@@ -95,12 +101,15 @@ def keyword_search(queries: DataFrame, products: DataFrame, k: int | None, keys:
         keep = keep & (C("__q_price_range").isNull() | F.array_contains(allowed_bands(C("__q_price_range")), C("price_range")))
     if "category" in carried:
         keep = keep & (C("__q_category").isNull() | (C("__q_category") == C("__category")))
+    if unless:
+        keep = keep & ~holds_avoided(C("__terms_out"), [f"__f_{f}" for f in unless[1] if f in products.columns], split=False)
     best = F.array_min(F.transform(F.filter("__terms", lambda e: F.array_contains("__want", e["t"])), lambda e: e["a"]))
     found = hits.where(keep).select(*keys, *order_group, "object_id", n_matched.cast("long").alias("matched"), best.cast("long").alias("best_attribute"),
                                     F.size(F.array_intersect("__boosts", "__tags")).cast("long").alias("boosted"), "price")
     order = [C("matched").desc(), C("best_attribute").asc(), C("boosted").desc(), C("price").desc_nulls_last(), C("object_id").asc()]
     groups = [*keys, *order_group]
-    return numbered(found, groups, order, "rank") if k is None else first_k(found, groups, order, k, "rank")
+    ranked = numbered(found, groups, order, "rank") if k is None else first_k(found, groups, order, k, "rank")
+    return askers.join(ranked, "__search").drop("__search")
 
 
 def multi_query(subqueries: DataFrame, products: DataFrame, per_category: int, keys: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -160,8 +169,8 @@ def hybrid(queries: DataFrame, products: DataFrame, visual: DataFrame, vibe: Dat
 
 def two_stage(queries: DataFrame, phrases: DataFrame, products: DataFrame, visual: DataFrame, vibe: DataFrame, centroids: DataFrame | None, features: DataFrame | None,
               per_category: int = 50, gate_floor: float = 0.18, rerank_floor: float = 0.30, phrase_threshold: float = 0.28, align: tuple[float, float] = (0.15, 0.30),
-              min_pool: int = 30) -> DataFrame:
-    """Gate (keyword ∪ phrase neighbours) → floor and rerank → diversity; small pools fall back to `hybrid`.
+              min_pool: int = 30, taste: DataFrame | None = None) -> DataFrame:
+    """Gate (keyword ∪ phrase neighbours) → floor and rerank → diversity; small pools fall back to `hybrid`, with the taste list where it is given.
 
     One DAG for all queries. Literal queries skip the semantic gate before any vector is touched.
     """
@@ -174,13 +183,13 @@ def two_stage(queries: DataFrame, phrases: DataFrame, products: DataFrame, visua
     keyword = cut(keyword)
     pool = cut(sets.pool_merge(keyword, semantic, ["query_id", "category"]))  # narrow id rows, used several times below
     sizes = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("__pool"))
-    big, small = sizes.where(C("__pool") >= min_pool), sizes.where(C("__pool") < min_pool)
+    big = sizes.where(C("__pool") >= min_pool)
     fractions = ranking_fraction(keyword)
     pool = pool.join(big.select("query_id"), "query_id", "left_semi").join(fractions, ["query_id", "category", "object_id"], "left")
     scored = ranking.rerank(pool, kinds, products, visual, vibe, centroids, features, phrases, rerank_floor, phrase_threshold, align)
     strict = ranking.mmr(scored, per_category)
-    rest = queries.join(big.select("query_id"), "query_id", "left_anti")
-    loose = hybrid(rest, products, visual, vibe, per_category, gate_floor, {"visual": 1.0, "vibe": 1.0, "keyword": 0.25})
+    rest = cut(queries.join(big.select("query_id"), "query_id", "left_anti"))
+    loose = hybrid(rest, products, visual, vibe, per_category, gate_floor, {"visual": 1.0, "vibe": 1.0, "taste": 1.0, "keyword": 0.25}, taste)
     return strict.select("query_id", "category", C("mmr_pos").alias("rank"), "object_id", F.lit("two_stage").alias("stage")).unionByName(
         loose.select("query_id", "category", "rank", "object_id", F.lit("hybrid").alias("stage")))
 
@@ -194,8 +203,5 @@ def ranking_fraction(keyword: DataFrame) -> DataFrame:
 
 
 def optional_search(queries: DataFrame, products: DataFrame, k: int, fields: Sequence[str] = ("title", "category", "color")) -> DataFrame:
-    """Any word matches, more matches rank higher; rows hit by one of the query's avoid terms are removed before the cut."""
-    hits = keyword_search(queries.select("query_id", "text"), products, None, optional=True)
-    j = hits.join(products.select("object_id", *fields), "object_id").join(queries.select("query_id", "avoids"), "query_id")
-    kept = avoid_keywords(j, C("avoids"), fields, split=False)
-    return first_k(kept.drop(*fields, "avoids").withColumnRenamed("rank", "__r"), ["query_id"], ["__r"], k, "rank").drop("__r")
+    """Any word matches, more matches rank higher; rows that hold one of the query's avoid terms are left out before they are ranked."""
+    return keyword_search(queries.select("query_id", "text", "avoids"), products, k, optional=True, unless=("avoids", fields))

@@ -34,9 +34,11 @@ def spread_small(df: DataFrame, at_least: int = 100 << 10, at_most: int = 1 << 3
     return df
 
 
-def broadcast_if_small(df: DataFrame, source: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """Broadcast `df` when the table it has one row per row of, `source`, reads at most `limit` bytes; else leave the choice to Spark."""
-    return F.broadcast(df) if leaf_bytes(source) <= limit else df
+def broadcast_measured(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """`df`, stored, and sent to every task if what it holds was measured to be at most `limit` bytes; else joined as Spark sees fit."""
+    df = cut(df)
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
 
 
 def as_columns(cols: Sequence[str | Column]) -> list[Column]:

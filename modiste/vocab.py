@@ -419,3 +419,17 @@ EDIT_RULES = [
         (False, "t", r"\b(pajama|pyjama|nightgown|night\s*dress|night\s*shirt|robe|bathrobe)\b"), (False, "t", _KIDS_PET),
     ]),
 ]
+
+# ── brand policies of the curated edits: `accept` passes the edit's required tests, `only` is an allow-list, `exclude` drops ids; `caps` are brands with a
+#    cap of their own in the final pick (others: 8), `first` brands and `first_title` titles come first in their category ──
+EDIT_BRAND_CAP = 8
+EDIT_POLICIES = {
+    "swimwear": {
+        "accept": ["dippin daisys"], "exclude": ["shpfy-arthurapparelcom-9148247900375"], "caps": {"Dippin Daisys": 10}, "first": ["dippin daisys"],
+        "first_title": r"\b(bikini|swimsuit|swim\s*(?:top|bottom|brief|short)|tankini|one[\s-]?piece\s*swim)\b",
+    },
+    "streetwear": {
+        "only": ["4028", "Coramisa", "Othernormal", "Berlinc", "Bubon"], "caps": {"4028": 10, "Coramisa": 8, "Othernormal": 8, "Berlinc": 6, "Bubon": 6},
+    },
+    "cashmere": {"caps": {"Johnstons Of Elgin": 6, "Ghiaia Cashmere": 6}},
+}

@@ -148,11 +148,20 @@ SHOP_RULES = [
     ("small-things", ["bag"], [(True, "td", r"\bsmall\b"), (False, "tc", r"\bblue\b")]),
     *vocab.EDIT_RULES,
 ]
-FIELD_SQL = {"t": "t", "c": "c", "m": "m", "d": "d"}
+#: the edits' brand policies, and some over the brands of the catalogue
+SHOP_POLICIES = vocab.EDIT_POLICIES | {
+    "hot-list": {"accept": ["Brand#1"], "exclude": ["p-7", "p-11", "p-300"], "caps": {"Brand#1": 10, "Brand#2": 2}, "first": ["brand#3"]},
+    "plain-metal": {"only": ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#11"], "caps": {"Brand#11": 3}, "first_title": r"\bhot\b"},
+}
 
 
-def edit_sql(categories, tests) -> str:
+def edit_sql(categories, tests, policy) -> str:
     parts = [f"category IN ({in_list(categories)})"] if categories else ["true"]
+    required = ["true"]
+    if "only" in policy:
+        parts.append(f"brand IN ({in_list(policy['only'])})")
+    if "exclude" in policy:
+        parts.append(f"object_id NOT IN ({in_list(policy['exclude'])})")
     for must, field, pattern in tests:
         if field == "c?":
             hit, gate = f"regexp_matches(c, {quoted(pattern)})", "c = ''"
@@ -163,14 +172,31 @@ def edit_sql(categories, tests) -> str:
         else:
             hit, gate = f"regexp_matches(concat_ws(' ', {', '.join(field)}), {quoted(pattern)})", None
         test = hit if must else f"NOT {hit}"
-        parts.append(f"({gate} OR {test})" if gate else test)
-    return " AND ".join(parts)
+        (required if must else parts).append(f"({gate} OR {test})" if gate else test)
+    accept = f" OR lower(brand) IN ({in_list([x.lower() for x in policy['accept']])})" if "accept" in policy else ""
+    return " AND ".join(parts) + f" AND (({' AND '.join(required)}){accept})"
 
 
-@query("flt_edit_rules", "WITH p AS (SELECT object_id, category, lower(title) AS t, trim(lower(color)) AS c, lower(material) AS m, lower(description) AS d FROM products) "
-       + " UNION ALL ".join(f"SELECT object_id, '{slug}' AS edit FROM p WHERE {edit_sql(cats, tests)}" for slug, cats, tests in SHOP_RULES))
+def case_sql(column: str, other: str) -> str:
+    whens = [f"WHEN edit = '{slug}' AND lower(brand) = {quoted(b.lower())} THEN {n}" for slug, p in SHOP_POLICIES.items() for b, n in p.get("caps", {}).items()]
+    if column == "first":
+        whens = [f"WHEN edit = '{slug}' AND lower(brand) IN ({in_list([x.lower() for x in p['first']])}) THEN true" for slug, p in SHOP_POLICIES.items() if "first" in p]
+        whens += [f"WHEN edit = '{slug}' AND regexp_matches(t, {quoted(p['first_title'])}) THEN true" for slug, p in SHOP_POLICIES.items() if "first_title" in p]
+    return f"CASE {' '.join(whens)} ELSE {other} END"
+
+
+EDITS_SQL = ("pe AS (SELECT object_id, pos, title, brand, category, lower(title) AS t, trim(lower(color)) AS c, lower(material) AS m, lower(description) AS d FROM products), "
+             + "ed AS (" + " UNION ALL ".join(f"SELECT *, '{slug}' AS edit FROM pe WHERE {edit_sql(cats, tests, SHOP_POLICIES.get(slug, {}))}" for slug, cats, tests in SHOP_RULES)
+             + f"), edits AS (SELECT *, {case_sql('caps', '8')} AS brand_cap, {case_sql('first', 'false')} AS comes_first FROM ed)")
+
+
+def shop_edits(e):
+    return filters.edit_places(filters.edit_rules(e.products, SHOP_RULES, policies=SHOP_POLICIES), SHOP_POLICIES)
+
+
+@query("flt_edit_rules", f"WITH {EDITS_SQL} SELECT object_id, edit, brand_cap, comes_first FROM edits")
 def _(e):
-    return filters.edit_rules(e.products, SHOP_RULES).select("object_id", "edit")
+    return shop_edits(e).select("object_id", "edit", "brand_cap", "comes_first")
 
 
 VISION = (["top", "bottom", "dress", "jacket"], [r"\b(anvil|rod)\b", r"\bsize\s+1\d\b"])

@@ -90,9 +90,10 @@ def _(e):
     return joins.rule_theta(e.products, RULES).select("object_id", "rule", "action", "target")
 
 
-@query("join_cross_knn", "SELECT q.query_id, v.object_id, round(list_cosine_similarity(q.vec, v.vec), 6) + 0.0 AS score FROM queries q, vectors v WHERE round(list_cosine_similarity(q.vec, v.vec), 6) >= 0.15")
+@query("join_cross_knn", """SELECT query_id, object_id, rank, score FROM (SELECT q.query_id, v.object_id, round(list_cosine_similarity(q.vec, v.vec), 6) + 0.0 AS score,
+      row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.vec, v.vec), 6) + 0.0 DESC, v.object_id) AS rank FROM queries q, vectors v) WHERE rank <= 25 AND score >= 0.15""")
 def _(e):
-    return topk.scored(e.queries, e.vectors, None, 0.15)
+    return topk.nearest(e.queries, e.vectors, 25, 0.15).select("query_id", "object_id", "rank", F.round("score", 6).alias("score"))
 
 
 CELLS = """cells AS (SELECT object_id, category, 'edge' AS axis, edge AS value FROM axes JOIN products USING (object_id) UNION ALL SELECT object_id, category, 'drape', drape FROM axes JOIN products USING (object_id)),

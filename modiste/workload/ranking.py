@@ -17,6 +17,7 @@ from modiste.plans.retrieval import keyword_search, with_categories
 from modiste.scale import first_k, numbered
 from modiste.workload.aggregates import ENGAGED, FEATURES, WSIG, clicks, features, unit_wmean
 from modiste.workload.fixtures import query, r6c
+from modiste.workload.filters import EDITS_SQL, shop_edits
 from modiste.workload.sets import POOL_SQL, TERMS, WORDS, gate, keyword_sql
 from modiste.workload.topk import CATVEC, CLUSTERED, near
 from modiste.workload.windows import HITS, LISTS, lists
@@ -73,6 +74,10 @@ def _(e):
 TASTE = "tastes AS (SELECT object_id, list_reverse(vec[1:32]) || vec[33:64] AS vec FROM vectors WHERE vec_id % 3 = 0)"
 
 
+def tastes(e):
+    return e.vectors.where("vec_id % 3 = 0").select("object_id", F.concat(F.reverse(F.slice("vec", 1, 32)), F.slice("vec", 33, 32)).alias("vec"))
+
+
 @query("rank_hybrid", f"""WITH {TASTE}, {near('a', 'queries', 'vectors', 200, floor=0.05)}, {near('b', 'queries', 'vibes', 200, floor=0.05)}, {near('t', 'queries', 'tastes', 200, floor=0.05)}, {keyword_sql('kw', 'queries', group='category', k=40)},
     u AS (SELECT query_id, object_id, 0 AS no, rank FROM a UNION ALL SELECT query_id, object_id, 1, rank FROM b UNION ALL SELECT query_id, object_id, 2, rank FROM t),
     fi AS (SELECT query_id, object_id, min(no * 1000000 + rank) AS f FROM u GROUP BY 1, 2), g AS (SELECT query_id, category, object_id, no, row_number() OVER (PARTITION BY query_id, category, no ORDER BY f, object_id) AS rank FROM u JOIN fi USING (query_id, object_id) JOIN products USING (object_id)),
@@ -80,15 +85,14 @@ TASTE = "tastes AS (SELECT object_id, list_reverse(vec[1:32]) || vec[33:64] AS v
     f AS (SELECT query_id, category, object_id, round(sum(w / (rank + 59)), 9) AS score FROM l GROUP BY 1, 2, 3), tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, object_id) AS rank FROM f) WHERE rank <= 20)
     SELECT query_id, tp.category, rank, object_id, round(score, 6) AS score, title, brand, price FROM tp JOIN products p USING (object_id) WHERE starts_with(image_url, 'http') AND NOT contains(image_url, 'placeholder')""")
 def _(e):
-    taste = e.vectors.where("vec_id % 3 = 0").select("object_id", F.concat(F.reverse(F.slice("vec", 1, 32)), F.slice("vec", 33, 32)).alias("vec"))
-    out = retrieval.hybrid(e.queries, e.tagged, e.vectors, e.vibes, 20, 0.05, taste=taste)
+    out = retrieval.hybrid(e.queries, e.tagged, e.vectors, e.vibes, 20, 0.05, taste=tastes(e))
     return out.withColumn("score", F.round("score", 6))
 
 
 @query("rank_two_stage")
 def _(e):
     center = profiles.session_centroid(e.signals, e.vectors)
-    out = retrieval.two_stage(e.queries, e.phrases, e.tagged, e.vectors, e.vibes, center, features(e), per_category=20, gate_floor=0.05, rerank_floor=0.0, phrase_threshold=0.15, align=(0.0, 0.10))
+    out = retrieval.two_stage(e.queries, e.phrases, e.tagged, e.vectors, e.vibes, center, features(e), per_category=20, gate_floor=0.05, rerank_floor=0.0, phrase_threshold=0.15, align=(0.0, 0.10), taste=tastes(e))
     return out
 
 
@@ -268,10 +272,17 @@ def _(e):
     return card_scores(e).select("user_token", "card_id", *[F.round(c, 6).alias(c) for c in ("score", "p_like", "p_comment", "p_click")])
 
 
-@query("rank_wildcards")
+@query("rank_wildcards", f"""WITH RECURSIVE {CARDS}, cq AS (SELECT user_token, card_id, round(pl * 0.55 + pm * 0.15 + pk * 0.30 + CASE WHEN fresh THEN 0.06 ELSE 0 END, 9) AS score, round(pm, 9) AS p_comment FROM cs),
+    ex AS (SELECT user_token, round(CASE WHEN n < 3 THEN 0.75 ELSE least(0.75, greatest(0.15, 0.75 - (0.60 * m + 0.25 * l / n - 0.35 * least(1.0, d / n)))) END, 9) AS explore FROM ({ENGAGED.replace('user_token, session_id', 'user_token').replace('GROUP BY 1, 2', 'GROUP BY 1')})),
+    st AS (SELECT user_token, CAST(least(9, greatest(3, floor(9 - explore * 6 + 0.5))) AS BIGINT) AS stride FROM ex),
+    q0 AS (SELECT user_token, stride, list(struct_pack(c := card_id, n := p_comment) ORDER BY score DESC, card_id) AS q FROM cq JOIN st USING (user_token) GROUP BY 1, 2),
+    w AS (SELECT user_token, stride, q, stride AS slot FROM q0 UNION ALL
+      SELECT user_token, stride, CASE WHEN b = 1 THEN q ELSE list_concat(q[1 : slot - 1], list_concat([q[slot + b]], list_concat(q[slot : slot + b - 1], q[slot + b + 1 :]))) END, slot + stride
+      FROM (SELECT *, list_position(list_transform(q[slot + 1 :], lambda x: x.n), list_max(list_transform(q[slot + 1 :], lambda x: x.n))) AS b FROM w WHERE slot < len(q))),
+    l AS (SELECT user_token, max_by(q, slot) AS q FROM w GROUP BY 1) SELECT user_token, x.c AS card_id, new_pos FROM (SELECT user_token, unnest(q) AS x, unnest(generate_series(1, len(q))) AS new_pos FROM l)""")
 def _(e):
-    ranked = numbered(card_scores(e), ["user_token"], [C("score").desc(), "card_id"], "pos")
-    eng = aggregates.session_engagement(e.signals, ["user_token"]).select("user_token", "explore")
+    ranked = numbered(card_scores(e), ["user_token"], [C("score").desc(), "card_id"], "pos").withColumn("p_comment", F.round("p_comment", 9))
+    eng = aggregates.session_engagement(e.signals, ["user_token"]).select("user_token", F.round("explore", 9).alias("explore"))
     return ranking.wildcards(ranked.join(eng, "user_token"), ["user_token"])
 
 
@@ -280,15 +291,27 @@ def _(e):
     return ranking.upcoming_only(lists(e), ["lane"], F.lit(12), "lpos", "size").select("lane", "object_id", "new_pos")
 
 
-@query("rank_spread_brand")
+@query("rank_spread_brand", f"""WITH RECURSIVE {LISTS}, p AS (SELECT lane, CAST(floor((lpos - 1) / 384) AS BIGINT) AS page, object_id, lpos, coalesce(nullif(lower(trim(coalesce(brand, retailer, ''))), ''), '__unknown__') AS brand_key FROM lists),
+    n AS (SELECT lane, page, brand_key, count(*) AS n, min(lpos) AS f FROM p GROUP BY 1, 2, 3), s0 AS (SELECT lane, page, list(struct_pack(b := brand_key, n := n) ORDER BY f) AS left_, min(f) AS start FROM n GROUP BY 1, 2),
+    w AS (SELECT lane, page, left_, start, CAST([] AS VARCHAR[]) AS ring, CAST(NULL AS VARCHAR) AS took, CAST(0 AS BIGINT) AS step FROM s0 UNION ALL
+      SELECT lane, page, list_filter(list_transform(left_, lambda x: struct_pack(b := x.b, n := CASE WHEN x.b = go THEN x.n - 1 ELSE x.n END)), lambda x: x.n > 0), start, list_concat(list_filter(ring, lambda x: x <> go), [go])[-4:], go, step + 1
+      FROM (SELECT *, coalesce(list_filter(left_, lambda x: NOT list_contains(ring, x.b) AND x.n = list_max(list_transform(list_filter(left_, lambda y: NOT list_contains(ring, y.b)), lambda y: y.n)))[1].b,
+        list_filter(ring, lambda r: list_contains(list_transform(left_, lambda y: y.b), r))[1]) AS go FROM w WHERE len(left_) > 0)),
+    o AS (SELECT lane, page, took AS brand_key, start + step - 1 AS new_pos, row_number() OVER (PARTITION BY lane, page, took ORDER BY step) AS nr FROM w WHERE step > 0)
+    SELECT lane, page, object_id, brand_key, new_pos FROM o JOIN (SELECT *, row_number() OVER (PARTITION BY lane, page, brand_key ORDER BY lpos) AS nr FROM p) USING (lane, page, brand_key, nr)""")
 def _(e):
     return ranking.spread_brand(lists(e).withColumn("page", F.floor((C("lpos") - 1) / 384)), ["lane"], "page", pos="lpos")
 
 
-@query("rank_pick_diverse")
+@query("rank_pick_diverse", f"""WITH RECURSIVE {EDITS_SQL}, r AS (SELECT edit, object_id, coalesce(category, 'other') AS category, coalesce(brand, '') AS brand, concat(lower(brand), '|', trim(lower(title))) AS tk, brand_cap AS cap, CASE WHEN comes_first THEN 0 ELSE 1 END AS pr, pos FROM edits),
+    ct AS (SELECT edit, list(category ORDER BY f, i) AS cats FROM (SELECT edit, category, min(pos) AS f, arg_min(object_id, struct_pack(a := pos, b := object_id)) AS i FROM r GROUP BY 1, 2) GROUP BY 1),
+    pool AS (SELECT edit, list(struct_pack(id := object_id, c := category, b := brand, t := tk, m := cap) ORDER BY pr, object_id) AS items FROM r GROUP BY 1),
+    w AS (SELECT edit, cats, items, CAST([] AS VARCHAR[]) AS brands, CAST(NULL AS VARCHAR) AS id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS idle, CAST(0 AS BIGINT) AS slot FROM ct JOIN pool USING (edit) UNION ALL
+      SELECT edit, cats, CASE WHEN p IS NULL THEN items ELSE list_filter(items, lambda x: x.t <> p.t AND NOT (x.b = p.b AND len(list_filter(brands, lambda y: y = p.b)) + 1 >= x.m)) END, CASE WHEN p IS NULL THEN brands ELSE list_append(brands, p.b) END, p.id, turn + 1, CASE WHEN p IS NULL THEN idle + 1 ELSE 0 END, slot + CASE WHEN p IS NULL THEN 0 ELSE 1 END
+      FROM (SELECT *, list_filter(items, lambda x: x.c = cats[turn % len(cats) + 1])[1] AS p FROM w WHERE slot < 36 AND idle < len(cats)))
+    SELECT w.edit, id AS object_id, category, brand, slot FROM w JOIN r ON r.edit = w.edit AND r.object_id = id WHERE id IS NOT NULL""")
 def _(e):
-    edits = e.products.withColumn("edit", F.when(C("color") != "", C("color")).otherwise(C("tag"))).where("edit <> ''")
-    return ranking.pick_diverse(edits, ["edit"], brand_cap=3, overrides={"Brand#1": 5}, priority=C("price") > 300)
+    return ranking.pick_diverse(shop_edits(e), ["edit"], brand_cap=C("brand_cap"), priority=C("comes_first"))
 
 
 @query("rank_pick_topn_brandcap", """WITH p AS (SELECT category, brand, object_id, coalesce(price, 0) AS score, size = 50 AS keep FROM products), nk AS (SELECT category, brand, count(*) AS nk FROM p WHERE keep GROUP BY 1, 2),

@@ -103,11 +103,9 @@ def _(e):
     return sets.pad_min(res, generic, ["query_id"], F.lit("dress"))
 
 
-@query("set_except_rejected", """WITH c AS (SELECT user_token, object_id, max(CASE WHEN kind IN ('click', 'save') THEN 1 ELSE 0 END) AS k FROM signals GROUP BY 1, 2)
-    SELECT user_token, array_to_string(list_sort(list(object_id) FILTER (k = 0)), '|') AS rejected FROM c GROUP BY 1""")
+@query("set_except_rejected", "SELECT user_token, object_id FROM signals GROUP BY 1, 2 HAVING max(CASE WHEN kind IN ('click', 'save') THEN 1 ELSE 0 END) = 0")
 def _(e):
-    per = e.signals.groupBy("user_token").agg(F.collect_set("object_id").alias("candidates"), F.collect_set(F.when(C("kind").isin("click", "save"), C("object_id"))).alias("kept"))
-    return sets.except_rejected(per).select("user_token", F.array_join(F.sort_array("rejected"), "|").alias("rejected"))
+    return sets.except_rejected(e.signals, ["user_token"], C("kind").isin("click", "save"))
 
 
 @query("set_orphan_vectors", """SELECT 'visual' AS namespace, object_id FROM vectors WHERE object_id NOT IN (SELECT object_id FROM products WHERE price < 300) UNION ALL
