@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import brute
@@ -53,6 +54,33 @@ def test_bpe_pairs_decide(codec):
     assert all(w == g for s, w, g in zip(sound, want, own.compatible(a, b)) if s)
 
 
+def test_bpe_words_of_any_length(codec):
+    library, own = codec
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=n)).encode() for n in (65, 300, 2000)] + [b"a" * 700, "é漢字".encode() * 90, bytes(rng.choices(range(256), k=900))]
+    short = bpe.SHORT
+    try:
+        bpe.SHORT = 1 << 40
+        slow = [own.exact(w) for w in words]
+    finally:
+        bpe.SHORT = short
+    assert [own.exact(w) for w in words] == slow
+    long = "".join(rng.choices("etaoinshrdlu", k=200_000))
+    assert own.encode([long]).to_pylist()[0] == library.encode(long, add_special_tokens=False).ids
+    began = time.time()
+    own.encode(["".join(rng.choices("ACGT", k=1_000_000)), "漢字" * 300_000])
+    assert time.time() - began < 60
+
+
+def test_bpe_plain_texts_split_alike(codec, texts):
+    own = codec[1]
+    rng = random.Random(9)
+    parts = ["a", "É", "ß", " ", "  ", "\n", "\t", "'s", "'ll", "’s", "1", "23", "_", "-", "…", "“", "x'y", "don't", "ſ", "\r\n", "$%", "ÿ"]
+    for t in ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(4000)] + [t or "" for _, t in texts]:
+        assert own.words.findall(t) == own.pieces(t) or not bpe.PLAIN.fullmatch(t)
+    assert sum(bool(bpe.PLAIN.fullmatch(t or "")) for _, t in texts) > 0.8 * len(texts) and not bpe.PLAIN.fullmatch("²") and not bpe.PLAIN.fullmatch("\x1c")
+
+
 def test_bpe_forgets_and_stays_right(codec, texts, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     own = bpe.Bpe(open(PATH, encoding="utf-8").read())
@@ -227,26 +255,29 @@ def test_sharding_few_documents(frame):
 
 
 def plain_top(vectors, every, k):
-    held: dict[int, list[int]] = {}
-    for i, v in sorted(((i, v) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)), key=lambda x: (x[0], [int(np.floor(256 * y)) for y in x[1]])):
-        held.setdefault(i, [int(np.floor(256 * x)) for x in v])
+    held = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in held.items():
+    for own, (q, v) in enumerate(held):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in held.items() if i != q)[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    return sorted(out)
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for at, (i, w) in enumerate(held) if at != own)[:k]
+            out += [(q, r + 1, i, -s if abs(s) < 1 << 63 else None) for r, (s, i) in enumerate(scores)]
+    return sorted(out, key=str)
 
 
 def test_top_k(spark):
     rng = random.Random(6)
     rows = [(i, [float(np.float32(rng.gauss(0, 0.2))) for _ in range(8)]) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(60)]
-    rows += [(600, None), (601, [float("nan")] * 8), (602, [None] * 8), (603, []), (650, []), (604, [1.0, 2.0]), (50, [0.1] * 8), (50, rows[50][1]), (None, [0.3] * 8), (605, [float("inf")] * 8), (700, [1e30] + [0.0] * 7)]
-    rows[-1] = (700, [2.0**17] + [0.0] * 7)
+    rows += [(600, None), (601, [float("nan")] * 8), (602, [None] * 8), (603, []), (650, []), (604, [1.0, 2.0]), (50, [0.1] * 8), (50, rows[50][1]), (51, rows[50][1]), (51, rows[50][1]), (None, [0.3] * 8), (605, [float("inf")] * 8), (700, [2.0**19] + [0.0] * 7), (701, [2.0**19] + [0.0] * 7)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, v string, block int").repartition(3)
-    got = sorted(tuple(r) for r in topk.top_k(df).collect())
-    assert got == plain_top(rows, 50, 5)
-    assert topk.top_k(df.limit(0)).collect() == [] and topk.top_k(df.where("vec_id = 50")).collect() == []
+    assert sorted((tuple(r) for r in topk.top_k(df).collect()), key=str) == plain_top(rows, 50, 5)
+    assert topk.top_k(df.limit(0)).collect() == [] and topk.top_k(df.where("vec_id = 650")).collect() == []
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(i * 25, [float((-1) ** i * 3**i * 2.0**40), float(2.0**30 + i), 1.0]) for i in range(9)] + [(1000, [2.0**38, 1.0, 0.0]), (1001, [2.0**15, 0.0, 1.0]), (1002, [2.0**14, 2.0**14, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted((tuple(r) for r in topk.top_k(df).collect()), key=str)
+    assert got == plain_top(rows, 50, 5) and any(r[3] is None for r in got)
 
 
 def test_threshold_stops_early_and_is_exact():
@@ -255,11 +286,11 @@ def test_threshold_stops_early_and_is_exact():
     rows[:, 0] = rng.integers(-50, 50, 2000)
     rows[7, 0] = 4000
     met = []
-    block = topk.Lists(np.arange(2000), rows)
+    block = topk.Lists(np.arange(2000), np.arange(2000), rows)
     take = topk.dot
     topk.dot = lambda a, b: met.append(len(a)) or take(a, b)
     try:
-        scores, ids = block.search(np.array([3, 0, 0, 0, 0, 0, 0, 0], np.int32), -1, 1, (np.empty(0, np.int64), np.empty(0, np.int64)))
+        scores, ids, _ = block.search(np.array([3, 0, 0, 0, 0, 0, 0, 0], np.int32), -1, 1, (np.empty(0, np.int64),) * 3)
     finally:
         topk.dot = take
     assert (scores.tolist(), ids.tolist()) == ([12000], [7]) and sum(met) < 100
@@ -314,7 +345,10 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 
 def test_html_text():
     assert html.text_of(PAGE, None) == "Title & more\n\nOne bold <x> word here next\n\nTwo éé with a much longer sentence\n\na\n\nb"
-    assert html.vote_of(PAGE)[0] == "/html/body/div/article.post-#"
+    path = 0
+    for tag, names in (("html", ""), ("body", ""), ("div", ""), ("article", "post-77")):
+        path = html.step(path, tag, names)
+    assert html.vote_of(PAGE)[0] == path
     assert [html.text_of(x, None) for x in (None, "", "<p>", "<!-- x", "<script>a")] == [""] * 5
     assert html.text_of("plain text", None) == "plain text" and html.text_of("<p>a<p>b<!-- c", None) == "a\n\nb"
     assert html.text_of("<body><div class=text><p>" + "long text " * 5000 + "</div>", None) == ("long text " * 5000).strip()
