@@ -6,13 +6,16 @@ at once, by walking the merge trees along both sides of the boundary. Only words
 
 Ids equal those of the tokenizers library with add_special_tokens=False: added tokens found in a text get their id, whatever their
 place. Null texts count as empty; an empty text has no ids and decodes to an empty text. Bytes that are not UTF-8 decode to U+FFFD.
-Every row is encoded by itself, so repeated rows, other columns and the order of rows don't matter.
+Every row is encoded by itself, so repeated rows, other columns and the order of rows don't matter. A word may be of any length; the time for its merges
+grows little faster than that.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
+import re
 from array import array
 
 import numpy as np
@@ -27,8 +30,14 @@ from modiste.llm.common import in_runs, listed
 #: how byte-level vocabularies split a text before merging; no word that starts with an apostrophe is a run of letters or digits, so those may
 #: be tried first, as the most frequent
 PATTERN = r" ?\p{L}++| ?\p{N}++|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
+#: texts of ASCII, European letters and common quotes and dashes, and the same pattern for these in classes that are quicker to match
+PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u2013\u2014\u2018\u2019\u201c\u201d\u2026]*+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+PLAIN_PATTERN = re.compile(f" ?[{LETTERS}]++| ?[0-9]++|'(?:[stmd]|re|ve|ll)| ?[^\\s{LETTERS}0-9]++|\\s+(?!\\S)|\\s+")
+#: words up to this many bytes are merged by searching a list, longer ones with a heap
+SHORT = 64
 #: words and pairs a worker remembers; it forgets all when full, so its memory is bounded
-REMEMBERED = 500_000
+REMEMBERED = 120_000
 NEVER = 1 << 40
 
 
@@ -119,6 +128,8 @@ class Bpe:
 
     def exact(self, word: bytes) -> list[int]:
         """The merges in the order of their rank, leftmost first."""
+        if len(word) > SHORT:
+            return self.exact_long(word)
         of, rank_of, made = self.byte_id, self.merge.get, self.made
         ids = [of[b] for b in word]
         ranks = [rank_of(p, NEVER) for p in zip(ids, ids[1:])]
@@ -135,6 +146,33 @@ class Bpe:
                 ranks[at] = rank_of((ids[at], ids[at + 1]), NEVER)
         return ids
 
+    def exact_long(self, word: bytes) -> list[int]:
+        """The same for words of any length: the pieces are a linked list, the merges wait in a heap by rank and place, and those whose pieces have
+        changed since are passed over."""
+        rank_of, made = self.merge.get, self.made
+        n = len(word)
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
+        first = self.pairs.get(ids[:-1] << 32 | ids[1:])
+        at = np.flatnonzero(first < NEVER)
+        heap = list(zip(first[at].tolist(), at.tolist()))
+        heapq.heapify(heap)
+        ids, before, after = ids.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank_of((ids[i], ids[j])) != rank:
+                continue
+            ids[i], ids[j] = made[rank], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank_of((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [t for t in ids if t >= 0]
+
     def hashed(self, rows: np.ndarray) -> np.ndarray:
         """A hash of each row of bytes; kept from being -1, which marks free places."""
         h = np.zeros(len(rows), np.uint64)
@@ -276,7 +314,7 @@ class Bpe:
     def pieces(self, text: str) -> list[str]:
         """The words of a text; added tokens are words of their own."""
         if self.split is None or not any(a in text for a in self.added):
-            return self.words.findall(text)
+            return (PLAIN_PATTERN if PLAIN.fullmatch(text) else self.words).findall(text)
         return [w for part in self.split.split(text) if part for w in ([part] if part in self.added else self.words.findall(part))]
 
     def encode(self, texts: list[str | None]) -> pa.Array:
