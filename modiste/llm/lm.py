@@ -1,12 +1,14 @@
 """Language-model scoring with a weighted backoff automaton.
 
-A state is an n-gram seen in training; the arc for word w from state h weighs c(hw) / (c(h) + K), and the failure arc to the next shorter history
-weighs K / (c(h) + K): p(w|h) = (c(hw) + K p(w|h')) / (c(h) + K), which sums to one at every order. The root is the add-one unigram model. One
-left-to-right pass over a text keeps the state of the words so far and adds up log-probabilities.
+A state is an n-gram seen in training, of at most `order` - 1 words; the arc for word w from state h weighs (c(hw) + K p(w|h')) / (c(h) + K), h' being h
+without its first word, and leads to the longest state that ends hw; the failure arc to h' weighs K / (c(h) + K). The root is the add-one unigram
+model. One left-to-right traversal of a text carries the state: it takes the arc for the next word if the state has one, else failure arcs until a state
+has it, and adds up log-probabilities. The texts of a chunk step on together. What a text gets sums to one over all words at every state.
 
 The automaton grows with the corpus, so no task ever holds it. Texts are gathered in chunks of a bounded size and stored as token
 numbers. A chunk sends each distinct n-gram once, with its training count, in sorted blocks to the bucket of its hash; a bucket adds up what
-all chunks have sent and answers each block with the totals in the order of its keys. With those a chunk has every arc it needs.
+all chunks have sent and answers each block with the totals in the order of its keys. With those a chunk has every arc it needs. Lengths of n-grams
+are settled one after the other, and what a length has shuffled is let go before the next.
 An n-gram is known by a 64-bit hash, so two different ones are taken for one with probability n^2 / 2^65.
 
 Words are runs of anything but ASCII white space, A-Z in lower case; every text ends with an end token, which is all that null
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modiste.llm.common import sliced, stored, texts_of
+from modiste.llm.common import release, sliced, stored, texts_of
 
 #: bytes of text in a chunk, n-grams in a bucket
 CHUNK, BUCKET = 8 << 20, 1_500_000
@@ -142,16 +144,15 @@ def as_batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def requests(batches, order: int, buckets: int):
-    """Every distinct gram of a chunk with its training count, a block for each bucket."""
+def requests(batches, k: int, buckets: int):
+    """Every distinct gram of k + 1 words of a chunk with its training count, a block for each bucket that has any."""
     for row in rows_of(batches):
-        grams = grams_of(row, order)
-        for k in range(order):
-            ends = np.searchsorted(bucket_of(grams.keys[k], buckets), np.arange(buckets + 1))
-            for b in range(buckets):
-                if ends[b] < ends[b + 1]:
-                    keys, counts = grams.keys[k][ends[b] : ends[b + 1]], grams.counts[k][ends[b] : ends[b + 1]]
-                    yield as_batch([(k, b, row["chunk"], squeezed(np.diff(keys, prepend=np.uint64(0))), squeezed(counts.astype(np.int64)))], ["gram", "bucket", "chunk", "keys", "counts"], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
+        grams = grams_of(row, k + 1)
+        keys, counts = grams.keys[k], grams.counts[k].astype(np.int64)
+        bucket = bucket_of(keys, buckets)
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.empty(0, np.int64)
+        for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+            yield as_batch([(k, int(bucket[at]), row["chunk"], squeezed(np.diff(keys[at:to], prepend=np.uint64(0))), squeezed(counts[at:to]))], ["gram", "bucket", "chunk", "keys", "counts"], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
 
 def totals(batches):
@@ -180,6 +181,55 @@ def totals(batches):
         yield from answers()
 
 
+class Automaton:
+    """The states and arcs that the texts of a chunk can meet: for each token and each length of history whether there is an arc, its weight, and the
+    weight of the failure arc of that history, as logarithms."""
+
+    def __init__(self, grams: Grams, total: list[np.ndarray], n: int, v: int, weight: float):
+        self.order = len(total)
+        count = total[0][grams.place[0]]
+        p = (count + 1) / (n + v + 1)
+        self.known, self.seen = count > 0, count
+        self.arc, self.taken, self.failed = [self.known], [np.log10(p)], [np.zeros(len(p))]
+        for k in range(1, self.order):
+            history = grams.history[k - 1]
+            full = np.flatnonzero(history >= 0)
+            c, h = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+            c[full], h[full] = total[k][grams.place[k][full]], total[k - 1][history[full]]
+            p = (c + weight * p) / (h + weight)
+            self.arc.append(c > 0)
+            self.taken.append(np.log10(p))
+            self.failed.append(np.log10(weight / (h + weight)))
+        start = total[0][grams.find(0, np.array([START]))]
+        self.first = 1 if self.order > 1 and len(start) and start[0] > 0 else 0
+
+    def traverse(self, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The log-probability of each text. All texts step on from word to word, carrying the length of their state's n-gram; the word sequence
+        has the rest of it."""
+        order = np.argsort(-lengths, kind="stable")
+        at, ends, out = begin[order], lengths[order], np.zeros(len(begin))
+        state = np.full(len(begin), self.first, np.int8)
+        for step in range(int(lengths.max(initial=0))):
+            m = int(np.searchsorted(-ends, -step, "left"))  # texts with a word here
+            t, own = at[:m] + step, state[:m]
+            got, into = np.zeros(m), np.zeros(m, np.int8)
+            for k in range(self.order - 1, 0, -1):
+                here = own == k
+                arc = here & self.arc[k][t]
+                fail = here & ~arc
+                got += np.where(arc, self.taken[k][t], 0.0) + np.where(fail, self.failed[k][t], 0.0)
+                into[arc] = min(k + 1, self.order - 1)
+                own = np.where(fail, k - 1, np.where(arc, -1, own))
+            root = own == 0
+            got += np.where(root, self.taken[0][t], 0.0)
+            into[root] = np.minimum(self.known[t[root]], self.order - 1)
+            out[:m] += got
+            state[:m] = into
+        back = np.empty(len(out))
+        back[order] = out
+        return back
+
+
 def scores(batches, order: int, n: int, v: int, weight: float):
     """Per text the sum of log10(c + 1) and the score. A chunk's answers come first, sorted by (gram, bucket), then the chunk."""
     got: dict[int, list[bytes]] = {}
@@ -190,27 +240,28 @@ def scores(batches, order: int, n: int, v: int, weight: float):
         grams = grams_of(row, order)
         total = [np.concatenate([unsqueezed(x, np.int64) for x in got[k]]) if k in got else np.empty(0, np.int64) for k in range(order)]
         got = {}
-        c = total[0][grams.place[0]]
-        p = (c + 1) / (n + v + 1)
-        for k in range(1, order):
-            full = np.flatnonzero(grams.history[k - 1] >= 0)
-            arc = total[k][grams.place[k][full]]
-            p[full] = (arc + weight * p[full]) / (total[k - 1][grams.history[k - 1][full]] + weight)
+        automaton = Automaton(grams, total, n, v, weight)
         out = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(grams.lengths.astype(np.int64))]
-        out += [pa.array(np.add.reduceat(x, grams.begin)) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), np.log10(p))]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
+        out += [pa.array(np.add.reduceat(x, grams.begin)) for x in (automaton.known.astype(np.int64), np.log10(automaton.seen + 1.0))]
+        yield pa.RecordBatch.from_arrays([*out, pa.array(automaton.traverse(grams.begin, grams.lengths))], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 2, weight: float = 60.0) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, order: int = 3, weight: float = 60.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs` (doc_id, text); the model learns from those where
     `held_out` isn't true. `order` is the longest n-gram, `weight` is K."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held"), "text")
     chunks = stored(rows.mapInArrow(tokenized, CHUNKS), "lm-chunks")
     size = chunks.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET))
-    asked = chunks.select("chunk", "held", "lengths", "words", "tokens").mapInArrow(lambda b: requests(b, order, buckets), BLOCKS)
-    answered = asked.repartition("gram", "bucket").sortWithinPartitions("gram", "bucket").mapInArrow(totals, "gram int, bucket int, chunk long, counts binary, types long, tokens long")
-    answered = stored(answered, "lm-totals")
+    answered = None
+    for k in range(order):
+        asked = chunks.select("chunk", "held", "lengths", "words", "tokens").mapInArrow(lambda b, k=k: requests(b, k, buckets), BLOCKS)
+        counted = asked.repartition("gram", "bucket").sortWithinPartitions("gram", "bucket").mapInArrow(totals, "gram int, bucket int, chunk long, counts binary, types long, tokens long")
+        counted = stored(counted, "lm-totals")
+        answered = counted if answered is None else answered.union(counted)
+        del asked
+        release(spark)
     v, n = answered.where("gram = 0").agg(F.sum("types"), F.sum("tokens")).first()
     v, n = v or 0, n or 0
 

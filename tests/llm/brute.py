@@ -69,6 +69,39 @@ def language_model(rows, order, weight):
     return out
 
 
+def walked(rows, order, weight):
+    """The score of each text by an automaton of dictionaries: states, arcs and failure arcs, one word after the other."""
+    count, texts = Counter(), 0
+    toks = [(d is not None and zlib.crc32(str(d).encode()) % 7 == 2, [*words(t), "end"]) for d, t in rows]
+    for held, w in toks:
+        if not held:
+            texts += 1
+            p = ["start", *w]
+            for k in range(1, order + 1):
+                count.update(tuple(p[i : i + k]) for i in range(len(p) - k + 1) if k > 1 or i)
+    one = {g: c for g, c in count.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
+    if texts:
+        count["start",] = texts
+
+    def arc(h, w):
+        return (count[(*h, w)] + weight * arc(h[1:], w)) / (count[h] + weight) if h else (count[w,] + 1) / (n + v + 1)
+
+    out = []
+    for _, w in toks:
+        state, score = (("start",) if texts and order > 1 else ()), 0.0
+        for x in w:
+            while state and (*state, x) not in count:
+                score += math.log10(weight / (count[state] + weight))
+                state = state[1:]
+            score += math.log10(arc(state, x))
+            state = (*state, x)
+            while state and (len(state) >= order or state not in count):
+                state = state[1:]
+        out.append(score)
+    return out
+
+
 def simhash(text, width=3) -> int:
     w = words(text)
     runs = [b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] if len(w) >= width else [b" ".join(w)] * bool(w)

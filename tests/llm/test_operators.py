@@ -156,7 +156,7 @@ def test_substrings(spark, frame, texts, monkeypatch):
     assert not suffix.without_repeats(frame([]), 50, 1 << 20).collect()
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model(frame, texts, order, monkeypatch):
     monkeypatch.setattr(lm, "BUCKET", 5000)
     rows = texts + ODD + texts[:2] + [(None, "the of")]
@@ -164,9 +164,18 @@ def test_language_model(frame, texts, order, monkeypatch):
     got, want = sorted(map(tuple, out.collect()), key=str), sorted(brute.language_model(rows, order, 60.0), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+    walked = sorted(((*w[:6], x) for w, x in zip(brute.language_model(rows, order, 60.0), brute.walked(rows, order, 60.0))), key=str)
+    np.testing.assert_allclose([g[6] for g in got], [w[6] for w in walked], rtol=1e-9)
     assert not lm.scored(frame([]), F.lit(False)).collect()
     held = [w for w in want if w[1]]
-    assert sum(w[6] for w in held) > sum(w[5] for w in held)
+    assert order == 1 or sum(w[6] for w in held) > sum(w[5] for w in held)
+
+
+def test_language_model_of_a_very_long_text(frame):
+    rows = [(1, "the of the and " * 30_000), (3, "the of " * 10), (4, None)]
+    got = sorted(map(tuple, lm.scored(frame(rows), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect()))
+    want = brute.walked(rows, 3, 60.0)
+    np.testing.assert_allclose([g[6] for g in got], want, rtol=1e-9)
 
 
 def test_language_model_sums_to_one():
