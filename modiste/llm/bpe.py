@@ -36,8 +36,9 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 PLAIN_PATTERN = re.compile(f" ?[{LETTERS}]++| ?[0-9]++|'(?:[stmd]|re|ve|ll)| ?[^\\s{LETTERS}0-9]++|\\s+(?!\\S)|\\s+")
 #: words up to this many bytes are merged by searching a list, longer ones with a heap
 SHORT = 64
-#: words and pairs a worker remembers; it forgets all when full, so its memory is bounded
-REMEMBERED = 120_000
+#: words and pairs a worker remembers in each of two generations; when the younger one is full the older one goes, so its memory is bounded and what keeps
+#: coming up stays
+REMEMBERED = 150_000
 NEVER = 1 << 40
 
 
@@ -123,6 +124,7 @@ class Bpe:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}  # ids of a word, packed
+        self.older: dict[str, bytes] = {}
         self.sound = np.zeros(top, np.int8)  # 1: the merges give the token back, -1: they don't
         self.judged, self.verdict = np.empty(0, np.int64), np.empty(0, bool)  # pairs, sorted, and whether they stay apart
 
@@ -334,7 +336,10 @@ class Bpe:
         words = set().union(*run)
         new = words - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, words
+            self.known, self.older, new = {}, self.known, words
+        if again := new & self.older.keys():
+            self.known.update((w, self.older[w]) for w in again)
+            new = new - again
         for word in new & self.added.keys():
             self.known[word] = array("i", [self.added[word]]).tobytes()
         if new := list(new - self.added.keys()):
