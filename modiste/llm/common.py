@@ -17,12 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: rows that go to Python at once while a table is stored: texts and sets of a few KB each make batches of a few MB
+BATCH_ROWS = 1500
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """`df`, written as Parquet below the cluster's shared folder and read again: the lineage ends there, any executor can read
-    it, and Spark knows its true size. The folder goes when the session's JVM ends."""
+    it, and Spark knows its true size. The folder goes when the session's JVM ends. While it is written, batches for Python are small."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
