@@ -96,12 +96,13 @@ def rerank(pool: DataFrame, queries: DataFrame, products: DataFrame, visual: Dat
     q = q.withColumn("__align", vec.cosine(C("__c"), C("__q")))
     q = q.join(phrase_vectors(phrases), "query_id", "left") if phrases is not None else q.withColumn("__phrases", F.lit(None).cast("array<array<double>>"))
     attrs = products.select("object_id", "brand", "color", "retailer")
-    # the three catalogue joins share one key, so the pool is shuffled once for them; the query side follows, broadcast while small
-    df = (pool.join(attrs, "object_id").join(visual.select("object_id", C("vec").alias("__v")), "object_id", "left")
-          .join(vibe.select("object_id", C("vec").alias("__b")), "object_id", "left").join(broadcast_measured(q), "query_id"))
-    df = df.withColumn("vis", vec.cosine(C("__q"), C("__v"))).withColumn("vib", vec.cosine(C("__q"), C("__b"))).withColumn("cent", vec.cosine(C("__c"), C("__v")))
-    df = df.where(C("vis").isNull() | (C("vis") >= floor)).withColumn("phrase_bonus", phrase_share(C("__v"), C("__phrases"), phrase_threshold, 0.18))
-    df = df.withColumnRenamed("__v", "vec").drop("__q", "__c", "__b", "__phrases")
+    # the visual vector comes first: what the floor drops meets neither the vibe vector nor the catalogue. All joins share one key, so the pool is shuffled
+    # once for them; the query side is sent along while it is small
+    df = pool.join(visual.select("object_id", C("vec").alias("__v")), "object_id", "left").join(broadcast_measured(q), "query_id")
+    df = df.withColumn("vis", vec.cosine(C("__q"), C("__v"))).where(C("vis").isNull() | (C("vis") >= floor))
+    df = df.withColumn("cent", vec.cosine(C("__c"), C("__v"))).withColumn("phrase_bonus", phrase_share(C("__v"), C("__phrases"), phrase_threshold, 0.18)).drop("__c", "__phrases")
+    df = df.join(vibe.select("object_id", C("vec").alias("__b")), "object_id", "left").withColumn("vib", vec.cosine(C("__q"), C("__b"))).drop("__q", "__b")
+    df = df.withColumnRenamed("__v", "vec").join(attrs, "object_id")
     # ranking ties are decided on rounded scores so that every engine orders them alike
     # a pool is what the gate lets through (≤ 700 rows), so plain windows are safe and all of them share one shuffle
     names = ("vis", "vib", "cent")
@@ -137,7 +138,7 @@ def mmr(scored: DataFrame, per_group: int, keys: Sequence[str] = ("query_id", "c
             closest, penalty, left = np.zeros(n), np.zeros(n), np.ones(n, bool)
             chosen = []
             for _ in range(min(n, per_group)):
-                value = np.where(left, score - lam_v * closest - penalty, -np.inf)
+                value = np.where(left, np.round(score - lam_v * closest - penalty, 9), -np.inf)
                 i = int(np.argmax(value))
                 chosen.append(i)
                 left[i] = False

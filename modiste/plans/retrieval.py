@@ -188,10 +188,12 @@ def two_stage(queries: DataFrame, phrases: DataFrame, products: DataFrame, visua
     pool = pool.join(big.select("query_id"), "query_id", "left_semi").join(fractions, ["query_id", "category", "object_id"], "left")
     scored = ranking.rerank(pool, kinds, products, visual, vibe, centroids, features, phrases, rerank_floor, phrase_threshold, align)
     strict = ranking.mmr(scored, per_category)
+    strict = strict.select("query_id", "category", C("mmr_pos").alias("rank"), "object_id", F.lit("two_stage").alias("stage"))
     rest = cut(queries.join(big.select("query_id"), "query_id", "left_anti"))
+    if rest.isEmpty():
+        return strict
     loose = hybrid(rest, products, visual, vibe, per_category, gate_floor, {"visual": 1.0, "vibe": 1.0, "taste": 1.0, "keyword": 0.25}, taste)
-    return strict.select("query_id", "category", C("mmr_pos").alias("rank"), "object_id", F.lit("two_stage").alias("stage")).unionByName(
-        loose.select("query_id", "category", "rank", "object_id", F.lit("hybrid").alias("stage")))
+    return strict.unionByName(loose.select("query_id", "category", "rank", "object_id", F.lit("hybrid").alias("stage")))
 
 
 def ranking_fraction(keyword: DataFrame) -> DataFrame:

@@ -120,16 +120,32 @@ def split_triplets(e):
     return train_split(t, F.concat_ws("|", "run_id", C("i").cast("string")), "s2")
 
 
-@query("train_projection")
+SPLIT = "sp AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(concat('s2|', run_id, '|', CAST(i AS VARCHAR))), concat(run_id, '|', CAST(i AS VARCHAR))) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split FROM tri WHERE EXISTS (SELECT 1))"
+TRAIN_EPOCHS, DIM = 3, 64
+
+
+def training_sql() -> str:
+    """Whole-batch steps, one table of matrix rows after the other, then the accuracy before and after."""
+    parts = ["v AS MATERIALIZED (SELECT a.vec AS a, list_transform(list_zip(p.vec, n.vec), lambda x: x[1] - x[2]) AS d FROM sp JOIN units a ON a.object_id = anchor JOIN units p ON p.object_id = positive JOIN units n ON n.object_id = negative WHERE split = 'train')",
+             f"w0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END ORDER BY j) AS r FROM (SELECT unnest(range(1, {DIM + 1})) AS i), (SELECT unnest(range(1, {DIM + 1})) AS j) GROUP BY i))"]
+    for k in range(1, TRAIN_EPOCHS + 1):
+        parts += [f"o{k} AS MATERIALIZED (SELECT * FROM (SELECT a, d, list_transform(m, lambda r: list_dot_product(r, a)) AS wa, list_transform(m, lambda r: list_dot_product(r, d)) AS wd FROM v, w{k - 1}) WHERE 0.2 - list_dot_product(wa, wd) > 0)",
+                  f"c{k} AS MATERIALIZED (SELECT i, j, sum(wa[i] * d[j] + wd[i] * a[j]) AS g FROM o{k}, (SELECT unnest(range(1, {DIM + 1})) AS i), (SELECT unnest(range(1, {DIM + 1})) AS j) GROUP BY 1, 2)",
+                  f"w{k} AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(x ORDER BY j) AS r FROM (SELECT c.i, c.j, m[c.i][c.j] + 0.5 / n * g AS x FROM c{k} c, w{k - 1}, (SELECT count(*) AS n FROM o{k})) GROUP BY i))"]
+    said = "avg(CASE WHEN list_dot_product(list_transform(m, lambda r: list_dot_product(r, a.vec)), list_transform(m, lambda r: list_dot_product(r, p.vec))) > list_dot_product(list_transform(m, lambda r: list_dot_product(r, a.vec)), list_transform(m, lambda r: list_dot_product(r, n.vec))) THEN 1.0 ELSE 0.0 END)"
+    tests = [f"SELECT '{name}' AS weights, round({said}, 3) AS accuracy, count(*) AS n FROM sp JOIN vectors a ON a.object_id = anchor JOIN vectors p ON p.object_id = positive JOIN vectors n ON n.object_id = negative, w{k} WHERE split = 'test'" for name, k in (("identity", 0), ("trained", TRAIN_EPOCHS))]
+    return f"WITH {TRIPLETS}, {SPLIT}, {', '.join(parts)} {' UNION ALL '.join(tests)}"
+
+
+@query("train_projection", training_sql())
 def _(e):
     s = split_triplets(e)
-    w, losses = training.train_projection(training.with_vectors(s.where("split = 'train'"), e.vectors), 64, epochs=3)
+    w, losses = training.train_projection(training.with_vectors(s.where("split = 'train'"), e.vectors), DIM, epochs=TRAIN_EPOCHS, batch_rows=1 << 40)
     test = s.where("split = 'test'")
     before, after = training.accuracy(test, e.vectors), training.accuracy(test, e.vectors, w)
     return before.select(F.lit("identity").alias("weights"), F.round("accuracy", 3).alias("accuracy"), "n").unionByName(after.select(F.lit("trained").alias("weights"), F.round("accuracy", 3).alias("accuracy"), "n"))
 
 
-SPLIT = "sp AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(concat('s2|', run_id, '|', CAST(i AS VARCHAR))), concat(run_id, '|', CAST(i AS VARCHAR))) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split FROM tri WHERE EXISTS (SELECT 1))"
 STEP_ROWS = 4
 
 

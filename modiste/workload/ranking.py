@@ -168,7 +168,17 @@ def _(e):
     return reranked(e).select("query_id", "category", "object_id", r6c(C("score")).alias("score"))
 
 
-@query("rank_mmr")
+MMR = RERANK.replace("round(round((CASE WHEN share", "round((CASE WHEN share").replace(", 9), 6) AS score", ", 9) AS score")
+
+
+@query("rank_mmr", f"""WITH RECURSIVE {MMR}, nr AS (SELECT s.query_id, s.category, s.object_id, s.score, trim(lower(coalesce(brand, ''))) AS b, vec, row_number() OVER (PARTITION BY s.query_id, s.category ORDER BY s.score DESC, s.object_id) AS i
+      FROM scored s JOIN products USING (object_id) LEFT JOIN vectors USING (object_id)),
+    sims AS (SELECT a.query_id, a.category, a.i, list(coalesce(list_cosine_similarity(a.vec, c.vec), 0.0) ORDER BY c.i) AS v FROM nr a JOIN nr c USING (query_id, category) GROUP BY 1, 2, 3),
+    it AS (SELECT query_id, category, list(struct_pack(i := i, id := object_id, s := score, b := b, m := CAST(0 AS DOUBLE), p := CAST(0 AS DOUBLE), v := v) ORDER BY i) AS items FROM nr JOIN sims USING (query_id, category, i) GROUP BY 1, 2),
+    mw AS (SELECT query_id, category, items, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS DOUBLE) AS score, CAST(0 AS BIGINT) AS pos FROM it UNION ALL
+      SELECT query_id, category, list_transform(list_filter(items, lambda x: x.i <> g.i), lambda x: struct_pack(i := x.i, id := x.id, s := x.s, b := x.b, m := greatest(x.m, x.v[g.i]), p := CASE WHEN g.b <> '' AND x.b = g.b THEN CAST(0.15 AS DOUBLE) ELSE x.p END, v := x.v)), g.id, g.s, pos + 1
+      FROM (SELECT *, items[list_position(list_transform(items, lambda x: round(x.s - 0.3 * x.m - x.p, 9)), list_max(list_transform(items, lambda x: round(x.s - 0.3 * x.m - x.p, 9))))] AS g FROM mw WHERE pos < 10 AND len(items) > 0))
+    SELECT query_id, category, id AS object_id, round(score, 6) AS score, pos AS mmr_pos FROM mw WHERE pos > 0""")
 def _(e):
     return ranking.mmr(reranked(e), 10).withColumn("score", F.round("score", 6))
 

@@ -27,4 +27,4 @@ def test_every_key_is_registered_once():
 
     q, o = all_queries(), all_twins()
     assert set(o) <= set(q) and set(q) <= set(entry.queries()) and set(o) <= set(entry.oracle_sql())
-    assert set(q) - set(o) == {"rank_two_stage", "rank_mmr", "train_projection"}
+    assert set(q) - set(o) == {"rank_two_stage"}
