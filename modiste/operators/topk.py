@@ -64,7 +64,8 @@ def _merged(held: list, k: int) -> list:
     return [(q[keep], ids[keep], s[keep], g[keep])]
 
 
-def _score_chunk(v: DataFrame, table: pa.Table, k: int | None, floor: float | None, group: str | None, schema: str) -> DataFrame:
+def _score_chunk(v: DataFrame, table: pa.Table, k: int | None, floor: float | None, group: str | None, schema: str):
+    """(the chunk's pairs, the broadcast of its queries)."""
     held_queries = v.sparkSession.sparkContext.broadcast((table.column("__q").to_numpy(zero_copy_only=False), _matrix(table.column("vec").combine_chunks())))
     names = ["__q", "object_id", "score"] + ([group] if group else [])
 
@@ -96,7 +97,7 @@ def _score_chunk(v: DataFrame, table: pa.Table, k: int | None, floor: float | No
         if held:
             yield from out(qids, _merged(held, k)[0])
 
-    return v.mapInArrow(run, schema)
+    return v.mapInArrow(run, schema), held_queries
 
 
 def scored(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float | None = None, query_key: str = "query_id", group: str | None = None,
@@ -104,7 +105,7 @@ def scored(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float |
     """(query, item, [group], score): per task at most k rows per (query, group), all at or above `floor`.
 
     With k set the result still holds the winners of every task; `nearest` ranks them. Without k a floor is required. More than
-    `max_query_rows` queries are dealt into chunks by a hash of their key and handled chunk by chunk."""
+    `max_query_rows` queries are dealt into chunks by a hash of their key; a chunk's pairs are stored and its queries let go before the next one comes."""
     if k is None and floor is None:
         raise ValueError("give k or a floor")
     q = queries.where(C("vec").isNotNull()).select(C(query_key).cast("string").alias("__q"), "vec")
@@ -119,8 +120,11 @@ def scored(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float |
         parts = [q.where(F.pmod(F.xxhash64("__q"), F.lit(n)) == i) for i in range(n)]
         tables = (part.toArrow() for part in parts)
     pairs = None
-    for table in tables:
-        chunk = _score_chunk(v, table, k, floor, group, schema)
+    for part in tables:
+        chunk, sent = _score_chunk(v, part, k, floor, group, schema)
+        if table is None:
+            chunk = cut(chunk)
+            sent.destroy()
         pairs = chunk if pairs is None else pairs.unionByName(chunk)
     kind = queries.schema[query_key].dataType
     return pairs.select(C("__q").cast(kind).alias(query_key), "object_id", *([group] if group else []), "score")
