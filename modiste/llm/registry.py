@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modiste.llm import bpe, decontaminate, html, langid, lines, lm, quality, sharding, simhash, suffix, topk, trie, whitening
-from modiste.llm.common import table
+from modiste.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return stored(bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))), "bpe-digests")
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,16 +123,16 @@ FROM s QUALIFY rank <= 5
 
 OP8_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(ls, 1) AS nr, unnest(ls) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+  SELECT r, doc_id, generate_subscripts(ls, 1) AS nr, unnest(ls) AS line
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 ), keyed AS (
-  SELECT doc_id, nr, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+  SELECT r, doc_id, nr, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
 ), common AS (
-  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
-FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY doc_id
+FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY r, doc_id
 """
 
 OP11_SQL = r"""
