@@ -13,6 +13,7 @@ grows little faster than that.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import re
@@ -38,7 +39,7 @@ PLAIN_PATTERN = re.compile(f" ?[{LETTERS}]++| ?[0-9]++|'(?:[stmd]|re|ve|ll)| ?[^
 SHORT = 64
 #: words and pairs a worker remembers in each of two generations; when the younger one is full the older one goes, so its memory is bounded and what keeps
 #: coming up stays
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 NEVER = 1 << 40
 
 
@@ -320,12 +321,12 @@ class Bpe:
         return [w for part in self.split.split(text) if part for w in ([part] if part in self.added else self.words.findall(part))]
 
     def encode(self, texts: list[str | None]) -> pa.Array:
-        """A list array of ids. Words are learnt in runs of texts of about a million characters, so that memory is bounded."""
+        """A list array of ids. Words are learnt in runs of texts of about 400,000 characters, so that memory is bounded."""
         out, run, size = [], [], 0
         for text in texts:
             run.append(self.pieces(text or ""))
             size += len(text or "")
-            if size > 1_000_000:
+            if size > 400_000:
                 out += self.looked_up(run)
                 run, size = [], 0
         out += self.looked_up(run)
@@ -410,6 +411,31 @@ def decoded(df: DataFrame, path: str, ids: str | Column = "ids", text: str = "de
     return df.withColumn(text, codec(df.sparkSession, path)[1](ids))
 
 
+CODED = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+
+
+def coder(spark: SparkSession, path: str, *parts: str):
+    """A column function from text to a struct of `parts` of CODED: ids, their number, and the digests of ids and of the text they decode to. Digests are taken
+    where the text is read, so neither packed ids nor decoded texts travel."""
+    with open(path, encoding="utf-8") as f:
+        file = spark.sparkContext.broadcast(f.read())
+
+    def run(texts: pa.Array) -> pa.Array:
+        own = loaded(file.value)
+        ids = own.encode(texts.to_pylist())
+        n = np.asarray(ids.value_lengths(), np.int64)
+        ends = np.r_[0, 4 * np.cumsum(n)].tolist()
+        data = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+        made = {"ids": ids, "n_tokens": pa.array(n)}
+        if "ids_sha256" in parts:
+            made["ids_sha256"] = pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
+        if "decoded_sha256" in parts:
+            made["decoded_sha256"] = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in own.decoded(ids).cast(pa.binary())], pa.string())
+        return pa.StructArray.from_arrays([made[p] for p in parts], list(parts))
+
+    return F.arrow_udf(in_runs(run, 2 << 20), T.StructType([T.StructField(p, CODED[p]) for p in parts]))
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per row of (doc_id, text): ids and the text they decode to."""
     encode, decode = codec(docs.sparkSession, path)

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 1500
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """`df`, written as Parquet below the cluster's shared folder and read again: the lineage ends there, any executor can read
     it, and Spark knows its true size. The folder goes when the session's JVM ends. While it is written, batches for Python are small."""
     spark = df.sparkSession
@@ -30,7 +30,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     before = spark.conf.get(name)
     try:
         spark.conf.set(name, str(BATCH_ROWS))
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(name, before)
     jvm = spark.sparkContext._jvm

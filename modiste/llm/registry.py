@@ -17,7 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return stored(bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))), "bpe-digests")
+    code = bpe.coder(spark, public_tokenizers.path("byte_bpe_50k.json"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return stored(docs.select("doc_id", code("text").alias("c")).select("doc_id", "c.*"), "bpe-digests")
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,9 @@ def test_bpe_frames(spark, frame, texts):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want)
+    code = bpe.coder(spark, PATH, *bpe.CODED)
+    coded = frame(rows).select("doc_id", code("text").alias("c")).select("doc_id", "c.*").collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in coded) == got and all(len(r.ids) == r.n_tokens for r in coded)
     back = bpe.decoded(bpe.encoded(frame(rows), PATH), PATH, text="term").collect()
     assert all(r.term == (r.text or "") for r in back) and not bpe.encoded(frame(rows).limit(0), PATH).collect()
 
