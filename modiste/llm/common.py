@@ -39,6 +39,17 @@ def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more: what was made of them is stored itself."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            if not at.getName().startswith("llm-"):
+                raise ValueError(f"{at.getName()} isn't a stored table")
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unused(df: DataFrame, *names: str):
     """Column names like these that `df` doesn't have: a list, or the name if it is one."""
     taken, out = {c.lower() for c in df.columns}, []
