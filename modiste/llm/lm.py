@@ -98,7 +98,7 @@ class Grams:
         self.add(np.r_[hashes, START], tokens, np.bincount(tokens[train], minlength=len(hashes) + 1))
         self.counts[0][self.find(0, np.array([START]))] = int((~np.array(held, bool)).sum())
         for k in range(1, order):
-            before = np.r_[np.int64(-1), self.place[k - 1][:-1]]
+            before = np.r_[np.int32(-1), self.place[k - 1][:-1]]
             if k == 1:
                 before[begin] = self.find(0, np.array([START]))[0]
             else:
@@ -106,7 +106,7 @@ class Grams:
             full = np.flatnonzero(before >= 0)
             gram = mixed(self.keys[k - 1][before[full]], hashes[tokens[full]])
             distinct, back = np.unique(gram, return_inverse=True)
-            place = np.full(len(tokens), -1)
+            place = np.full(len(tokens), -1, np.int32)
             place[full] = back
             self.history.append(before)
             self.keys.append(distinct)
@@ -115,8 +115,8 @@ class Grams:
 
     def add(self, keys: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(keys)
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
+        rank = np.empty(len(keys), np.int32)
+        rank[order] = np.arange(len(keys), dtype=np.int32)
         self.keys.append(keys[order])
         self.counts.append(counts[order])
         self.place.append(rank[tokens])
@@ -187,6 +187,10 @@ class Automaton:
 
     def __init__(self, grams: Grams, total: list[np.ndarray], n: int, v: int, weight: float):
         self.order = len(total)
+        start = total[0][grams.find(0, np.array([START]))]
+        self.first = 1 if self.order > 1 and len(start) and start[0] > 0 else 0
+        grams.keys.clear()  # places are all that is needed from here on
+        grams.counts.clear()
         count = total[0][grams.place[0]]
         p = (count + 1) / (n + v + 1)
         self.known, self.seen = count > 0, count
@@ -200,8 +204,6 @@ class Automaton:
             self.arc.append(c > 0)
             self.taken.append(np.log10(p))
             self.failed.append(np.log10(weight / (h + weight)))
-        start = total[0][grams.find(0, np.array([START]))]
-        self.first = 1 if self.order > 1 and len(start) and start[0] > 0 else 0
 
     def traverse(self, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The log-probability of each text. All texts step on from word to word, carrying the length of their state's n-gram; the word sequence
@@ -269,6 +271,6 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, weight: float = 60
     own = chunks.select("chunk", F.lit(order).alias("gram"), F.lit(0).alias("bucket"), none("binary").alias("counts"), "doc_ids", "held", "lengths", "words", "tokens")
     got = answered.select("chunk", "gram", "bucket", "counts", none("array<long>").alias("doc_ids"), none("array<boolean>").alias("held"), none("array<int>").alias("lengths"), none("binary").alias("words"), none("binary").alias("tokens"))
     met = got.union(own).repartition("chunk").sortWithinPartitions("chunk", "gram", "bucket")
-    out = met.mapInArrow(lambda b: scores(b, order, n, v, weight), SCORES)
+    out = stored(met.mapInArrow(lambda b: scores(b, order, n, v, weight), SCORES), "lm-scores")
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
