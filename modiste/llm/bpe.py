@@ -39,7 +39,7 @@ PLAIN_PATTERN = re.compile(f" ?[{LETTERS}]++| ?[0-9]++|'(?:[stmd]|re|ve|ll)| ?[^
 SHORT = 64
 #: words and pairs a worker remembers in each of two generations; when the younger one is full the older one goes, so its memory is bounded and what keeps
 #: coming up stays
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 NEVER = 1 << 40
 
 

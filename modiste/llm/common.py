@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import uuid
@@ -61,6 +62,18 @@ def unused(df: DataFrame, *names: str):
     return out if len(out) > 1 else out[0]
 
 
+@functools.lru_cache(1)
+def trim():
+    """The C library's function that returns freed memory to the system, or one that does nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return what a worker has freed, so that workers that stay don't keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim()(0)
+
+
 def in_runs(f, limit: int = 6 << 20):
     """A function of Arrow arrays, called for runs of rows of about `limit` bytes each, so that what it holds doesn't follow the batch size."""
 
@@ -68,10 +81,8 @@ def in_runs(f, limit: int = 6 << 20):
     def run(*columns):
         n, size = len(columns[0]), sum(c.nbytes for c in columns)
         step = max(1, int(n * limit / max(size, 1)))
-        if step >= n:
-            return f(*columns)
-        out = pa.concat_arrays([f(*(c.slice(at, step) for c in columns)) for at in range(0, n, step)])
-        pa.default_memory_pool().release_unused()
+        out = f(*columns) if step >= n else pa.concat_arrays([f(*(c.slice(at, step) for c in columns)) for at in range(0, n, step)])
+        give_back()
         return out
 
     return run

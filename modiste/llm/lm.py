@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modiste.llm.common import release, sliced, stored, texts_of
+from modiste.llm.common import give_back, release, sliced, stored, texts_of
 
 #: bytes of text in a chunk, n-grams in a bucket
-CHUNK, BUCKET = 8 << 20, 1_500_000
+CHUNK, BUCKET = 6 << 20, 1_000_000
 START, END = np.uint64(xxhash.xxh64_intdigest(b" start")), np.uint64(xxhash.xxh64_intdigest(b" end"))
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, words binary, tokens binary, n long"
 BLOCKS = "gram int, bucket int, chunk long, keys binary, counts binary"
@@ -138,6 +138,9 @@ def rows_of(batches):
     for batch in batches:
         for at in range(batch.num_rows):
             yield {c: batch.column(i)[at].as_py() for i, c in enumerate(batch.schema.names)}
+            if batch.nbytes > CHUNK // 8 * batch.num_rows:  # a row is a chunk
+                give_back()
+        give_back()
 
 
 def as_batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
