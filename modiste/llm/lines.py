@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import in_runs, sliced, stored, texts_of, unused
+from modiste.llm.common import discard, in_runs, release, sliced, stored, texts_of, unused
 from modiste.llm.hashfilter import Twice, seen_twice
 
 KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -134,4 +134,7 @@ def without_boilerplate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     kept = F.when(F.col("__row") == F.col("__holder"), F.col("__key"))
     drop = met.join(held, "__key", "left").groupBy(F.col("__row").alias(row)).agg(F.collect_set("__key").alias(gone), F.collect_set(kept).alias(once))
     joined = rows.join(drop, row, "left").withColumn(left, without("text", gone, once))
-    return joined.select(*[F.col(f"{left}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    out = stored(joined.select(*[F.col(f"{left}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]), "without-boilerplate")
+    discard(rows, found, met, held)
+    release(docs.sparkSession)
+    return out
