@@ -1,11 +1,13 @@
 """Near-dedup by word shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-Documents with equal sets count once from there on. Candidates share a band of ROWS of BANDS x ROWS minima of hash functions: at a
+Documents with equal sets count once from there on. Candidates come from the byte-position index of SimHash fingerprints (`simhash.py`, over the same
+five-word shingles), and since two bits miss most pairs of that similarity, also from bands of ROWS of BANDS x ROWS minima of hash functions: at a
 similarity of 0.8 a pair has none in common with a chance of 3 in a million, at 0.9 of less than one in 10^12. Nothing is linked before its sets have
 been compared exactly.
 
-1. Every member of a band is compared with the band's first one: as many pairs as members.
-2. Bands that overlap make a cluster. A cluster whose members the links so far connect is settled, which is what becomes of a group of near copies of
+1. Fingerprints that are equal or differ in two bits at most are compared along the links of the index, and every member of a band with the band's first
+   one: as many pairs as members.
+2. Candidates that overlap make a cluster. A cluster whose members the links so far connect is settled, which is what becomes of a group of near copies of
    one text. The sets of the other clusters are dealt by hash into blocks of about BLOCK sets or BLOCK_BYTES bytes, and blocks meet blocks but for those
    that are connected already. A task counts the common shingles of all pairs of two blocks by matrix products and passes on links that span what it
    has found, so rows follow the blocks and not the pairs. Every pair of a cluster is compared, whatever its size.
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from modiste.llm.common import in_runs, stored, texts_of, unused
 from modiste.llm.components import components
-from modiste.llm.simhash import hashes_of, spanning
+from modiste.llm.simhash import fingerprints_of, hashes_of, near_links, spanning
 
 BANDS, ROWS = 32, 5
 #: shingles whose minima are taken at once
@@ -39,7 +41,7 @@ FLIP = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 TIMES = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 BAND = _random.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 MIX = np.uint64(0x9FB21C651E98DF25)
-SIGNED = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SIGNED = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -63,22 +65,28 @@ def bands_of(found: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h, g, bands): 128 bits for the set of a text's shingles, and its band keys."""
+    """(doc_id, h, g, fp, bands): 128 bits for the set of a text's shingles, the text's fingerprint, and its band keys."""
 
     @F.arrow_udf(SIGNED)
     @in_runs
     def sign(texts: pa.Array) -> pa.Array:
         h, g, bands = [], [], []
-        for text in texts_of(texts):
-            found = shingles(text, width)
-            data = found.tobytes()
-            h.append(xxhash.xxh64_intdigest(data, 1))
-            g.append(xxhash.xxh64_intdigest(data, 2))
-            bands.append(bands_of(found) if len(found) else found)
+
+        def hashes():
+            for text in texts_of(texts):
+                own = hashes_of(text, width)
+                found = np.unique(own)
+                data = found.tobytes()
+                h.append(xxhash.xxh64_intdigest(data, 1))
+                g.append(xxhash.xxh64_intdigest(data, 2))
+                bands.append(bands_of(found) if len(found) else found)
+                yield own
+
+        fp = fingerprints_of(len(texts), hashes())
         long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
         flat = np.concatenate(bands).view(np.int64) if bands else np.empty(0, np.int64)
-        return pa.StructArray.from_arrays([long(h), long(g), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["h", "g", "bands"])
+        return pa.StructArray.from_arrays([long(h), long(g), long(fp), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["h", "g", "fp", "bands"])
 
     return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
 
@@ -180,15 +188,26 @@ def block_links(docs: DataFrame, stars: DataFrame, root: DataFrame, width: int,
     return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda batches: linked(batches, tenths), "a long, b long")
 
 
+def fingerprint_stars(first: DataFrame) -> DataFrame:
+    """(a, b): candidates by fingerprint, the smaller node first."""
+    marked = first.where(F.size("bands") > 0).select("fp", F.col("a").alias("node"))
+    distinct = stored(marked.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")
+    equal = marked.join(distinct, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    close = near_links(distinct).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.union(close)
+
+
 def links(docs: DataFrame, signs: DataFrame, width: int, tenths: int) -> DataFrame:
     """(a, b): enough links of at least that similarity to connect whatever is connected by all of them."""
     known = signs.where("doc_id IS NOT NULL")
-    first = stored(known.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.first("bands").alias("bands")), "shingle-sets")
+    least = F.min(F.struct("doc_id", "fp"))
+    first = stored(known.groupBy("h", "g").agg(least["doc_id"].alias("a"), least["fp"].alias("fp"), F.first("bands").alias("bands")), "shingle-sets")
     # a repeated doc_id is one document, whatever its sets
     found = stored(first.select("h", "g", "a").join(known.select("h", "g", "doc_id"), ["h", "g"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "equal-sets")
     keyed = stored(first.select(F.col("a").alias("node"), F.explode("bands").alias("band")).distinct(), "bands")
     hubs = stored(keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub"), "hubs")
-    stars = stored(keyed.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    met = keyed.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    stars = stored(met.union(fingerprint_stars(first)).distinct(), "stars")
     sets = stored(sets_of(docs, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), width), "star-sets")
     met = stars.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     near = stored(met.where(alike("x", "y", F.lit(tenths))).select("a", "b").distinct(), "star-links")

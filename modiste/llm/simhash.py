@@ -12,6 +12,7 @@ one document. A row without doc_id gets the component of its fingerprint, which
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations, repeat
 
 import numpy as np
@@ -41,7 +42,12 @@ def hashes_of(text: bytes, width: int) -> np.ndarray:
 
 def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
     """Bit i is set if it is set in over half of the text's shingle hashes."""
-    out = np.zeros(len(texts), np.uint64)
+    return fingerprints_of(len(texts), (hashes_of(text, width) for text in texts))
+
+
+def fingerprints_of(n_texts: int, hashes: Iterable[np.ndarray]) -> np.ndarray:
+    """The same from the hashes of each text, which are held for a run of texts at a time."""
+    out = np.zeros(n_texts, np.uint64)
     rows: list[int] = []
     held: list[np.ndarray] = []
 
@@ -59,8 +65,7 @@ def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
         held.clear()
 
     size = 0
-    for i, text in enumerate(texts):
-        h = hashes_of(text, width)
+    for i, h in enumerate(hashes):
         if len(h):
             rows.append(i)
             held.append(h)
