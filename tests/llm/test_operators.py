@@ -391,3 +391,51 @@ def test_runs_of_a_batch_give_what_the_batch_gives():
     assert in_runs(both, 200)(a[:0], b[:0]).to_pylist() == []
     batch = pa.RecordBatch.from_arrays([a], ["a"])
     assert [x for part in sliced([batch], 100) for x in part.column(0).to_pylist()] == a.to_pylist()
+
+
+def test_texts_put_together_have_the_pieces_of_each(monkeypatch):
+    rng = random.Random(6)
+    texts = [bytes(rng.choices(b"abcd", k=k)) for k in (0, 49, 50, 51, 700, 3000, 20, 60, 75, 75, 400)] + [b"a" * 120, b""]
+    want = [(i, at + s, n, mh) for i, t in enumerate(texts) for at, m, start, ns in suffix.stretches(t, 50) for s, n, mh in zip(start.tolist(), ns.tolist(), m.tolist())]
+    for together in (60, 500, 1 << 16):
+        monkeypatch.setattr(suffix, "TOGETHER", together)
+        got, calls = [], 0
+        for data, text, first, mh, start, n in suffix.pieces_of(texts, 50):
+            calls += 1
+            assert all(data[s : s + k + 49].tobytes() == texts[i][f : f + k + 49] for i, f, s, k in zip(text.tolist(), first.tolist(), start.tolist(), n.tolist()))
+            got += zip(text.tolist(), first.tolist(), n.tolist(), mh.tolist())
+        assert sorted(got) == sorted(want)
+    assert calls == 1
+
+
+@pytest.mark.parametrize("length", [5, 8, 17, 50])
+def test_wide_symbols_interleave_like_bytes(length):
+    rng = random.Random(length)
+    base = bytes(rng.choices(b"\x00ab\xff", k=300))
+    strings = [base[at : at + rng.randint(length, length + 26)] for at in (rng.randrange(200) for _ in range(40))]
+    shards = [suffix.Bwt(strings[s::3], length) for s in range(3)]
+    inter, places, border = suffix.interleaved(shards, length)
+    texts = [[bytes((b.text[at : at + length] - 1).astype(np.uint8)) for at in p] for b, p in zip(shards, places)]
+    taken = [iter(t) for t in texts]
+    order = [next(taken[s]) for s in inter.tolist()]
+    assert order == sorted(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
+    assert border.tolist() == [i == 0 or order[i] != order[i - 1] for i in range(len(order))]
+    whole, lcp = suffix.merged([suffix.Bwt(strings[s::3]) for s in range(3)], length)
+    assert len(whole) == sum(len(s) + 1 for s in strings) and (lcp < length).sum() >= border.sum()
+
+
+def test_filters_see_small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = lambda b: np.repeat(np.uint64(b.num_rows), 2)  # noqa: E731  as seen twice
+    got = hashfilter.seen_twice(spark.range(0, 6000, 1, 1), sizes, 1 << 20, 2)
+    assert got.has(np.array([1500, 6000], np.uint64)).tolist() == [True, False]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_packed_segments_come_back():
+    for n in (0, 1, 300, 4095, 4096, 50_000):
+        flags = np.zeros(hashfilter.SEGMENT, bool)
+        flags[random.Random(n).sample(range(hashfilter.SEGMENT), n)] = True
+        part = np.packbits(flags, bitorder="little")
+        data = hashfilter.packed(part)
+        assert len(data) == min(2 * n, hashfilter.SEGMENT // 8) and (hashfilter.unpacked(data) == part).all()
