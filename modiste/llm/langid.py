@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import in_runs, sliced, stored, unused
+from modiste.llm.common import in_runs, sliced, small_batches, stored, unused
 
 FEATURES = 1 << 15
 PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -90,8 +90,9 @@ def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, total[at]])], ["feature", "n"])
 
     df = np.zeros(FEATURES + 1, np.int64)
-    for r in texts.mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # a row per feature
-        df[r.feature] = r.n
+    with small_batches(texts.sparkSession):
+        for r in texts.mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # a row per feature
+            df[r.feature] = r.n
     return int(df[-1]), df[:-1]
 
 
@@ -107,7 +108,8 @@ def sample_vectors(rows: DataFrame, model: Model) -> tuple[list[tuple[np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["h", "y", "at", "x"])
 
     one = rows.select("h", "lang", "text").mapInArrow(vectors, "h long, y int, at array<int>, x array<float>").groupBy("h", "y").agg(F.first("at").alias("at"), F.first("x").alias("x"))
-    got = one.toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # `sample` rows at most
+    with small_batches(rows.sparkSession):
+        got = one.toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # `sample` rows at most
     at, x = got["at"].combine_chunks(), got["x"].combine_chunks()
     return [(a.values.to_numpy(), b.values.to_numpy().astype(np.float64)) for a, b in zip(at, x)], got["y"].to_numpy()
 
