@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import in_runs, stored, texts_of, unused
+from modiste.llm.common import in_runs, stored, texts_of
 from modiste.llm.components import components
 from modiste.llm.simhash import fingerprints_of, hashes_of, near_links, spanning
+from modiste.scale import within, without
 
 BANDS, ROWS = 32, 5
 #: shingles whose minima are taken at once
@@ -103,14 +104,15 @@ def alike(a: pa.Array, b: pa.Array, tenths: pa.Array) -> pa.Array:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, set) of the documents that are nodes, the hashes as bytes."""
+    """(node, set) of the documents that are nodes, the hashes as bytes. Texts that a bitmap of the nodes rules out aren't shuffled."""
 
     @F.arrow_udf(T.BinaryType())
     @in_runs
     def packed(texts: pa.Array) -> pa.Array:
         return pa.array([shingles(text, width).tobytes() for text in texts_of(texts)], pa.binary())
 
-    return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select(F.col("doc_id").alias("node"), packed("text").alias("set"))
+    wanted = stored(nodes.select(F.col("node").alias("doc_id")).distinct(), "wanted-ids")
+    return within(docs, wanted, ["doc_id"]).select(F.col("doc_id").alias("node"), packed("text").alias("set"))
 
 
 def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
@@ -219,6 +221,5 @@ def links(docs: DataFrame, signs: DataFrame, width: int, tenths: int) -> DataFra
 def deduplicated(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
     """The documents that are the first of those they are connected to; rows without a doc_id stay."""
     signs = stored(signed(docs, width), "signed")
-    name = unused(docs, "gone")
-    gone = components(links(docs.select("doc_id", "text"), signs, width, tenths)).select(F.col("node").alias(name))
-    return docs.join(stored(gone.distinct(), "near-copies"), docs["doc_id"] == F.col(name), "left_anti")
+    gone = components(links(docs.select("doc_id", "text"), signs, width, tenths)).select(F.col("node").alias("doc_id"))
+    return without(docs, stored(gone.distinct(), "near-copies"), ["doc_id"])
