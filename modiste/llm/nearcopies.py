@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modiste.llm.common import in_runs, stored, texts_of
+from modiste.llm.common import give_back, in_runs, stored, texts_of
 from modiste.llm.components import components
 from modiste.llm.simhash import fingerprints_of, hashes_of, near_links, spanning
 from modiste.scale import within, without
@@ -100,6 +100,7 @@ def alike(a: pa.Array, b: pa.Array, tenths: pa.Array) -> pa.Array:
         x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
         both = len(np.intersect1d(x, y, assume_unique=True))
         out.append(10 * both >= t * (len(x) + len(y) - both))
+    give_back()
     return pa.array(out, pa.bool_())
 
 
@@ -165,6 +166,7 @@ def linked(batches, tenths: int):
             sets.append(np.frombuffer(data.as_buffer(), np.uint64).copy())
     if len(sets) > 1:
         yield links()
+    give_back()
 
 
 def block_links(docs: DataFrame, stars: DataFrame, root: DataFrame, width: int, tenths: int) -> DataFrame:
